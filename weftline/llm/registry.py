@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
-from weftline.llm import mixing, quality_rules
+from weftline.llm import html_text, language, media, mixing, quality_model, quality_rules, simhash, url_filter
 
 
 def queries() -> dict:
-    return {"op2_quality_rules": quality_rules.op2_quality_rules, "op3_mixing": mixing.op3_mixing}
+    return {
+        "op1_simhash": simhash.op1_simhash,
+        "op2_quality_rules": quality_rules.op2_quality_rules,
+        "op3_mixing": mixing.op3_mixing,
+        "op4_media": media.op4_media,
+        "op5_html": html_text.op5_html,
+        "op7_quality_classifier": quality_model.op7_quality_classifier,
+        "op9_url_filter": url_filter.op9_url_filter,
+        "op10_language_id": language.op10_language_id,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
