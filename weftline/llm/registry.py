@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftline.llm import html_text, language, media, mixing, quality_model, quality_rules, simhash, url_filter
+from weftline.llm import html_text, language, media, mixing, pieces, ppm, quality_model, quality_rules, simhash, url_filter
 
 
 def queries() -> dict:
@@ -12,7 +12,9 @@ def queries() -> dict:
         "op3_mixing": mixing.op3_mixing,
         "op4_media": media.op4_media,
         "op5_html": html_text.op5_html,
+        "op6_pieces": pieces.op6_pieces,
         "op7_quality_classifier": quality_model.op7_quality_classifier,
+        "op8_lm_scoring": ppm.op8_lm_scoring,
         "op9_url_filter": url_filter.op9_url_filter,
         "op10_language_id": language.op10_language_id,
     }
