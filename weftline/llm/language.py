@@ -150,6 +150,27 @@ def identify(docs: DataFrame, model: Hierarchy | None, text: str = "text", size:
     return docs.mapInArrow(run, f"{fields}, lang_pred string, score double")
 
 
+def keep_languages(docs: DataFrame, model: Hierarchy | None, least: float = 0.25, wanted: tuple | None = None) -> DataFrame:
+    """The rows of ``docs`` with a language of ``wanted`` (None: any learned one) at a score of ``least`` or more, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for whole in batches:
+            for b in slices(whole, 4 << 20):
+                for c in range(0, b.num_rows, 2048):
+                    part = b.slice(c, 2048)
+                    texts, good = part.column("text").to_pylist(), np.zeros(part.num_rows, bool)
+                    at = [k for k, t in enumerate(texts) if has_letter(t)] if shared.value else []
+                    if at:
+                        langs, scores = shared.value.predict(np.stack([letter_grams(texts[k], SIZE) for k in at]))
+                        good[at] = [s >= least and (wanted is None or v in wanted) for v, s in zip(langs, scores)]
+                    yield part.filter(pa.array(good))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def language_id(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", held_remainder: int = 2, modulus: int = 4) -> DataFrame:
     """doc_id, held_out, lang_pred, score: one row for each row of ``docs``; learned from those not held out."""
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"), (remainder(doc_id, modulus) == held_remainder).alias("held_out"))

@@ -24,7 +24,8 @@ WEIGHTS, MAX_EPOCHS, BLOCK, SHARD_TOKENS, SEED = (5, 2, 1), 3, 128, 4_000_000, 7
 def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """``sizes(source, size)`` to source, source_size, target: least(cap, level * weight), the level being the one at which targets sum to all words.
 
-    The windows run over one row for each source, not over documents.
+    Of the levels that don't pass the cap of the first source they leave free, the highest is the right one: beyond it they only fall. The windows run
+    over one row for each source, not over documents.
     """
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
@@ -35,7 +36,7 @@ def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, max_epochs: int =
     before = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
     onward = by_ratio.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     per = per.withColumn("level", (F.sum("source_size").over(everything).cast("double") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(onward))
-    per = per.withColumn("level", F.min(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))).over(everything))
+    per = per.withColumn("level", F.max(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))).over(everything))
     target = F.least(F.col("cap"), F.coalesce(F.col("level") * F.col("weight"), F.col("cap")))
     return per.select("source", "source_size", target.alias("target"))
 
@@ -109,6 +110,29 @@ def mix_sources(docs: DataFrame, **options) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "shard")
 
 
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """The mix itself: the rows of ``docs(doc_id, text, source, n_chars, ...)`` with all their columns, once for each whole pass, and once more with the
+    words of their taken blocks, one space between, if those are a part. Documents that the mix doesn't take go.
+
+    Rows that agree in id, source and size share one plan, that of the row with the most passes.
+    """
+    documents, blocks = plan_mix(docs, **options)
+    pieces = taken_parts(documents, blocks, options.get("block", BLOCK)).groupBy("doc_id", "source", "size").agg(F.array_sort(F.collect_set(F.struct("first", "length"))).alias("pieces"))
+    plan = documents.groupBy("doc_id", "source", "size").agg(F.max("passes").alias("passes"))
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("doc_id", "source", "size")]
+    plan = plan.alias("a").join(pieces.alias("b"), same, "left").select("a.doc_id", "a.source", "a.size", "passes", "pieces").where("passes > 0 or pieces is not null")
+    plan = plan.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_n"), F.col("passes").alias("_passes"), F.col("pieces").alias("_pieces"))
+    sized = docs.withColumn("_size", F.size(words("text")).cast("long"))
+    hit = sized.join(plan, sized["doc_id"].eqNullSafe(F.col("_d")) & sized["source"].eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_n")))
+    whole = F.aggregate(F.col("_pieces"), F.lit(0).cast("long"), lambda a, x: a + x["length"]) == F.col("_size")
+    part = F.when(F.col("_pieces").isNull(), F.lit(None)).when(whole, F.col("text")).otherwise(F.array_join(F.flatten(F.transform("_pieces", lambda x: F.slice(F.col("_words"), (x["first"] + 1).cast("int"), x["length"].cast("int")))), " "))
+    hit = hit.withColumn("_words", F.when(F.col("_pieces").isNotNull(), words("text"))).withColumn("_part", part)
+    texts = F.concat(F.array_repeat("text", F.col("_passes").cast("int")), F.when(F.col("_part").isNull(), F.array().cast("array<string>")).otherwise(F.array("_part")))
+    hit = hit.withColumn("_text", F.explode(texts))
+    own = {"text": F.col("_text"), "n_chars": F.length("_text").cast(docs.schema["n_chars"].dataType)}
+    return hit.select(*[own.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
@@ -122,7 +146,7 @@ weighed AS (SELECT *, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][rank % 3 + 1] AS w
 levels AS (
   SELECT *, ((SELECT total FROM total)::DOUBLE - coalesce(sum(cap) OVER (ORDER BY cap / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))
     / sum(weight) OVER (ORDER BY cap / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM weighed),
-level AS (SELECT min(level) FILTER (level * weight <= cap) AS level FROM levels),
+level AS (SELECT max(level) FILTER (level * weight <= cap) AS level FROM levels),
 targets AS (SELECT source, source_size, least(cap, coalesce((SELECT level FROM level) * weight, cap)) AS target FROM weighed),
 shards AS (SELECT greatest(1, ceil(total / 4000000.0))::BIGINT AS n FROM total),
 keyed AS (SELECT *, coalesce(doc_id::VARCHAR, 'null') AS key FROM sizes),

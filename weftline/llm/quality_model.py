@@ -158,6 +158,26 @@ def score_quality(docs: DataFrame, model: CoTrained | None, keep: float = KEEP)
     return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double, text_score double, meta_score double, kept boolean")
 
 
+def keep_quality(docs: DataFrame, model: CoTrained | None, keep: float = KEEP) -> DataFrame:
+    """The rows of ``docs`` that are kept, with all their columns; nothing is shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for whole in batches:
+            for part in slices(whole, 4 << 20):
+                for c in range(0, part.num_rows, 4096):
+                    b = part.slice(c, 4096)
+                    text, meta = _views(b)
+                    good = text.any(1)
+                    if shared.value:
+                        good &= shared.value.scores(text, meta)[0] >= keep
+                    yield b.filter(pa.array(good))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def classify_quality(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     docs = docs.select("doc_id", "text", "lang", "source", F.col("n_chars").cast("long").alias("n_chars"))
     return score_quality(docs, fit_quality(docs, labels, **options))

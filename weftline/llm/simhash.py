@@ -219,5 +219,13 @@ def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", part
     return prints.join(named, F.col("fp") == F.col("f")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def keep_one_each(docs: DataFrame, **options) -> DataFrame:
+    """The document of each component that has its smallest id, with all its columns. Rows of one id are one document, of which the least row stays."""
+    names = near_dedup(docs, **options).select(F.col("component_id").alias("_kept")).distinct()
+    kept = docs.join(names, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    rest = [c for c in docs.columns if c != "doc_id"]
+    return kept.groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("_row")).select(*[F.col("doc_id") if c == "doc_id" else F.col(f"_row.`{c}`") for c in docs.columns])
+
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"))
