@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm.common import table, words, written
 
-WEIGHTS, MAX_EPOCHS, BLOCK, SHARD_TOKENS, SEED = (5, 2, 1), 3, 128, 4_000_000, 7
+WEIGHTS, MAX_EPOCHS, BLOCK, SHARD_TOKENS, SEED = (5, 2, 1), 3, 128, 500_000, 7
 
 
 def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -148,7 +148,7 @@ levels AS (
     / sum(weight) OVER (ORDER BY cap / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM weighed),
 level AS (SELECT max(level) FILTER (level * weight <= cap) AS level FROM levels),
 targets AS (SELECT source, source_size, least(cap, coalesce((SELECT level FROM level) * weight, cap)) AS target FROM weighed),
-shards AS (SELECT greatest(1, ceil(total / 4000000.0))::BIGINT AS n FROM total),
+shards AS (SELECT greatest(1, ceil(total / 500000.0))::BIGINT AS n FROM total),
 keyed AS (SELECT *, coalesce(doc_id::VARCHAR, 'null') AS key FROM sizes),
 sharded AS (SELECT *, ('0x' || substr(md5('shard7:' || key), 1, 8))::BIGINT % (SELECT n FROM shards) AS shard, md5('doc7:' || key) AS ord FROM keyed),
 placed AS (SELECT *, sum(size) OVER (PARTITION BY shard, source ORDER BY ord, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT - size AS start FROM sharded),
