@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm.common import LOWER_ASCII, WORD_BYTES, column_bytes, remainder, table, written
 
-ORDER, BLOCK_BYTES, SLICE_BYTES = 5, 32 << 20, 6 << 20
+ORDER, BLOCK_BYTES, SLICE_BYTES = 5, 32 << 20, 2 << 20
 END = b"\n"
 WORD, GRAM = 0, 1
 
@@ -237,7 +237,7 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     blocks = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("int"))
 
     def keys(whole):
-        kind, key, n = block_keys(column_bytes(whole.column("text").combine_chunks()), [not h for h in whole.column("held_out").to_pylist()], order)
+        kind, key, n = block_keys(column_bytes(whole.column("text")), [not h for h in whole.column("held_out").to_pylist()], order)
         return pa.table({"block": pa.array(np.full(len(kind), whole.column("block")[0].as_py(), np.int32)), "kind": kind, "key": key, "n": n})
 
     rows = written(blocks.groupBy("block").applyInArrow(keys, "block int, kind byte, key long, n long"), "ppm-keys")
@@ -271,7 +271,7 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             place = np.flatnonzero(kind == k)
             place = place[np.argsort(key[place])]
             split.append((key[place], value[place]))
-        n_tokens, n_known, base, score = score_block(column_bytes(texts.column("text").combine_chunks()), *split, total, kinds, order)
+        n_tokens, n_known, base, score = score_block(column_bytes(texts.column("text")), *split, total, kinds, order)
         n = len(score)
         return pa.table({"doc_id": texts.column("doc_id"), "held_out": texts.column("held_out"), "n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64()), "train_tokens": pa.array([total] * n, pa.int64()), "base_score": pa.array(base, pa.float64()), "score": pa.array(score, pa.float64())})
 
