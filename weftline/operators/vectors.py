@@ -29,6 +29,7 @@ def nearest_to_each(vectors: DataFrame, queries: DataFrame, n: int = 5, vec: str
     schema = f"query_id {queries.schema[query_key].dataType.simpleString()}, id {vectors.schema[key].dataType.simpleString()}, distance double"
     q = queries.select(F.col(query_key).alias("query_id"), F.col(query_vec).alias("query_vec"))
     held = q.toArrow()  # the stated queries
+    id_type = held.schema.field("query_id").type
     shared = vectors.sparkSession.sparkContext.broadcast((held.column("query_id").to_pylist(), held.column("query_vec").to_pylist()))
 
     def run(batches):
@@ -50,7 +51,7 @@ def nearest_to_each(vectors: DataFrame, queries: DataFrame, n: int = 5, vec: str
                 d = 1.0 - a[k : k + 256] @ x.T
                 m = min(n, d.shape[1])
                 top = np.argpartition(d, m - 1, axis=1)[:, :m]
-                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in range(k, k + len(d)) for _ in range(m)]), names.take(pa.array(top.ravel())), pa.array(np.take_along_axis(d, top, 1).ravel())], ["query_id", "id", "distance"])
+                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in range(k, k + len(d)) for _ in range(m)], id_type), names.take(pa.array(top.ravel())), pa.array(np.take_along_axis(d, top, 1).ravel())], ["query_id", "id", "distance"])
 
     from pyspark.sql import Window
 
