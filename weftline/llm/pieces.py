@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from weftline.llm.common import column_bytes, slices, table
 
 MODEL, DROPOUT, SEED, VARIANTS = "/opt/tokenizers/piece_bpe_32k.model", 0.1, 17, 4
-SLICE_BYTES, SHORT = 12 << 20, 24
+SLICE_BYTES, SHORT = 3 << 20, 24
 SPACE = "▁"
 UNITS = re.compile(f"{SPACE}*[^{SPACE}\n\r\t]+|{SPACE}+|[\n\r\t]+")
 #: Stands for a literal U+2581 while a text is cut: a character that no decoded text can hold.
