@@ -17,7 +17,6 @@ texts every byte has 1/256. An empty table gives an empty result. Words are coun
 from __future__ import annotations
 
 import math
-from collections import Counter
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -93,47 +92,55 @@ class Finder:
         return out
 
 
-def parts_of(texts: list, most: int = SLICE_BYTES):
-    """The texts' words in parts of about ``most`` bytes, with the index of the first."""
-    held, size, first = [], 0, 0
-    for k, t in enumerate(texts):
-        held.append(tokens_of(t))
-        size += len(t or b"")
-        if size >= most:
-            yield first, held
-            held, size, first = [], 0, k + 1
-    if held:
-        yield first, held
+def parts_of(texts, most: int = SLICE_BYTES):
+    """The words of a column of texts (Arrow, or a list of bytes) in parts of about ``most`` bytes, with the index of each part's first text."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    column = pa.chunked_array([pa.array(texts, pa.binary())]) if isinstance(texts, list) else texts
+    if not len(column):
+        return
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy().astype(np.int64)
+    part = np.cumsum(sizes) // most
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(sizes)]
+    for a, b in zip(cuts, cuts[1:]):
+        part_column = column.slice(a, b - a)
+        yield a, [tokens_of(t) for t in (part_column.to_pylist() if pa.types.is_binary(column.type) else column_bytes(part_column))]
 
 
-def word_key(word: bytes) -> int:
+def word_keys(docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all words, an end behind each document, and each document's number of them."""
     from xxhash import xxh64_intdigest
 
-    return xxh64_intdigest(word, 0)
+    sizes = np.array([len(ws) + 1 for ws in docs], np.int64)
+    out = np.empty(int(sizes.sum()), np.uint64)
+    ends = np.cumsum(sizes) - 1
+    own = np.ones(len(out), bool)
+    own[ends] = False
+    out[own] = np.fromiter((xxh64_intdigest(w) for ws in docs for w in ws), np.uint64, len(out) - len(docs))
+    out[ends] = xxh64_intdigest(END)
+    return out, sizes
+
 
+def with_counts(keys: np.ndarray, train: np.ndarray, held: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys with their training counts, added to those held so far."""
+    kept, n = np.unique(keys[train], return_counts=True)
+    others = np.unique(keys[~train])
+    return summed(np.concatenate([held[0], kept, others]), np.concatenate([held[1], n, np.zeros(len(others), np.int64)]))
 
-def block_keys(texts: list, train: list[bool], order: int = ORDER) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+
+def block_keys(texts, train: list[bool], order: int = ORDER) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """kind, key and training count of the distinct words and grams of a block."""
-    counts: Counter = Counter()
-    grams, sums = [], []
+    words = grams = np.zeros(0, np.uint64), np.zeros(0, np.int64)
     for first, docs in parts_of(texts):
-        for k, ws in enumerate(docs):
-            if train[first + k]:
-                counts.update(ws)
-                counts[END] += 1
-            else:
-                for w in set(ws):
-                    counts[w] += 0
-                counts[END] += 0
+        own = np.array(train[first : first + len(docs)], bool)
+        keys, sizes = word_keys(docs)
+        words = with_counts(keys, np.repeat(own, sizes), words)
         code, sizes = grams_of(docs, order)
-        code = code << np.uint64(1) | np.repeat(np.array(train[first : first + len(docs)], np.uint64), sizes)
-        u, n = np.unique(code, return_counts=True)
-        g, s = summed(u >> np.uint64(1), n * (u & np.uint64(1)).astype(np.int64))
-        grams.append(g)
-        sums.append(s)
-    g, s = summed(np.concatenate(grams), np.concatenate(sums)) if grams else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    keys = np.array([word_key(w) for w in counts], np.uint64)
-    return np.concatenate([np.full(len(keys), WORD, np.int8), np.full(len(g), GRAM, np.int8)]), np.concatenate([keys, g]).view(np.int64), np.concatenate([np.array(list(counts.values()), np.int64), s])
+        del docs, keys
+        grams = with_counts(code, np.repeat(own, sizes), grams)
+    kind = np.repeat(np.array([WORD, GRAM], np.int8), [len(words[0]), len(grams[0])])
+    return kind, np.concatenate([words[0], grams[0]]).view(np.int64), np.concatenate([words[1], grams[1]])
 
 
 def score_grams(grams: np.ndarray, n: np.ndarray, low: np.ndarray, order: int = ORDER, base: int = 2) -> np.ndarray:
@@ -198,31 +205,25 @@ def score_grams(grams: np.ndarray, n: np.ndarray, low: np.ndarray, order: int =
     return out
 
 
-def score_block(texts: list, words: tuple[np.ndarray, np.ndarray], grams: tuple[np.ndarray, np.ndarray], total: int, kinds: int, order: int = ORDER):
+def score_block(texts, words: tuple[np.ndarray, np.ndarray], grams: tuple[np.ndarray, np.ndarray], total: int, kinds: int, order: int = ORDER):
     """n_tokens, n_known, base_score and score of each text from the block's (keys, counts) of words and (keys, values) of grams, both sorted by key."""
     bottom = total + 0.5 * (kinds + 1)
-    unknown = math.log10(0.5 / bottom)
-    value_of: dict[bytes, float] = {}
-    find, n_tokens, n_known, base, score = Finder(grams[0]), [], [], [], []
+    worth = np.log10((words[1] + 0.5) / bottom)
+    of_word, of_gram = Finder(words[0]), Finder(grams[0])
+    out: list[list[np.ndarray]] = [[], [], [], []]
     for _, docs in parts_of(texts):
-        fresh = list({w for ws in docs for w in ws if w not in value_of} | ({END} - value_of.keys()))
-        keys = np.array([word_key(w) for w in fresh], np.uint64)
-        at = np.searchsorted(words[0], keys)
-        if len(fresh) and not (len(words[0]) and (words[0][np.minimum(at, len(words[0]) - 1)] == keys).all()):
-            raise ValueError("a word of the block has no value")
-        value_of.update(zip(fresh, np.where(words[1][at] > 0, np.log10((words[1][at] + 0.5) / bottom), unknown).tolist() if len(fresh) else []))
-        for ws in docs:
-            values = [value_of[w] for w in ws]
-            values.append(value_of[END])
-            n_tokens.append(len(values))
-            n_known.append(len(values) - values.count(unknown))
-            base.append(math.fsum(values))
-        code, sizes = grams_of(docs, order)
-        at = find(code)
-        if len(at) and at.min() < 0:
-            raise ValueError("a gram of the block has no value")
-        score += np.add.reduceat(grams[1][at], np.cumsum(sizes) - sizes).tolist()
-    return n_tokens, n_known, base, score
+        keys, sizes = word_keys(docs)
+        code, lengths = grams_of(docs, order)
+        del docs
+        at, place = of_word(keys), of_gram(code)
+        if at.min() < 0 or place.min() < 0:
+            raise ValueError("a word or gram of the block has no value")
+        starts = np.cumsum(sizes) - sizes
+        out[0].append(sizes)
+        out[1].append(np.add.reduceat((words[1][at] > 0).astype(np.int64), starts))
+        out[2].append(np.add.reduceat(worth[at], starts))
+        out[3].append(np.add.reduceat(grams[1][place], np.cumsum(lengths) - lengths))
+    return [np.concatenate(x) if x else np.zeros(0) for x in out]
 
 
 def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", held_remainder: int = 1, modulus: int = 5, order: int = ORDER, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -237,7 +238,7 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     blocks = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("int"))
 
     def keys(whole):
-        kind, key, n = block_keys(column_bytes(whole.column("text")), [not h for h in whole.column("held_out").to_pylist()], order)
+        kind, key, n = block_keys(whole.column("text"), [not h for h in whole.column("held_out").to_pylist()], order)
         return pa.table({"block": pa.array(np.full(len(kind), whole.column("block")[0].as_py(), np.int32)), "kind": kind, "key": key, "n": n})
 
     rows = written(blocks.groupBy("block").applyInArrow(keys, "block int, kind byte, key long, n long"), "ppm-keys")
@@ -271,9 +272,9 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             place = np.flatnonzero(kind == k)
             place = place[np.argsort(key[place])]
             split.append((key[place], value[place]))
-        n_tokens, n_known, base, score = score_block(column_bytes(texts.column("text")), *split, total, kinds, order)
+        n_tokens, n_known, base, score = score_block(texts.column("text"), *split, total, kinds, order)
         n = len(score)
-        return pa.table({"doc_id": texts.column("doc_id"), "held_out": texts.column("held_out"), "n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64()), "train_tokens": pa.array([total] * n, pa.int64()), "base_score": pa.array(base, pa.float64()), "score": pa.array(score, pa.float64())})
+        return pa.table({"doc_id": texts.column("doc_id"), "held_out": texts.column("held_out"), "n_tokens": pa.array(n_tokens.astype(np.int64)), "n_known": pa.array(n_known.astype(np.int64)), "train_tokens": pa.array([total] * n, pa.int64()), "base_score": pa.array(base), "score": pa.array(score)})
 
     fields = f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return blocks.groupBy("block").cogroup(wanted.groupBy("b")).applyInArrow(judged, fields)
