@@ -3,7 +3,7 @@
 Texts are lower-cased in A-Z, cut into words and three-word shingles (repeats included), and hashed to a 64-bit fingerprint. Fingerprints that
 differ in at most ``distance`` bits are linked. Search works on distinct fingerprints:
 
-1. bit co-occurrences over all of them group correlated bits into ``parts`` partitions (64 / parts bits each);
+1. bit co-occurrences over all of them group correlated bits into ``parts`` (2 or 4) partitions of 64 / parts bits each;
 2. value counts of 16-bit blocks, at most 4 x 65,536 numbers whatever the input, estimate for each fingerprint, partition and threshold how many
    fingerprints lie within the threshold there;
 3. for each fingerprint dynamic programming allots thresholds, -1 (not probed) or more, that sum to distance - parts + 1 at the least estimated
@@ -179,7 +179,7 @@ def links(fps: DataFrame, near: np.ndarray, n: int, parts: int = PARTS, distance
                     step = max(1, 200_000 // len(balls[t]))
                     for k in range(0, len(own), step):
                         rows = own[k : k + step]
-                        keys = (value[rows][:, None] ^ balls[t][None, :]).ravel() | np.uint64(p << width if width < 62 else 0)
+                        keys = (value[rows][:, None] ^ balls[t][None, :]).ravel() | np.uint64(p << width)
                         yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.repeat(g[rows], len(balls[t])))], ["key", "g"])
 
     probes = fps.select("g").mapInArrow(probe, "key long, g long")
