@@ -22,26 +22,28 @@ def first_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return picked.select(*keys, *[F.col(f"_row.`{c}`").alias(c) for c in rest])
 
 
-def asof_attach(left: DataFrame, right: DataFrame, by: list[str], left_at: str, right_at: str, right_order: str, tolerance, values: list[str], distance=None) -> DataFrame:
+def asof_attach(left: DataFrame, right: DataFrame, by: list[str], left_at: str, right_at: str, right_order: str, tolerance: int, values: list[str]) -> DataFrame:
     """Adds to each left row the ``values`` of the right row of the same ``by`` that is nearest before it, or at it; null if farther than ``tolerance``.
 
-    A row before is preferred over one at the same place even if it then is too far; of rows at one place the first by ``right_order`` counts. The two
-    sides are unioned and carried forward by one window over each key, so work is n log n in a key's rows and no pairs are made. distance: how to
-    subtract the places, left less right.
+    Places are whole numbers. A row before is preferred over one at the same place even if it then is too far; of rows at one place the first by
+    ``right_order`` counts. Places are cut into buckets of the tolerance's length and right rows are copied into their own bucket and the next one, so a
+    window sees the rows of one key and bucket only: a key with many rows is dealt to as many tasks as it has buckets, and no pairs are made.
     """
-    distance = distance or (lambda a, b: a - b)
-    own = left.select(F.struct(*left.columns).alias("_left"), *[F.col(c).alias(c) for c in by], F.col(left_at).alias("_at"), F.lit(1).alias("_side"), F.lit(None).cast(right.schema[right_order].dataType).alias("_ord"), F.lit(None).cast(right.select(F.struct(right_at, *values).alias("s")).schema["s"].dataType).alias("_right"))
-    other = right.select(F.lit(None).cast(own.schema["_left"].dataType).alias("_left"), *[F.col(c).alias(c) for c in by], F.col(right_at).alias("_at"), F.lit(0).alias("_side"), F.col(right_order).alias("_ord"), F.struct(right_at, *values).alias("_right"))
-    # one row of each place stays on the right: the first by its order
-    other = other.groupBy(*by, "_at", "_side").agg(F.min_by(F.struct("_left", "_ord", "_right"), "_ord").alias("x")).select("x._left", *by, "_at", "_side", "x._ord", "x._right")
-    both = own.unionByName(other)
-    line = Window.partitionBy(*by).orderBy("_at", "_side")
-    strict = Window.partitionBy(*by).orderBy("_at", F.desc("_side")).rowsBetween(Window.unboundedPreceding, -1)  # left rows come before right rows of their place
-    both = both.withColumn("_before", F.last("_right", ignorenulls=True).over(strict))
-    both = both.withColumn("_same", F.last("_right", ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    best = F.coalesce(F.col("_before"), F.when(F.col(f"_same.`{right_at}`") == F.col("_at"), F.col("_same")))
-    near = F.when(distance(F.col("_at"), best[right_at]) <= F.lit(tolerance), best)
-    out = both.where("_side = 1").withColumn("_near", near)
+    width = F.lit(int(tolerance) + 1)
+    first = right.groupBy(*[F.col(c).alias(f"_by_{c}") for c in by]).agg(F.min(right_at).alias("_first"))
+    same_key = [F.col(c) == F.col(f"_by_{c}") for c in by]
+    own = left.join(first, same_key, "left")
+    kind = right.select(F.struct(right_at, *values).alias("s")).schema["s"].dataType
+    own = own.select(F.struct(*left.columns).alias("_left"), *by, F.col(left_at).cast("long").alias("_at"), "_first", F.lit(1).alias("_side"), F.lit(None).cast(kind).alias("_right"), F.floor(F.col(left_at) / width).alias("_bucket"))
+    other = right.groupBy(*by, F.col(right_at).alias("_place")).agg(F.min_by(F.struct(right_at, *values), right_order).alias("_right"))
+    bucket = F.floor(F.col("_place") / width)
+    other = other.select(F.lit(None).cast(own.schema["_left"].dataType).alias("_left"), *by, F.col("_place").cast("long").alias("_at"), F.lit(None).cast(own.schema["_first"].dataType).alias("_first"), F.lit(0).alias("_side"), "_right", F.explode(F.array(bucket, bucket + 1)).alias("_bucket"))
+    strict = Window.partitionBy(*by, "_bucket").orderBy("_at", F.desc("_side")).rowsBetween(Window.unboundedPreceding, -1)  # left rows come before right rows of their place
+    same = Window.partitionBy(*by, "_bucket").orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = own.unionByName(other).withColumns({"_before": F.last("_right", ignorenulls=True).over(strict), "_same": F.last("_right", ignorenulls=True).over(same)})
+    near = F.when(F.col("_at") - F.col(f"_before.`{right_at}`") <= F.lit(int(tolerance)), F.col("_before"))
+    here = F.when((F.col(f"_same.`{right_at}`") == F.col("_at")) & ~(F.col("_first") < F.col("_at")), F.col("_same"))
+    out = both.where("_side = 1").withColumn("_near", F.coalesce(near, here))
     return out.select("_left.*", *[F.col(f"_near.`{v}`").alias(v if v not in left.columns else f"right_{v}") for v in [right_at, *values]])
 
 
