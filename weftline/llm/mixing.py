@@ -93,7 +93,7 @@ def plan_mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", te
 def taken_parts(documents: DataFrame, blocks: DataFrame, block: int = BLOCK) -> DataFrame:
     """The pieces of documents that lie in blocks taken once more: doc_id, source, shard, start, size, first (word, from 0), length."""
     spans = documents.where("size > 0").select("doc_id", "source", "shard", "start", "size", F.explode(F.expr(f"sequence(floor(start / {block}), floor((start + size - 1) / {block}))")).alias("b"))
-    b = blocks.select(F.col("shard").alias("bsh"), F.col("source").alias("bs"), F.col("block").alias("b2"), "part")
+    b = blocks.select(F.col("shard").alias("bsh"), F.col("source").alias("bs"), F.col("block").alias("b2"), "part").hint("merge")  # Spark takes exploded blocks for as small as the quotas and would broadcast them
     hit = spans.join(b, (F.col("shard") == F.col("bsh")) & F.col("source").eqNullSafe(F.col("bs")) & (F.col("b") == F.col("b2")))
     first = F.greatest(F.col("start"), F.col("b") * block)
     end = F.least(F.col("start") + F.col("size"), F.col("b") * block + F.col("part"))
@@ -103,7 +103,7 @@ def taken_parts(documents: DataFrame, blocks: DataFrame, block: int = BLOCK) ->
 def mix_sources(docs: DataFrame, **options) -> DataFrame:
     """doc_id, size, source_size, target, taken and shard: one row for each row of ``docs``."""
     documents, blocks = plan_mix(docs, **options)
-    parts = taken_parts(documents, blocks, options.get("block", BLOCK)).groupBy(F.col("shard").alias("p1"), F.col("source").alias("p2"), F.col("start").alias("p3"), F.col("size").alias("p4")).agg(F.sum("length").alias("more"))
+    parts = taken_parts(documents, blocks, options.get("block", BLOCK)).groupBy(F.col("shard").alias("p1"), F.col("source").alias("p2"), F.col("start").alias("p3"), F.col("size").alias("p4")).agg(F.sum("length").alias("more")).hint("merge")
     # a place in its shard's sequence of its source names a document that has words, whatever its id
     out = documents.join(parts, (F.col("shard") == F.col("p1")) & F.col("source").eqNullSafe(F.col("p2")) & (F.col("start") == F.col("p3")) & (F.col("size") == F.col("p4")), "left")
     taken = F.col("size") * F.col("passes") + F.coalesce("more", F.lit(0))
@@ -120,10 +120,10 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     pieces = taken_parts(documents, blocks, options.get("block", BLOCK)).groupBy("doc_id", "source", "size").agg(F.array_sort(F.collect_set(F.struct("first", "length"))).alias("pieces"))
     plan = documents.groupBy("doc_id", "source", "size").agg(F.max("passes").alias("passes"))
     same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("doc_id", "source", "size")]
-    plan = plan.alias("a").join(pieces.alias("b"), same, "left").select("a.doc_id", "a.source", "a.size", "passes", "pieces").where("passes > 0 or pieces is not null")
+    plan = plan.alias("a").join(pieces.alias("b").hint("merge"), same, "left").select("a.doc_id", "a.source", "a.size", "passes", "pieces").where("passes > 0 or pieces is not null")
     plan = plan.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_n"), F.col("passes").alias("_passes"), F.col("pieces").alias("_pieces"))
     sized = docs.withColumn("_size", F.size(words("text")).cast("long"))
-    hit = sized.join(plan, sized["doc_id"].eqNullSafe(F.col("_d")) & sized["source"].eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_n")))
+    hit = sized.join(plan.hint("merge"), sized["doc_id"].eqNullSafe(F.col("_d")) & sized["source"].eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_n")))
     whole = F.aggregate(F.col("_pieces"), F.lit(0).cast("long"), lambda a, x: a + x["length"]) == F.col("_size")
     part = F.when(F.col("_pieces").isNull(), F.lit(None)).when(whole, F.col("text")).otherwise(F.array_join(F.flatten(F.transform("_pieces", lambda x: F.slice(F.col("_words"), (x["first"] + 1).cast("int"), x["length"].cast("int")))), " "))
     hit = hit.withColumn("_words", F.when(F.col("_pieces").isNotNull(), words("text"))).withColumn("_part", part)
