@@ -128,3 +128,40 @@ def test_vector_search(spark):
     q = v.where("id = 3").select(F.col("id").alias("query_id"), F.col("embedding").alias("query_vec"))
     assert [r.id for r in nearest_to_each(v, q, 2).orderBy("place").collect()] == [3, 4]
     assert nearest_to_each(v.limit(0), q, 2).count() == 0
+
+
+def test_validated_patches_and_request_text(spark):
+    found = project.project_patches(fixtures.sources(spark))
+    good, missing = compare.validated(found, spark.createDataFrame([("users.js",)], "file string"))
+    assert good.count() == found.count() and {r.file for r in missing.collect()} == {"zones.js"}
+    text = compare.request_text(found).first().text
+    assert text.startswith("## Documentation\nNew: ") and "`DELETE /api/crm/users/:id` in users.js" in text
+
+
+def test_passes_and_log(spark):
+    from weftline.sources.provider import call_log, three_passes
+
+    df = spark.createDataFrame([(1, "p")], "id int, prompt string")
+
+    def ask(name, prompts, tokens):
+        if name == "schema":
+            raise OSError("down")
+        return [f'{{"{name}": {tokens}}}' for _ in prompts]
+
+    got = three_passes(df, ask).first()
+    assert (json.loads(got.metadata), got.schema, json.loads(got.responses)) == ({"metadata": 400}, None, {"responses": 500})
+    log = call_log(df, spark.createDataFrame([(1, "x" * 3000)], "id int, answer string")).first()
+    assert len(log.answer) == 2000 and log.ok is False
+
+
+def test_registry_and_search(spark):
+    from weftline.functions.openapi import schema_registry, with_schemas
+    from weftline.operators.vectors import model_text
+
+    names = schema_registry(spark.createDataFrame([("A", "{}", 1), ("A", '{"type":"object"}', 2)], "name string, schema string, ord int"))
+    doc = json.loads(with_schemas(project.openapi(fixtures.sources(spark)), names).first().document)
+    assert doc["components"]["schemas"] == {"A": {"type": "object"}}
+    routes = project.routes(fixtures.sources(spark))
+    assert project.find_route(routes, "post", "users").first().ord == 1
+    text = routes.where("path = '/api/crm/users/:id'").select(model_text("method", "path", "handler.name", F.lit(""), F.lit(None), F.lit("d" * 600), F.array(), F.array(), F.array(F.lit("S")), "middleware", "framework").alias("t")).first().t
+    assert text.split("\n") == ["DELETE /api/crm/users/:id", "Handler: removeUser", "Description: " + "d" * 500, "Services: S", "Middleware: requireAuth", "Framework: express"]

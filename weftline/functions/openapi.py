@@ -152,3 +152,22 @@ def response_descriptions(operation: Column | str) -> Column:
     """Map of code to description, schema and examples (JSON)."""
     raw = F.from_json(F.get_json_object(col(operation), "$.responses"), "map<string,string>")
     return F.transform_values(raw, lambda _, v: F.struct(F.get_json_object(v, "$.description").alias("description"), F.get_json_object(v, "$.schema").alias("schema"), F.get_json_object(v, "$.examples").alias("examples")))
+
+
+def schema_registry(definitions: DataFrame) -> DataFrame:
+    """``definitions(name, schema, ord)`` to the last schema (JSON) of each name."""
+    return definitions.groupBy("name").agg(F.max_by("schema", "ord").alias("schema"))
+
+
+def with_schemas(documents: DataFrame, registry: DataFrame) -> DataFrame:
+    """A document with the registered schemas among its components; both sides have one project's rows."""
+    schemas = registry.agg(json_object(F.array_sort(F.collect_list(F.struct(F.col("name").alias("key"), F.col("schema").alias("value"))))).alias("_schemas"))
+    one = documents.withColumn("_one", F.lit(1)).join(schemas.withColumn("_one", F.lit(1)), "_one")
+    return one.select(F.replace("document", F.lit('"components":{"schemas":{}'), F.concat(F.lit('"components":{"schemas":'), "_schemas")).alias("document"))
+
+
+def extraction_totals(operations: DataFrame) -> DataFrame:
+    """entity, operations, with_parameters, with_body, responses for each entity and, as ``all``, in total. operations: entity, operation (JSON)."""
+    o = F.col("operation")
+    rows = operations.select("entity", F.get_json_object(o, "$.parameters[0]").isNotNull().alias("p"), F.get_json_object(o, "$.requestBody").isNotNull().alias("b"), F.size(F.coalesce(F.map_keys(F.from_json(F.get_json_object(o, "$.responses"), "map<string,string>")), F.array())).alias("r"))
+    return rows.rollup("entity").agg(F.count("*").alias("operations"), F.count_if("p").alias("with_parameters"), F.count_if("b").alias("with_body"), F.sum("r").alias("responses")).withColumn("entity", F.coalesce("entity", F.lit("all")))

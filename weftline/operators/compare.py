@@ -113,3 +113,16 @@ def missing_information(generated: DataFrame, original: DataFrame) -> DataFrame:
         F.count_if(both & (F.col("o.n_params") > 0) & (F.col("g.n_params") == 0)).alias("missing_parameters"), F.count_if(both & F.col("o.has_body") & ~F.col("g.has_body")).alias("missing_body"),
         F.count_if(both & F.col("o.has_detail") & ~F.col("g.has_detail")).alias("missing_response_details"), F.count_if(both & F.col("o.has_examples") & ~F.col("g.has_examples")).alias("missing_examples"),
     )
+
+
+def validated(found: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Patches that name a type, a file and new content, and those whose file isn't listed (warnings)."""
+    good = found.where("type in ('new', 'improved') and file is not null and new_content <> ''")
+    return good, good.join(files.select("file").distinct(), "file", "left_anti")
+
+
+def request_text(found: DataFrame) -> DataFrame:
+    """One row, text: the description of a change request with counts and a line for each patch."""
+    line = F.format_string("- %s `%s %s` in %s", "type", "method", "path", "file")
+    rows = found.agg(F.count_if(F.col("type") == "new").alias("n"), F.count_if(F.col("type") == "improved").alias("i"), F.array_sort(F.collect_list(line)).alias("lines"))
+    return rows.select(F.concat_ws("\n", F.lit("## Documentation"), F.format_string("New: %d, improved: %d", "n", "i"), F.array_join("lines", "\n")).alias("text"))

@@ -77,3 +77,16 @@ def index_endpoints(endpoints: DataFrame, text: str = "document") -> DataFrame:
     """id, document, embedding and metadata of the valid endpoints."""
     good = endpoints.where("method <> '' and path <> ''")
     return good.select(vector_id("method", "path").alias("id"), F.col(text).alias("document"), hashed_embedding(text).alias("embedding"), F.struct("method", "path", "file", "line").alias("metadata"))
+
+
+def model_text(method, path, handler, summary, description, doc, parameters, tables, services, middleware, framework) -> Column:
+    """What is embedded of a documented endpoint: the parts that aren't empty, a line each; the doc block up to 500 characters."""
+
+    def named(name, x):
+        return F.when(F.coalesce(x, F.lit("")) != "", F.concat(F.lit(f"{name}: "), x))
+
+    def listed(name, x):
+        return F.when(F.size(x) > 0, F.concat(F.lit(f"{name}: "), F.array_join(x, ", ")))
+
+    c = lambda x: F.col(x) if isinstance(x, str) else x
+    return F.concat_ws("\n", F.concat_ws(" ", c(method), c(path)), named("Handler", c(handler)), named("Summary", c(summary)), named("Description", c(description)), named("Description", F.substring(c(doc), 1, 500)), F.when(F.size(c(parameters)) > 0, F.concat(F.lit("Parameters: "), F.to_json(c(parameters)))), listed("Tables", c(tables)), listed("Services", c(services)), listed("Middleware", c(middleware)), named("Framework", c(framework)))

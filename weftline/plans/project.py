@@ -83,3 +83,13 @@ def evaluation(cases: DataFrame, expected: DataFrame) -> DataFrame:
     by_document = rest.groupBy("case").agg((F.count_if(F.col("s") != "") / F.count("*")).alias("complete"), F.lit(1.0).alias("valid"))
     by_document = by_document.select("case", F.explode(F.array(F.struct(F.lit("generation").alias("category"), F.lit("openapiValidity").alias("criterion"), F.col("valid").alias("score")), F.struct(F.lit("generation").alias("category"), F.lit("schemaCompleteness").alias("criterion"), F.col("complete").alias("score")))).alias("x")).select("case", "x.*")
     return totals(by_routes.unionByName(by_document))
+
+
+def summary_rows(documented: DataFrame) -> DataFrame:
+    """One short row for each route."""
+    return documented.select("method", "path", "file", "line", "framework", F.coalesce("handler.name", F.lit("anonymous")).alias("handler"), F.size("middleware").alias("middleware_count"), F.size(F.coalesce("handler.params", F.array())).alias("params"), "has_docs")
+
+
+def find_route(found: DataFrame, method: str, fragment: str) -> DataFrame:
+    """The first route of a method whose path holds the fragment."""
+    return found.where((F.upper("method") == method.upper()) & F.col("path").contains(fragment)).orderBy("file", "ord").limit(1)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.functions import comments, paths, source_text
+from weftline.functions import comments, openapi, paths, source_text
 from weftline.operators import aggregates, compare, evaluate, joins, merge, vectors, windows
 from weftline.plans import fixtures, project
 
@@ -377,6 +377,30 @@ def embedded_endpoints(spark, sf_dir):
     return vectors.index_endpoints(r)
 
 
+@query("SELECT event_type AS name, arg_max(props, event_id) AS schema FROM events GROUP BY event_type")
+def schema_registry(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return openapi.schema_registry(e.select(F.col("event_type").alias("name"), F.col("props").alias("schema"), F.col("event_id").alias("ord")))
+
+
+@query("SELECT * FROM (VALUES ('crm/users', 3, 3, 1, 19), ('crm/zones', 2, 1, 0, 10), ('other', 1, 1, 1, 8), ('all', 6, 5, 2, 37)) t(entity, operations, with_parameters, with_body, responses)")
+def extraction_totals(spark, sf_dir):
+    s = fixtures.sources(spark)
+    ops = openapi.operations(openapi.enriched(project.routes(s), s)).select(F.coalesce(paths.filled(F.regexp_extract("path", "^/api/(crm/[^/]+)", 1)), F.lit("other")).alias("entity"), "operation")
+    return openapi.extraction_totals(ops)
+
+
+@query("SELECT * FROM (VALUES ('GET', '/api/crm/users', 'users.js', 24, 'express', 'anonymous', 1, 2, false), ('POST', '/api/crm/users', 'users.js', 39, 'express', 'anonymous', 2, 2, true), ('POST', 'https://mail.example.com/send', 'users.js', 42, 'express', 'anonymous', 0, 0, false), ('DELETE', '/api/crm/users/:id', 'users.js', 46, 'express', 'removeUser', 1, 0, false), ('GET', '/api/crm/zones/', 'zones.js', 3, 'nestjs', 'findAll', 0, 0, false), ('GET', '/api/crm/zones/:id', 'zones.js', 6, 'nestjs', 'findOne', 0, 0, false)) t(method, path, file, line, framework, handler, middleware_count, params, has_docs)")
+def route_summaries(spark, sf_dir):
+    s = fixtures.sources(spark)
+    return project.summary_rows(project.documented_routes(project.routes(s), comments.extract_comments(s)))
+
+
+@query()
+def change_request(spark, sf_dir):
+    return compare.request_text(project.project_patches(fixtures.sources(spark)))
+
+
 def queries() -> dict:
     return dict(QUERIES)
 

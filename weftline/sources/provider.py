@@ -70,3 +70,33 @@ def offline(_: list[str]) -> list[None]:
 
 def configured(path: str | None = None) -> dict:
     return load_config(path or os.environ.get("WEFTLINE_PROVIDER"))
+
+
+#: Tokens that each of the three prompts may use.
+PASSES = (("metadata", 400), ("schema", 600), ("responses", 500))
+
+
+def three_passes(rows: DataFrame, ask: Callable[[str, list[str], int], list[str | None]] | None, key: str = "id", text: str = "prompt") -> DataFrame:
+    """key, metadata, schema and responses (JSON text or null) from three prompts of each row; a pass that fails leaves its own column null."""
+    rows = rows.select(F.col(key).alias("id"), F.col(text).alias("prompt"))
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            prompts, columns = b.column("prompt").to_pylist(), []
+            for name, tokens in PASSES:
+                try:
+                    got = ask(name, prompts, tokens) if ask else [None] * len(prompts)
+                except Exception:  # noqa: BLE001
+                    got = [None] * len(prompts)
+                columns.append(pa.array(got, pa.string()))
+            yield pa.RecordBatch.from_arrays([b.column("id"), *columns], ["id", *[n for n, _ in PASSES]])
+
+    out = rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, metadata string, schema string, responses string")
+    return out.select("id", *[repaired_json(n).cast("string").alias(n) for n, _ in PASSES])
+
+
+def call_log(asked: DataFrame, answered: DataFrame, most: int = 2000) -> DataFrame:
+    """id, prompt, answer (cut to ``most`` characters), ok: rows to append to a log table."""
+    return asked.select("id", "prompt").join(answered.select("id", "answer"), "id", "left").select("id", "prompt", F.substring("answer", 1, most).alias("answer"), repaired_json("answer").isNotNull().alias("ok"))
