@@ -28,23 +28,39 @@ def shared_dir(spark: SparkSession) -> str:
     return (found or LOCAL_CHECKPOINTS).rstrip("/")
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def written(df: DataFrame, label: str, **conf: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back: lineage ends here and lost executors cost nothing.
 
-    The shuffle files of the write aren't needed again, so Spark is told to remove them when it ends.
+    The shuffle files of the write aren't needed again, so Spark is told to remove them when it ends. conf: further settings, dots written as two
+    underscores, that hold for the write only.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    clean = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(clean, None)
-    spark.conf.set(clean, "true")
+    wanted = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"} | {k.replace("__", "."): v for k, v in conf.items()}
+    before = {k: spark.conf.get(k, None) for k in wanted}
     try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
         df.write.parquet(path)
     finally:
-        spark.conf.unset(clean) if before is None else spark.conf.set(clean, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Returns freed memory to the system, so that an idle worker doesn't hold what its last group took."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # only glibc has it
+        pass
+
+
 def words(text: str | Column) -> Column:
     """The words of a text as an array; a null text has none."""
     col = F.col(text) if isinstance(text, str) else text

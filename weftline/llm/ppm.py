@@ -22,9 +22,11 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import LOWER_ASCII, WORD_BYTES, column_bytes, remainder, table, written
+from weftline.llm.common import LOWER_ASCII, WORD_BYTES, column_bytes, give_back, remainder, table, written
 
 ORDER, BLOCK_BYTES, SLICE_BYTES = 5, 32 << 20, 2 << 20
+#: Texts go to Python so many at a time: the JVM's buffers are as large as a batch.
+SMALL_BATCHES = {"spark__sql__execution__arrow__maxRecordsPerBatch": "1000"}
 END = b"\n"
 WORD, GRAM = 0, 1
 
@@ -238,10 +240,12 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     blocks = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("int"))
 
     def keys(whole):
+        give_back()
         kind, key, n = block_keys(whole.column("text"), [not h for h in whole.column("held_out").to_pylist()], order)
+        give_back()
         return pa.table({"block": pa.array(np.full(len(kind), whole.column("block")[0].as_py(), np.int32)), "kind": kind, "key": key, "n": n})
 
-    rows = written(blocks.groupBy("block").applyInArrow(keys, "block int, kind byte, key long, n long"), "ppm-keys")
+    rows = written(blocks.groupBy("block").applyInArrow(keys, "block int, kind byte, key long, n long"), "ppm-keys", **SMALL_BATCHES)
     counts = written(rows.groupBy("kind", "key").agg(F.sum("n").alias("n")), "ppm-counts")
     total, kinds = counts.where(f"kind = {WORD} and n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     low = np.zeros((256, 256), np.int64)
@@ -265,6 +269,7 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     wanted = rows.select("block", "kind", "key").join(values, (F.col("kind") == F.col("k1")) & (F.col("key") == F.col("k2"))).select(F.col("block").alias("b"), "kind", "key", "value")
 
     def judged(texts, found):
+        give_back()
         kind = found.column("kind").to_numpy()
         key, value = found.column("key").to_numpy().view(np.uint64), found.column("value").to_numpy()
         split = []
@@ -274,10 +279,11 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             split.append((key[place], value[place]))
         n_tokens, n_known, base, score = score_block(texts.column("text"), *split, total, kinds, order)
         n = len(score)
+        give_back()
         return pa.table({"doc_id": texts.column("doc_id"), "held_out": texts.column("held_out"), "n_tokens": pa.array(n_tokens.astype(np.int64)), "n_known": pa.array(n_known.astype(np.int64)), "train_tokens": pa.array([total] * n, pa.int64()), "base_score": pa.array(base), "score": pa.array(score)})
 
     fields = f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return blocks.groupBy("block").cogroup(wanted.groupBy("b")).applyInArrow(judged, fields)
+    return written(blocks.groupBy("block").cogroup(wanted.groupBy("b")).applyInArrow(judged, fields), "ppm-scores", **SMALL_BATCHES)
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
