@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import language, mixing, pieces, quality_model, simhash
-from weftline.llm.common import remainder, table, written
+from weftline.llm.common import discard, remainder, table, written
 
 #: Learned models and connected components can't be stated in SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
@@ -45,5 +45,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over the whole table of documents."""
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{k}")
+        before, docs = docs, written(stage(spark, docs, sf_dir), f"pipeline-{k}")
+        if k:
+            discard(before)
     return docs

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import written
+from weftline.llm.common import discard, written
 
 
 def _hung(neighbours: DataFrame, keep_self: bool) -> DataFrame:
@@ -34,7 +34,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         small = _hung(ordered(large).select(F.col("a").alias("u"), F.col("b").alias("v")), keep_self=True)
-        current = written(ordered(small), "edges")
+        before, current = current, written(ordered(small), "edges")
+        discard(before)
         found = current.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(found) == state:
             break

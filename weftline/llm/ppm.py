@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import LOWER_ASCII, WORD_BYTES, column_bytes, give_back, remainder, table, written
+from weftline.llm.common import LOWER_ASCII, WORD_BYTES, column_bytes, discard, give_back, remainder, table, written
 
 ORDER, BLOCK_BYTES, SLICE_BYTES = 5, 32 << 20, 2 << 20
 #: Texts go to Python so many at a time: the JVM's buffers are as large as a batch.
@@ -265,7 +265,8 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     own = counts.where(f"kind = {GRAM}").select("key", "n").repartition(F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFF)))
     values = own.mapInArrow(scored, "key long, value double").select(F.lit(GRAM).cast("byte").alias("kind"), "key", "value")
     values = values.unionByName(counts.where(f"kind = {WORD}").select("kind", "key", F.col("n").cast("double").alias("value")))
-    values = written(values, "ppm-values").select(F.col("kind").alias("k1"), F.col("key").alias("k2"), "value")
+    valued = written(values, "ppm-values")
+    values = valued.select(F.col("kind").alias("k1"), F.col("key").alias("k2"), "value")
     wanted = rows.select("block", "kind", "key").join(values, (F.col("kind") == F.col("k1")) & (F.col("key") == F.col("k2"))).select(F.col("block").alias("b"), "kind", "key", "value")
 
     def judged(texts, found):
@@ -283,7 +284,9 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         return pa.table({"doc_id": texts.column("doc_id"), "held_out": texts.column("held_out"), "n_tokens": pa.array(n_tokens.astype(np.int64)), "n_known": pa.array(n_known.astype(np.int64)), "train_tokens": pa.array([total] * n, pa.int64()), "base_score": pa.array(base), "score": pa.array(score)})
 
     fields = f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return written(blocks.groupBy("block").cogroup(wanted.groupBy("b")).applyInArrow(judged, fields), "ppm-scores", **SMALL_BATCHES)
+    scores = written(blocks.groupBy("block").cogroup(wanted.groupBy("b")).applyInArrow(judged, fields), "ppm-scores", **SMALL_BATCHES)
+    discard(rows, counts, valued)
+    return scores
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
