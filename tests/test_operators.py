@@ -127,6 +127,9 @@ def test_vector_search(spark):
     assert [r.id for r in nearest(v, [3.0, 1.0], 2).collect()] == [3, 4]
     q = v.where("id = 3").select(F.col("id").alias("query_id"), F.col("embedding").alias("query_vec"))
     assert [r.id for r in nearest_to_each(v, q, 2).orderBy("place").collect()] == [3, 4]
+    every = v.select(F.col("id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    one, many = (sorted(tuple(r) for r in nearest_to_each(v, every, 3, block=k).collect()) for k in (100, 3))
+    assert one == many and len(one) == 24
     assert nearest_to_each(v.limit(0), q, 2).count() == 0
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.paths import vector_id
@@ -23,12 +23,27 @@ def nearest(vectors: DataFrame, query: list[float], n: int = 5, vec: str = "embe
     return vectors.withColumn("distance", cosine_distance(F.col(vec), q)).orderBy("distance", key).limit(n)
 
 
-def nearest_to_each(vectors: DataFrame, queries: DataFrame, n: int = 5, vec: str = "embedding", key: str = "id", query_key: str = "query_id", query_vec: str = "query_vec") -> DataFrame:
-    """The n nearest rows to each of a stated set of queries, which is split into blocks that each meet all rows; each pair is scored once and each task
-    keeps n for each query before anything is shuffled."""
-    schema = f"query_id {queries.schema[query_key].dataType.simpleString()}, id {vectors.schema[key].dataType.simpleString()}, distance double"
+def nearest_to_each(vectors: DataFrame, queries: DataFrame, n: int = 5, vec: str = "embedding", key: str = "id", query_key: str = "query_id", query_vec: str = "query_vec", block: int = 20_000) -> DataFrame:
+    """The n nearest rows to each of a stated set of queries.
+
+    Queries go in blocks of about ``block``, whatever their number; each block is sent to the tasks and meets all rows there. A task keeps n for each query
+    before anything is shuffled, and the places are then settled by query.
+    """
     q = queries.select(F.col(query_key).alias("query_id"), F.col(query_vec).alias("query_vec"))
-    held = q.toArrow()  # the stated queries
+    rows = vectors.select(F.col(key).alias("id"), F.col(vec).alias("v"))
+    schema = f"query_id {q.schema['query_id'].dataType.simpleString()}, id {rows.schema['id'].dataType.simpleString()}, distance double"
+    blocks = max(1, -(-q.count() // block))
+    parts = [rows.mapInArrow(_nearest_in_task(vectors, q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k), n), schema) for k in range(blocks)]
+    found = parts[0]
+    for p in parts[1:]:
+        found = found.unionByName(p)
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
+    return found.withColumn("place", place).where(F.col("place") <= n)
+
+
+def _nearest_in_task(vectors: DataFrame, queries: DataFrame, n: int):
+    """A function of Arrow batches of (id, v) to the n nearest rows of each batch to each query."""
+    held = queries.toArrow()  # one block
     id_type = held.schema.field("query_id").type
     shared = vectors.sparkSession.sparkContext.broadcast((held.column("query_id").to_pylist(), held.column("query_vec").to_pylist()))
 
@@ -36,28 +51,23 @@ def nearest_to_each(vectors: DataFrame, queries: DataFrame, n: int = 5, vec: str
         import numpy as np
         import pyarrow as pa
 
-        ids, vectors_q = shared.value
+        ids, asked = shared.value
         if not ids:
             return
-        a = np.array(vectors_q, np.float64)
+        a = np.array(asked, np.float64)
         a /= np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-300)
         for b in batches:
             x = np.array(b.column("v").to_pylist(), np.float64).reshape(b.num_rows, -1)
             if not len(x):
                 continue
             x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-            names = b.column("id")
             for k in range(0, len(a), 256):
                 d = 1.0 - a[k : k + 256] @ x.T
                 m = min(n, d.shape[1])
                 top = np.argpartition(d, m - 1, axis=1)[:, :m]
-                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in range(k, k + len(d)) for _ in range(m)], id_type), names.take(pa.array(top.ravel())), pa.array(np.take_along_axis(d, top, 1).ravel())], ["query_id", "id", "distance"])
-
-    from pyspark.sql import Window
+                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in range(k, k + len(d)) for _ in range(m)], id_type), b.column("id").take(pa.array(top.ravel())), pa.array(np.take_along_axis(d, top, 1).ravel())], ["query_id", "id", "distance"])
 
-    found = vectors.select(F.col(key).alias("id"), F.col(vec).alias("v")).mapInArrow(run, schema)
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
-    return found.withColumn("place", place).where(F.col("place") <= n)
+    return run
 
 
 def embedding_text(method, path, handler, parameters, dependencies, doc) -> Column:

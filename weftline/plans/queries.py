@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import comments, openapi, paths, source_text
@@ -318,11 +318,12 @@ def nearest_vectors(spark, sf_dir):
 
 @query("""SELECT source, string_agg(substr(text, 1, 80), '|' ORDER BY doc_id) FILTER (r <= 3) AS examples, count(*) - least(count(*), 3) AS others, min(doc_id) AS first_id FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents) GROUP BY source""")
 def first_n_examples(spark, sf_dir):
-    from pyspark.sql import Window
-
-    df = table(spark, sf_dir, "documents").select("source", "doc_id", F.substring("text", 1, 80).alias("t")).withColumn("r", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")))
-    top = F.array_sort(F.collect_list(F.when(F.col("r") <= 3, F.struct("doc_id", "t"))))
-    return df.groupBy("source").agg(F.array_join(F.transform(top, lambda x: x["t"]), "|").alias("examples"), (F.count("*") - F.least(F.count("*"), F.lit(3))).alias("others"), F.min("doc_id").alias("first_id"))
+    df = table(spark, sf_dir, "documents").select("source", "doc_id", F.substring("text", 1, 80).alias("t"))
+    top = df.withColumn("r", F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))).where("r <= 3")  # each task keeps three of a source
+    top = top.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("doc_id", "t"))).alias("top"))
+    counts = df.groupBy(F.col("source").alias("s")).agg((F.count("*") - F.least(F.count("*"), F.lit(3))).alias("others"), F.min("doc_id").alias("first_id"))
+    joined = top.join(counts, F.col("source").eqNullSafe(F.col("s")))
+    return joined.select("source", F.array_join(F.transform("top", lambda x: x["t"]), "|").alias("examples"), "others", "first_id")
 
 
 # --- source text ------------------------------------------------------------------------------------------------------
