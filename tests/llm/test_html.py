@@ -39,6 +39,11 @@ def test_odd_pages(page, want):
     assert main_text(page) == want
 
 
+def test_wrappers_that_speak_of_a_side_bar_stay():
+    inner = ARTICLE.replace("article>", "div>")
+    assert main_text(PAGE % f"<div class='header'>Site, here.</div><div class='page with-sidebar no-ads'>{inner}<div class='sidebar'>Side, bar.</div></div>") == TEXT
+
+
 def test_long_pages_are_whole():
     body = "".join(f"<p>Paragraph {k}, of many.</p>" for k in range(5000))
     assert main_text(PAGE % f"<article>{body}</article>") == " ".join(f"Paragraph {k}, of many." for k in range(5000))

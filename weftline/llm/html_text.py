@@ -33,7 +33,9 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 FENCES = frozenset("ul ol dl table menu".split())
 DROPPED = frozenset("head nav aside footer form menu dialog fieldset button".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
-NAMED = re.compile(r"(?:^|[\s_-])(?:nav(?:bar|igation)?|menu|side-?bar|footer|masthead|site-?header|page-?header|ads?|advert\w*|sponsor\w*|banner|promo\w*|cookies?|consent|notices?|gdpr|pop-?up|modal|newsletter|subscribe|subscription|signup|login|search(?:-?form)?|share|sharing|social|breadcrumbs?|pagination|pager|comments?|comment-?list|respond|disqus|replies|related|recommend\w*|widget|toolbar|skip-?link|copyright)(?:$|[\s_-])", re.I)
+NAMED = re.compile(r"(?:^|[\s_-])(?:nav(?:bar|igation)?|menu|side-?bar|footer|masthead|site-?header|page-?header|ads?|advert\w*|sponsor\w*|banner|promo\w*|cookies?|consent|notices?|gdpr|pop-?up|modal|newsletter|subscribe|subscription|signup|login|search(?:-?form)?|share|sharing|social|breadcrumbs?|pagination|pager|comments?|comment-?list|respond|disqus|replies|related|recommend\w*|widget|toolbar|skip-?link|copyright)(?:$|[\s_-])|^header$", re.I)
+#: Names of wrappers that say what lies beside or in them.
+ABOUT = re.compile(r"(?:has|have|with|no|without|is|js)[_-]", re.I)
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 PUNCTUATION = re.compile(r"[.,;:!?。，…]")
 #: Share of the largest fused ratio that makes a content path; share of its text that a container must hold.
@@ -57,7 +59,7 @@ def _boilerplate(name: str, attributes: str, article: bool) -> tuple[str, bool]:
             key, value = key.lower(), a or b or c
             if key == "class" and value.strip():
                 label = f"{name}.{value.split()[0]}"
-            if key in ("class", "id") and name not in ("html", "body", "article", "main") and NAMED.search(value) or key == "role" and value.lower() in ROLES or key == "aria-hidden" and value.lower() == "true":
+            if key in ("class", "id") and name not in ("html", "body", "article", "main") and any(NAMED.search(x) and not ABOUT.match(x) for x in value.split()) or key == "role" and value.lower() in ROLES or key == "aria-hidden" and value.lower() == "true":
                 dropped = True
         dropped = dropped or bool(re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", re.sub(r"\"[^\"]*\"|'[^']*'", "", attributes)))
     return label, dropped
