@@ -216,6 +216,7 @@ def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", part
     least = members.groupBy("component").agg(F.min("rep").alias("least"))
     named = members.join(least, "component").select(F.col("fp").alias("fp2"), "least")
     named = fps.select("fp", "rep").join(named, F.col("fp") == F.col("fp2"), "left").select(F.col("fp").alias("f"), F.coalesce("least", "rep").alias("component_id"))
+    named = written(named, "simhash-named")  # with a plain exchange on both sides a fingerprint of many copies is split
     return prints.join(named, F.col("fp") == F.col("f")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
