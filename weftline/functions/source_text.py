@@ -11,6 +11,15 @@ from weftline.functions.paths import col, filled, first_of
 NO_TABLES = ("req", "res", "next", "console", "async", "await")
 TABLE_CALLS = ("find", "findOne", "create", "update", "destroy")
 HTTP_METHODS = ("get", "post", "put", "delete", "patch", "head", "options")
+#: Patterns of what counts as a dependency, a field or a definition.
+MODEL_NAME = r"""mongoose\.model\(['"](\w+)['"]\)"""
+SERVICE_CALL = r"(\w+Service)\.\w+\("
+AXIOS_CALL = r"""axios\.(get|post|put|delete|patch)\(['"`]([^'"`]+)"""
+FETCH_CALL = r"""fetch\(['"`]([^'"`]+)"""
+DESTRUCTURED = r"const\s*\{\s*([^}]+)\s*\}\s*=\s*req\."
+BODY_ALIAS = r"const\s+(\w+)\s*=\s*req\.body"
+JSON_ANSWER, ANSWER_KEY = r"res\.json\(\{([^}]+)\}", r"(\w+):"
+API_PARAM = r"(?m)@apiParam\s+\{(\w+)\}\s+(\w+)\s+(.+)$"
 WHITE = " \t\n\r\f\x0b"
 
 
@@ -42,25 +51,24 @@ def framework(source) -> Column:
 
 def database_calls(source) -> Column:
     """Distinct receivers of table calls and names of models, by pattern, then place."""
-    found = [all_of(source, rf"(\w+)\.{call}\(") for call in TABLE_CALLS] + [all_of(source, r"""mongoose\.model\(['"](\w+)['"]\)""")]
+    found = [all_of(source, rf"(\w+)\.{call}\(") for call in TABLE_CALLS] + [all_of(source, MODEL_NAME)]
     return F.array_except(F.flatten(F.array(*found)), F.array(*[F.lit(x) for x in NO_TABLES]))
 
 
 def service_calls(source) -> Column:
-    return F.array_distinct(all_of(source, r"(\w+Service)\.\w+\("))
+    return F.array_distinct(all_of(source, SERVICE_CALL))
 
 
 def http_calls(source) -> Column:
     """url and method of each outgoing call; a plain fetch counts as GET."""
-    axios = r"""axios\.(get|post|put|delete|patch)\(['"`]([^'"`]+)"""
-    verbs = F.transform(F.arrays_zip(all_of(source, axios, 2).alias("url"), all_of(source, axios, 1).alias("method")), lambda x: F.struct(x["url"].alias("url"), F.upper(x["method"]).alias("method")))
-    plain = F.transform(all_of(source, r"""fetch\(['"`]([^'"`]+)"""), lambda x: F.struct(x.alias("url"), F.lit("GET").alias("method")))
+    verbs = F.transform(F.arrays_zip(all_of(source, AXIOS_CALL, 2).alias("url"), all_of(source, AXIOS_CALL, 1).alias("method")), lambda x: F.struct(x["url"].alias("url"), F.upper(x["method"]).alias("method")))
+    plain = F.transform(all_of(source, FETCH_CALL), lambda x: F.struct(x.alias("url"), F.lit("GET").alias("method")))
     return F.concat(verbs, plain)
 
 
 def fields_of(source, kind: str) -> Column:
     """The fields of the first ``const {a, b} = req.<kind>``."""
-    inside = F.regexp_extract(F.coalesce(col(source), F.lit("")), r"const\s*\{\s*([^}]+)\s*\}\s*=\s*req\." + kind, 1)
+    inside = F.regexp_extract(F.coalesce(col(source), F.lit("")), DESTRUCTURED + kind, 1)
     return F.filter(F.transform(F.split(inside, ","), trimmed), lambda x: x != "")
 
 
@@ -70,7 +78,7 @@ def query_fields(source) -> Column:
 
 
 def body_fields(source) -> Column:
-    return F.array_distinct(F.concat(all_of(source, r"req\.body\.(\w+)"), fields_of(source, "body"), all_of(source, r"const\s+(\w+)\s*=\s*req\.body")))
+    return F.array_distinct(F.concat(all_of(source, r"req\.body\.(\w+)"), fields_of(source, "body"), all_of(source, BODY_ALIAS)))
 
 
 def body_required(source) -> Column:
@@ -87,8 +95,8 @@ def body_schema(source) -> Column:
 
 
 def output_fields(source) -> Column:
-    inside = all_of(source, r"res\.json\(\{([^}]+)\}")
-    return F.array_distinct(F.flatten(F.transform(inside, lambda x: F.regexp_extract_all(x, F.lit(r"(\w+):"), 1))))
+    inside = all_of(source, JSON_ANSWER)
+    return F.array_distinct(F.flatten(F.transform(inside, lambda x: F.regexp_extract_all(x, F.lit(ANSWER_KEY), 1))))
 
 
 def path_fields(path) -> Column:
@@ -125,8 +133,7 @@ def handler_code(source, method, path, most: int = 2500, before: int = 400, skip
 def apidoc(block) -> Column:
     """description and params of an ``@apiDescription`` block."""
     text = F.regexp_extract(col(block), r"(?s)@apiDescription\s+(.+?)(?=\n\s*\*|\n\*/|\z)", 1)
-    pattern = r"(?m)@apiParam\s+\{(\w+)\}\s+(\w+)\s+(.+)$"
-    params = F.arrays_zip(all_of(block, pattern, 1).alias("type"), all_of(block, pattern, 2).alias("name"), all_of(block, pattern, 3).alias("desc"))
+    params = F.arrays_zip(all_of(block, API_PARAM, 1).alias("type"), all_of(block, API_PARAM, 2).alias("name"), all_of(block, API_PARAM, 3).alias("desc"))
     return F.struct(filled(trimmed(F.regexp_replace(text, r"\n\s*\*\s*", " "))).alias("description"), params.alias("params"))
 
 

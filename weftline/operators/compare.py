@@ -13,6 +13,11 @@ from weftline.functions.paths import col, endpoint_key, path_template
 from weftline.functions.source_text import numbered
 from weftline.operators.merge import added
 
+#: Fixed format of a generated comment block: path, method, summary, description, tag.
+BLOCK = "/**\n * @swagger\n * %s:\n *   %s:\n *     summary: %s\n *     description: %s\n *     tags:\n *       - %s\n *     parameters: []\n *     responses:\n *       200:\n *         description: Success\n *       401:\n *         description: Unauthorized\n *       500:\n *         description: Server Error\n */"
+#: How much longer a summary and a description must be to count as better.
+LONGER_SUMMARY, LONGER_TEXT = 15, 20
+
 
 def key_of(method, path) -> Column:
     """One key for all spellings of a route: upper-case method, leading slash, parameters in braces."""
@@ -33,7 +38,7 @@ def compare_docs(generated: DataFrame, original: DataFrame) -> DataFrame:
     def more(field):
         return has & (F.size(F.coalesce(field, F.array())) > F.size(F.coalesce(f"o.{field}", F.array())))
 
-    text = has & (longer("summary", "o.summary", 15) | longer("description", "o.description", 20))
+    text = has & (longer("summary", "o.summary", LONGER_SUMMARY) | longer("description", "o.description", LONGER_TEXT))
     better = text | more("params") | more("body") | more("responses")
     return x.select(
         F.upper("method").alias("method"), "path", "summary", F.col("o.summary").alias("original_summary"),
@@ -61,12 +66,11 @@ def markdown_report(compared: DataFrame) -> DataFrame:
 
 def doc_block(method, path, summary, description, tag) -> Column:
     """The comment block of an operation."""
-    template = "/**\n * @swagger\n * %s:\n *   %s:\n *     summary: %s\n *     description: %s\n *     tags:\n *       - %s\n *     parameters: []\n *     responses:\n *       200:\n *         description: Success\n *       401:\n *         description: Unauthorized\n *       500:\n *         description: Server Error\n */"
 
     def text(x, default):
         return F.coalesce(F.nullif(col(x), F.lit("")), F.lit(default))
 
-    return F.format_string(template, col(path), F.lower(col(method)), text(summary, "TODO: Add summary"), text(description, "TODO: Add description"), text(tag, "API"))
+    return F.format_string(BLOCK, col(path), F.lower(col(method)), text(summary, "TODO: Add summary"), text(description, "TODO: Add description"), text(tag, "API"))
 
 
 def patches(generated: DataFrame, spans: DataFrame, routes: DataFrame, positions: DataFrame) -> DataFrame:
@@ -81,7 +85,7 @@ def patches(generated: DataFrame, spans: DataFrame, routes: DataFrame, positions
     p = positions.withColumn("_kp", key_of(F.split("key", " ")[0], F.regexp_extract("key", r"^\S+ (.*)$", 1))).groupBy("file", "_kp").agg(F.max("line").alias("_line")).withColumnRenamed("file", "_fp")
     x = g.join(r, F.col("_k") == F.col("_kr")).join(s, (F.col("_k") == F.col("_ks")) & (F.col("r.file") == F.col("_fs")), "left").join(p, (F.col("_k") == F.col("_kp")) & (F.col("r.file") == F.col("_fp")), "left")
     old = F.col("_ks").isNotNull()
-    x = x.where(~old | longer("summary", "s.summary", 15)).withColumn("new_content", doc_block("method", "path", "summary", "description", F.get("tags", F.lit(0))))
+    x = x.where(~old | longer("summary", "s.summary", LONGER_SUMMARY)).withColumn("new_content", doc_block("method", "path", "summary", "description", F.get("tags", F.lit(0))))
     at = F.coalesce(F.when(F.col("r.line") > 0, F.col("r.line")), F.col("_line"), F.lit(1))
     return x.select(
         F.when(old, "improved").otherwise("new").alias("type"), F.upper("method").alias("method"), "path", F.when(old, "replace").otherwise("insert").alias("action"), F.col("r.file").alias("file"),
