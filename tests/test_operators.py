@@ -130,6 +130,8 @@ def test_vector_search(spark):
     every = v.select(F.col("id").alias("query_id"), F.col("embedding").alias("query_vec"))
     one, many = (sorted(tuple(r) for r in nearest_to_each(v, every, 3, block=k).collect()) for k in (100, 3))
     assert one == many and len(one) == 24
+    same = spark.createDataFrame([(k, [1.0, 1.0]) for k in range(20, 0, -1)], "id int, embedding array<float>")
+    assert [r.id for r in nearest_to_each(same, q, 3).orderBy("place").collect()] == [1, 2, 3]
     assert nearest_to_each(v.limit(0), q, 2).count() == 0
 
 

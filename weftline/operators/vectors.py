@@ -61,10 +61,15 @@ def _nearest_in_task(vectors: DataFrame, queries: DataFrame, n: int):
             if not len(x):
                 continue
             x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+            names = None
             for k in range(0, len(a), 256):
                 d = 1.0 - a[k : k + 256] @ x.T
                 m = min(n, d.shape[1])
                 top = np.argpartition(d, m - 1, axis=1)[:, :m]
+                last = np.take_along_axis(d, top, 1).max(1)
+                for r in np.flatnonzero((d <= last[:, None]).sum(1) > m).tolist():  # of rows at the last distance the smallest ids stay
+                    names = b.column("id").to_pylist() if names is None else names
+                    top[r] = sorted(np.flatnonzero(d[r] <= last[r]).tolist(), key=lambda i: (d[r, i], names[i]))[:m]
                 yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in range(k, k + len(d)) for _ in range(m)], id_type), b.column("id").take(pa.array(top.ravel())), pa.array(np.take_along_axis(d, top, 1).ravel())], ["query_id", "id", "distance"])
 
     return run
