@@ -366,7 +366,7 @@ def doc_patches(spark, sf_dir):
     return project.project_patches(fixtures.sources(spark))
 
 
-@query("""SELECT * FROM (VALUES ('simple-express', 1.0::DOUBLE, 0.428571, 0.0::DOUBLE, 0.47619, false), ('middleware-chains', 1.0, 0.428571, 0.0, 0.47619, false), ('nestjs-decorators', 1.0, 0.428571, 0.0, 0.47619, false), ('jsdoc-documentation', 1.0, 1.0, 0.0, 0.666667, false), ('openapi-generation', 0.0, 0.0, 1.0, 0.333333, false)) t("case", parsing, swagger, generation, overall, passed)""")
+@query("""SELECT "case", parsing::DOUBLE AS parsing, swagger::DOUBLE AS swagger, generation::DOUBLE AS generation, overall::DOUBLE AS overall, passed FROM (VALUES ('simple-express', 1.0::DOUBLE, 0.428571, 0.0::DOUBLE, 0.47619, false), ('middleware-chains', 1.0, 0.428571, 0.0, 0.47619, false), ('nestjs-decorators', 1.0, 0.428571, 0.0, 0.47619, false), ('jsdoc-documentation', 1.0, 1.0, 0.0, 0.666667, false), ('openapi-generation', 0.0, 0.0, 1.0, 0.333333, false)) t("case", parsing, swagger, generation, overall, passed)""")
 def evaluation_scores(spark, sf_dir):
     out = project.evaluation(fixtures.cases(spark), fixtures.expected(spark))
     return out.select("case", *[F.round(c, 6).alias(c) for c in ("parsing", "swagger", "generation", "overall")], "passed")
@@ -384,7 +384,7 @@ def schema_registry(spark, sf_dir):
     return openapi.schema_registry(e.select(F.col("event_type").alias("name"), F.col("props").alias("schema"), F.col("event_id").alias("ord")))
 
 
-@query("SELECT * FROM (VALUES ('crm/users', 3, 3, 1, 19), ('crm/zones', 2, 1, 0, 10), ('other', 1, 1, 1, 8), ('all', 6, 5, 2, 37)) t(entity, operations, with_parameters, with_body, responses)")
+@query("SELECT entity, operations::BIGINT AS operations, with_parameters::BIGINT AS with_parameters, with_body::BIGINT AS with_body, responses::BIGINT AS responses FROM (VALUES ('crm/users', 3, 3, 1, 19), ('crm/zones', 2, 1, 0, 10), ('other', 1, 1, 1, 8), ('all', 6, 5, 2, 37)) t(entity, operations, with_parameters, with_body, responses)")
 def extraction_totals(spark, sf_dir):
     s = fixtures.sources(spark)
     ops = openapi.operations(openapi.enriched(project.routes(s), s)).select(F.coalesce(paths.filled(F.regexp_extract("path", "^/api/(crm/[^/]+)", 1)), F.lit("other")).alias("entity"), "operation")
