@@ -4,7 +4,7 @@ Features are hashed byte bigrams and trigrams of the lower-cased letters of the
 language family; within it one-versus-one machines for each pair of its languages vote, ties going to the larger sum of margins. The score is the product
 of the calibrated probabilities of the family and of the language against its strongest rival.
 
-The fit uses at most about ``SAMPLE`` documents of each language, drawn by a hash of the text from those with a language; only text and language are
+The fit uses at most about ``SAMPLE`` documents of each language, and ``MOST`` in all, drawn by a hash of the text from those with a language; only text and language are
 used. Every document is scored.
 
 Defined cases: a null text or one without a letter is "und" with score 0; languages that FAMILIES doesn't list are a family each; with one learned
@@ -34,7 +34,7 @@ FAMILIES = {
     "baltic": "lt lv",
     "indic": "hi bn ur mr gu pa ne",
 }
-SIZE, SAMPLE, UNKNOWN, SEED = 4096, 800, "und", 11
+SIZE, SAMPLE, MOST, UNKNOWN, SEED = 4096, 800, 4000, "und", 11
 LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -105,6 +105,7 @@ def fit_languages(labelled: DataFrame, sample: int = SAMPLE, size: int = SIZE) -
     counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
     if not counts:
         return None
+    sample = min(sample, MOST / len(counts))
     limit = F.coalesce(*[F.when(F.col("lang") == v, F.lit(min(1 << 30, int((1 << 30) * sample / n)))) for v, n in counts.items()])
 
     def run(batches):
