@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import column_bytes, slices, table
+from weftline.llm.common import column_bytes, slices, table, written
 
 FRAME, SIDE, PAD = 576, 24, b"\xff"
 #: Chunks have at least MIN, at most MAX and about 2**CUT_BITS + MIN bytes.
@@ -215,6 +215,7 @@ def media_columns(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
 
     chunks = docs.mapInArrow(lists, f"doc_id {id_type}, media binary, seq int, digest binary, own binary")
     stored = docs.select("text").mapInArrow(store, "stored binary, payload binary").groupBy("stored").agg(F.first("payload").alias("payload"))
+    stored = written(stored, "media-store")  # with a plain exchange on both sides a chunk of many documents is split
     fetched = chunks.where("own is null").join(stored, F.col("digest") == F.col("stored")).select("doc_id", "media", "seq", "digest", "payload")
     everything = fetched.unionByName(chunks.where("own is not null").select("doc_id", "media", "seq", "digest", F.col("own").alias("payload")))
     rebuilt = everything.repartition("doc_id", "media").sortWithinPartitions("doc_id", "media", "seq").mapInArrow(rebuild, fields)
