@@ -8,8 +8,8 @@ calibrated log odds are added, less the prior's.
 Labelled documents are a sample of at most about ``SAMPLE`` labels, the pool one of about ``POOL`` documents, both drawn by hash. Every document is
 scored and kept if its probability of quality is at least ``KEEP``.
 
-Defined cases: a null text counts as empty and an empty text is rejected; null metadata are a value of their own; null labels aren't used; labels
-that repeat count as often; without labels of both kinds every document with a word is kept at 0.5. Repeated rows give repeated results. An empty table
+Defined cases: a null text counts as empty and an empty text is rejected; null metadata are a value of their own; null labels aren't used;
+rows and labels that repeat count once; without labels of both kinds every document with a word is kept at 0.5. Repeated rows give repeated results. An empty table
 gives an empty result. Other columns aren't read.
 """
 
@@ -108,7 +108,7 @@ def _views(b):
 
 def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, pool: int = POOL) -> CoTrained | None:
     """``docs(doc_id, text, lang, source, n_chars)`` and ``labels(doc_id, quality)`` to the model, from bounded samples."""
-    labels = labels.where("doc_id is not null and quality is not null").select(F.col("doc_id").alias("label_id"), (F.col("quality") > 0).cast("int").alias("y"))
+    labels = labels.where("doc_id is not null and quality is not null").select(F.col("doc_id").alias("label_id"), (F.col("quality") > 0).cast("int").alias("y")).groupBy("label_id").agg(F.min("y").alias("y"))
     n_labels, n_docs = labels.count(), docs.count()
     if not n_labels:
         return None
@@ -128,7 +128,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, pool:
     columns = ["text", "lang", "source", "n_chars", "h", "y"]
     known = keyed.join(F.broadcast(drawn), F.col("doc_id") == F.col("label_id")).select(*columns)  # about SAMPLE rows at most
     unknown = keyed.where(F.col("h") < F.lit(min(1 << 30, int((1 << 30) * pool / max(n_docs, 1))))).withColumn("y", F.lit(-1)).select(*columns)
-    got = known.unionByName(unknown).mapInArrow(run, "x binary, y int, h long").toArrow().sort_by([("h", "ascending"), ("y", "ascending"), ("x", "ascending")])
+    once = known.unionByName(unknown).groupBy("h", F.col("y") < 0).agg(F.min(F.struct(*columns)).alias("r")).select("r.*")  # copies count once, so the samples stay bounded
+    got = once.mapInArrow(run, "x binary, y int, h long").toArrow().sort_by([("h", "ascending"), ("y", "ascending"), ("x", "ascending")])
     x = np.stack([np.frombuffer(v, np.float16) for v in got.column("x").to_pylist()]).astype(np.float32) if got.num_rows else np.zeros((0, GRAMS + SHARES + META), np.float32)
     y = got.column("y").to_numpy()
     if len(set(y[y >= 0].tolist())) < 2:

@@ -118,7 +118,7 @@ def judge_urls(pages: DataFrame, page_id: str = "page_id", url: str = "url", rul
     drawn: dict[str, list] = defaultdict(list)
     if len(share) == 2:
         wanted = F.coalesce(*[F.when((F.col("verdict") == v) & (F.col("h") < s), F.lit(True)) for v, s in share.items()], F.lit(False))
-        for r in labelled.where(wanted).orderBy("h", "text").select("text", "verdict").collect():  # about 2 x sample rows at most
+        for r in labelled.where(wanted).distinct().orderBy("h", "text", "verdict").select("text", "verdict").collect():  # about 2 x sample rows at most; copies count once
             drawn[r["verdict"]].append(r["text"])
     model = None
     if drawn["allow"] and drawn["block"]:
