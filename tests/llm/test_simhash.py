@@ -94,3 +94,17 @@ def test_components(spark):
 def test_one_of_each_stays(make_docs):
     rows = [(3, "a b c d e"), (1, "a b c d e"), (2, "quite another text here"), (2, "quite another text here")]
     assert sorted(r.doc_id for r in simhash.keep_one_each(make_docs(rows)).collect()) == [1, 2]
+
+
+def test_one_of_each_stays_whatever_the_ids(make_docs):
+    one, near, other, third = "a b c d e", "A b c d e", "quite another text here", "and a third one of words"
+    rows = [(None, one), (None, near), (None, other), (7, third), (7, "text of its own, seven"), (8, "text of its own, seven"), (9, other), (None, None), (5, "7 7 7 7 7")]
+    got = sorted((str(r.doc_id), r.text.lower() if r.text else None) for r in simhash.keep_one_each(make_docs(rows)).collect() if r.text)
+    assert got == sorted([("None", one), ("9", other), ("7", third), ("7", "text of its own, seven"), ("5", "7 7 7 7 7")])
+    assert simhash.keep_one_each(make_docs(rows)).where("text is null").count() == 1
+
+
+def test_one_of_each_ignores_ids_that_name_other_components(make_docs):
+    rows = [(1, "the first group of words"), (2, "the first group of words"), (2, "a second group, with others"), (1, "a second group, with others")]
+    got = sorted((r.doc_id, r.text) for r in simhash.keep_one_each(make_docs(rows)).collect())
+    assert got == [(1, "a second group, with others"), (1, "the first group of words")]

@@ -20,7 +20,7 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm.common import LOWER_ASCII, WORD_BYTES, column_bytes, slices, table, written
@@ -57,18 +57,20 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE, seed: int = SEED) ->
     return int(np.packbits(ones * 2 > n, bitorder="little").view(np.int64)[0])
 
 
-def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id and fp (signed 64 bits), one row for each row."""
-    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", also: Column | None = None) -> DataFrame:
+    """doc_id and fp (signed 64 bits), one row for each row; ``also``, a string of the row, adds the column digest."""
+    digest = [] if also is None else [also.alias("digest")]
+    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *digest)
 
     def run(batches):
         import pyarrow as pa
 
         for whole in batches:
             for b in slices(whole, 16 << 20):
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([fingerprint(t) for t in column_bytes(b.column("text"))], pa.int64())], ["doc_id", "fp"])
+                fps = pa.array([fingerprint(t) for t in column_bytes(b.column("text"))], pa.int64())
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), fps, *b.columns[2:]], ["doc_id", "fp", *b.schema.names[2:]])
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long" + ", digest string" * len(digest))
 
 
 def bit_counts(distinct: DataFrame) -> tuple[int, np.ndarray]:
@@ -189,9 +191,9 @@ def links(fps: DataFrame, near: np.ndarray, n: int, parts: int = PARTS, distance
     return pairs.select(F.col("g").alias("a"), F.col("h").alias("b"))
 
 
-def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", parts: int = PARTS, distance: int = DISTANCE) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id (the smallest id of the component): one row for each row of ``docs``."""
-    prints = written(fingerprints(docs, doc_id, text), "simhash-fps")
+def named_components(prints: DataFrame, parts: int = PARTS, distance: int = DISTANCE) -> DataFrame:
+    """``prints(doc_id, fp, ...)`` to f (each distinct fingerprint), component_id (the smallest id of its component) and part, a number that no other
+    component has, whatever the ids."""
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))
     n, both = bit_counts(distinct)
     order = bit_layout(n, both, parts)
@@ -214,18 +216,33 @@ def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", part
     found = connected_components(links(fps, near, n, parts, distance))
     members = fps.join(found, F.col("g") == F.col("node")).select("fp", "rep", "component")
     least = members.groupBy("component").agg(F.min("rep").alias("least"))
-    named = members.join(least, "component").select(F.col("fp").alias("fp2"), "least")
-    named = fps.select("fp", "rep").join(named, F.col("fp") == F.col("fp2"), "left").select(F.col("fp").alias("f"), F.coalesce("least", "rep").alias("component_id"))
-    named = written(named, "simhash-named")  # with a plain exchange on both sides a fingerprint of many copies is split
+    named = members.join(least, "component").select(F.col("fp").alias("fp2"), "least", "component")
+    named = fps.join(named, F.col("fp") == F.col("fp2"), "left")
+    # components are named by the least of their permuted fingerprints, one without links by its own
+    named = named.select(F.col("fp").alias("f"), F.when(F.col("fp2").isNull(), F.col("rep")).otherwise(F.col("least")).alias("component_id"), F.coalesce("component", "g").alias("part"))
+    return written(named, "simhash-named")  # with a plain exchange on both sides a fingerprint of many copies is split
+
+
+def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", parts: int = PARTS, distance: int = DISTANCE) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id (the smallest id of the component): one row for each row of ``docs``."""
+    prints = written(fingerprints(docs, doc_id, text), "simhash-fps")
+    named = named_components(prints, parts, distance)
     return prints.join(named, F.col("fp") == F.col("f")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one_each(docs: DataFrame, **options) -> DataFrame:
-    """The document of each component that has its smallest id, with all its columns. Rows of one id are one document, of which the least row stays."""
-    names = near_dedup(docs, **options).select(F.col("component_id").alias("_kept")).distinct()
-    kept = docs.join(names, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+def keep_one_each(docs: DataFrame, parts: int = PARTS, distance: int = DISTANCE) -> DataFrame:
+    """One document of each component with all its columns: the one of its smallest id, a null id last, and of its texts of that id the one of the least
+    md5; of rows that agree in both the least stays. An id that stands in several components is a document in each."""
+    digest = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+    prints = written(fingerprints(docs, also=digest), "simhash-fps")
+    best = prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest")).alias("row"))
+    best = best.join(named_components(prints, parts, distance), F.col("fp") == F.col("f")).groupBy("part").agg(F.min("row").alias("row"))
+    best = best.select(F.col("row.doc_id").alias("_kept"), F.col("row.digest").alias("_digest"))
+    # a null text and an empty one share a fingerprint, and so a component
+    kept = docs.withColumn("_md5", digest).join(best, F.col("doc_id").eqNullSafe(F.col("_kept")) & (F.col("_md5") == F.col("_digest")), "left_semi")
     rest = [c for c in docs.columns if c != "doc_id"]
-    return kept.groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("_row")).select(*[F.col("doc_id") if c == "doc_id" else F.col(f"_row.`{c}`") for c in docs.columns])
+    kept = kept.groupBy("doc_id", "_md5").agg(F.min(F.struct(*rest)).alias("_row"))
+    return kept.select(*[F.col("doc_id") if c == "doc_id" else F.col(f"_row.`{c}`") for c in docs.columns])
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
