@@ -41,3 +41,18 @@ def test_families():
     model = language.Hierarchy(x, langs)
     assert set(model.rest) == {"romance", "germanic"} and set(model.pairs) == {("es", "fr")}
     assert np.mean([a == b for a, b in zip(model.predict(x)[0], langs)]) > 0.95
+
+
+def test_copies_dont_starve_a_language(make_docs):
+    few = [(f"der hund und die katze gehen heute nach hause nummer {chr(97 + k)}", "de") for k in range(5)]
+    many = [(f"the cat and the dog go home {chr(97 + k % 26)}{chr(97 + k // 26)}", "en") for k in range(60)]
+    docs = make_docs([(k, t, "a", v) for k, (t, v) in enumerate(few * 4000 + many)]).select("text", "lang")
+    model = language.fit_languages(docs, sample=10)
+    assert model.langs == ["de", "en"]
+    text_of_each = language.drawn_by_hash(docs, "lang", "text", lambda n: 10).groupBy("lang").count().collect()
+    assert {r["lang"]: r["count"] for r in text_of_each} == {"de": 5, "en": 10}
+
+
+def test_every_language_is_learned(make_docs):
+    rows = [(k, f"{chr(97 + k // 20 % 26)}{chr(97 + k // 520)} word {'abc'[k % 3]}", "a", f"q{k // 2}") for k in range(520)]
+    assert len(language.fit_languages(make_docs(rows).select("text", "lang"), size=256).langs) == 260

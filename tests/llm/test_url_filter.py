@@ -69,3 +69,11 @@ def test_markov_like_brute_force():
 def test_one_kind_of_label_allows(spark):
     df = spark.createDataFrame([(1, "http://a.com/"), (2, "http://a.org/"), (2, "http://a.org/"), (None, None)], "page_id long, url string")
     assert {r.verdict for r in url_filter.judge_urls(df).collect()} == {"allow"}
+
+
+def test_copies_dont_starve_a_verdict(spark):
+    hot = [(0, "http://example.com/en/hot")] * 5000
+    rest = [(k, f"http://example.com/en/spam-{k}") for k in range(1, 60)] + [(k, f"http://a.com/page-{k}") for k in range(100, 160)] + [(900, "http://b.org/page-7")]
+    df = spark.createDataFrame(hot + rest, "page_id long, url string")
+    got = {r.page_id: r for r in url_filter.judge_urls(df, sample=50).collect()}
+    assert got[900].score != 0.5 and all(got[k].method_verdict == "block" for k in range(1, 60)) and all(got[k].method_verdict == "allow" for k in range(100, 160))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: White space that separates words, as a Java, Python and RE2 character class.
@@ -82,6 +82,25 @@ def remainder(doc_id: str | Column, modulus: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(col.cast("string")), F.lit(modulus)), F.lit(0))
 
 
+def drawn_by_hash(labelled: DataFrame, label: str, key: str, sample, least: int = 0, bits: int = 30, seed: int = 0) -> DataFrame:
+    """``labelled`` with the column h, a hash of ``key``: of each label the distinct keys of the lowest hashes, all other columns the least ones.
+
+    A label gives ``sample(number of labels)`` of them, ``least`` at least, or all it has: rates come from estimated counts of distinct keys with room to
+    spare, and ranks over what was drawn cut the rest, so copies starve no label and the windows see rows bounded by the sample and the number of labels.
+    """
+    h = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << bits))
+    labelled = labelled.withColumn("h", h)
+    counts = written(labelled.groupBy(F.col(label).alias("_of")).agg(F.approx_count_distinct(F.xxhash64(key)).alias("_n")), "label-counts")
+    want = max(least, int(sample(max(1, counts.count()))))
+    room = 2 * want + 50
+    limits = counts.select("_of", F.least(F.lit(1 << bits), F.ceil(F.lit(float(room << bits)) / F.greatest("_n", F.lit(1)))).alias("_limit"))
+    some = labelled.join(F.broadcast(limits), F.col(label) == F.col("_of")).where("h < _limit").drop("_of", "_limit")
+    rest = [c for c in labelled.columns if c not in (label, key, "h")]
+    once = some.groupBy(label, "h", key).agg(*[F.min(c).alias(c) for c in rest]) if rest else some.select(label, "h", key).distinct()
+    rank = F.row_number().over(Window.partitionBy(label).orderBy("h", key))
+    return once.withColumn("_rank", rank).where(F.col("_rank") <= want).drop("_rank")
+
+
 def column_bytes(column) -> list:
     """The values of an Arrow string column as bytes, nulls as None."""
     import pyarrow as pa

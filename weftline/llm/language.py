@@ -4,8 +4,9 @@ Features are hashed byte bigrams and trigrams of the lower-cased letters of the
 language family; within it one-versus-one machines for each pair of its languages vote, ties going to the larger sum of margins. The score is the product
 of the calibrated probabilities of the family and of the language against its strongest rival.
 
-The fit uses at most about ``SAMPLE`` documents of each language, and ``MOST`` in all, of the ``LANGUAGES`` most frequent languages, drawn by a hash of the text from those with a language; only text and language are
-used. Every document is scored.
+The fit uses ``SAMPLE`` distinct texts of each language, or as many as share ``MOST`` among all, but ``LEAST`` at least, or all that a language has. They
+are drawn by a hash of the text from those with a language; every language is learned, and copies count once. Only text and language are used. Every
+document is scored.
 
 Defined cases: a null text or one without a letter is "und" with score 0; languages that FAMILIES doesn't list are a family each; with one learned
 language each text with a letter is that; without labelled documents every text is "und". Null ids are held in. Repeated rows give repeated results. An
@@ -21,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import remainder, slices, table
+from weftline.llm.common import drawn_by_hash, remainder, slices, table
 from weftline.llm.linear import fit_svm, letter_grams, margin, platt, sigmoid
 
 #: Language families by ISO 639-1 code.
@@ -34,7 +35,7 @@ FAMILIES = {
     "baltic": "lt lv",
     "indic": "hi bn ur mr gu pa ne",
 }
-SIZE, SAMPLE, MOST, LANGUAGES, UNKNOWN, SEED = 4096, 800, 4000, 200, "und", 11
+SIZE, SAMPLE, MOST, LEAST, UNKNOWN, SEED = 4096, 800, 4000, 20, "und", 11
 LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -100,13 +101,9 @@ def has_letter(text: str | None) -> bool:
 
 
 def fit_languages(labelled: DataFrame, sample: int = SAMPLE, size: int = SIZE) -> Hierarchy | None:
-    """``labelled(text, lang)`` to the machines, from about ``sample`` texts of each language at most."""
-    labelled = labelled.where("text is not null and lang is not null and text <> ''").withColumn("h", F.pmod(F.xxhash64("text", F.lit(SEED)), F.lit(1 << 30)))
-    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
-    if not counts:
-        return None
-    sample = min(sample, MOST / len(counts))
-    limit = F.coalesce(*[F.when(F.col("lang") == v, F.lit(min(1 << 30, int((1 << 30) * sample / n)))) for v, n in counts.items()])
+    """``labelled(text, lang)`` to the machines, from ``sample`` distinct texts of each language at most."""
+    labelled = labelled.where("lang is not null").where(F.col("text").rlike(r"\p{L}")).select("text", "lang")
+    once = drawn_by_hash(labelled, "lang", "text", lambda n: min(sample, MOST / n), LEAST, seed=SEED)
 
     def run(batches):
         import pyarrow as pa
@@ -116,7 +113,6 @@ def fit_languages(labelled: DataFrame, sample: int = SAMPLE, size: int = SIZE) -
                 rows = [(letter_grams(t, size).astype(np.float16).tobytes(), lang, h) for t, lang, h in zip(b.column("text").to_pylist(), b.column("lang").to_pylist(), b.column("h").to_pylist()) if has_letter(t)]
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64())], ["x", "lang", "h"])
 
-    once = labelled.where(F.col("h") < limit).groupBy("h", "lang").agg(F.min("text").alias("text"))  # copies count once, so the sample stays bounded
     drawn = once.select("text", "lang", "h").mapInArrow(run, "x binary, lang string, h long").toArrow().sort_by([("h", "ascending"), ("lang", "ascending")])
     if not drawn.num_rows:
         return None

@@ -1,7 +1,7 @@
 """URL filters: rules by host and path, then a character language-model ratio.
 
 Urls for which a rule decides are the labelled ones. For each verdict a variable-order Markov model of characters (contexts up to ``ORDER``,
-Witten-Bell smoothing down to a uniform model of bytes) is fitted on a sample of at most about ``SAMPLE`` of its urls, drawn by hash. A url's score is
+Witten-Bell smoothing down to a uniform model of bytes) is fitted on a sample of at most ``SAMPLE`` of its distinct urls, drawn by hash. A url's score is
 the log-likelihood difference of the two models, divided by its length; a logistic fit on a held-out fifth of the sample calibrates it. Every url is
 scored; the method's verdict counts where no rule does.
 
@@ -17,7 +17,7 @@ from math import exp, log
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import table
+from weftline.llm.common import drawn_by_hash, table
 
 #: Fixed rules: (host, path, verdict).
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
@@ -112,14 +112,10 @@ def judge_urls(pages: DataFrame, page_id: str = "page_id", url: str = "url", rul
     base = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url")).withColumns({"host": host_of("url"), "path": path_of("url")})
     base = base.withColumn("fit", rule_of(F.col("host"), F.col("path"), rules)).select("page_id", "url", "host", "path", "fit.rule", "fit.verdict")
     text = F.translate(F.coalesce(F.regexp_extract("url", "^(?s:.*?)://(.*)$", 1), F.lit("")), UPPER, LOWER)
-    labelled = base.where("verdict is not null").select(text.alias("text"), "verdict", F.pmod(F.xxhash64("url", F.lit(seed)), F.lit(1 << 30)).alias("h"))
-    sizes = {r["verdict"]: r["count"] for r in labelled.groupBy("verdict").count().collect()}
-    share = {v: min(1 << 30, int((1 << 30) * sample / n)) for v, n in sizes.items()}
+    labelled = base.where("verdict is not null").select("url", text.alias("text"), "verdict")
     drawn: dict[str, list] = defaultdict(list)
-    if len(share) == 2:
-        wanted = F.coalesce(*[F.when((F.col("verdict") == v) & (F.col("h") < s), F.lit(True)) for v, s in share.items()], F.lit(False))
-        for r in labelled.where(wanted).distinct().orderBy("h", "text", "verdict").select("text", "verdict").collect():  # about 2 x sample rows at most; copies count once
-            drawn[r["verdict"]].append(r["text"])
+    for r in drawn_by_hash(labelled, "verdict", "url", lambda n: sample, seed=seed).orderBy("h", "text", "verdict").select("text", "verdict").collect():  # 2 x sample rows at most
+        drawn[r["verdict"]].append(r["text"])
     model = None
     if drawn["allow"] and drawn["block"]:
         held = {v: urls[::5] for v, urls in drawn.items()}
