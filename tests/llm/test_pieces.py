@@ -58,3 +58,21 @@ def test_round_trip_in_spark(make_docs):
     back = sorted((r.doc_id is None, r.doc_id, r.text is None, r.text) for r in pieces.decode_documents(encoded).collect())
     assert back == sorted((i is None, i, t is None, t) for i, t in rows)
     assert pieces.encode_documents(docs.limit(0)).count() == 0
+
+
+def test_each_occurrence_has_draws_of_its_own(make_docs):
+    def ways(rows):
+        from collections import defaultdict
+
+        got, pieces_of = defaultdict(set), pieces._pieces(pieces._model(pieces.MODEL)).bytes_of
+        for r in pieces.encode_documents(make_docs(rows)).collect():
+            assert r.lossless
+            cuts = "|".join(pieces_of[i].decode() for i in r.ids).replace("| ", "\n ").split("\n")
+            got[r.doc_id] |= set(cuts[1:])
+        return got
+
+    in_one = ways([(1, " ".join(["international"] * 500))])
+    assert len(in_one[1]) > 4
+    over_all = ways([(k, f"{k} international") for k in range(200)])
+    assert len({v for own in over_all.values() for v in own if v.replace("|", "") == " international"}) > 4
+    assert ways([(2, "international words " * 40)])[2] == ways([(2, "international words " * 40)])[2]

@@ -2,10 +2,10 @@
 
 Pieces and scores come from a merge-type model file. A text is cut where no piece can cross (before runs of spaces and around line ends and tabs);
 each unit's candidate merges are on an agenda by score, leftmost first, and a candidate is skipped for good if a keyed hash of its place and unit
-falls below the dropout rate. The key holds the seed and one of ``VARIANTS`` numbers hashed from the text, so that a unit is segmented in several ways over
-the corpus, yet reruns agree. Characters without a piece become byte pieces; a literal U+2581 does too, so decoding gives back every text exactly.
+falls below the dropout rate. The key is the seeded hash of the whole text and the unit's number in it, so that each occurrence of a unit, in one text as
+over the corpus, is segmented by draws of its own, yet reruns agree. Characters without a piece become byte pieces; a literal U+2581 does too, so decoding gives back every text exactly.
 
-A slice's distinct units are segmented together: short ones in NumPy, all at the same step of their agendas, long ones with a heap each. Only a
+A slice's units are segmented together, short ones whose draws agree once for all of them: short ones in NumPy, all at the same step of their agendas, long ones with a heap each. Only a
 slice of a few MB is held at a time.
 
 Nulls: a null text gives null ids, null counts and lossless true; an empty text no ids. Repeated rows give repeated results. An empty table gives an
@@ -16,6 +16,8 @@ from __future__ import annotations
 
 import heapq
 import re
+from itertools import combinations
+from math import comb
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -23,8 +25,8 @@ from pyspark.sql import functions as F
 
 from weftline.llm.common import column_bytes, slices, table
 
-MODEL, DROPOUT, SEED, VARIANTS = "/opt/tokenizers/piece_bpe_32k.model", 0.1, 17, 4
-SLICE_BYTES, SHORT = 3 << 20, 24
+MODEL, DROPOUT, SEED = "/opt/tokenizers/piece_bpe_32k.model", 0.1, 17
+SLICE_BYTES, SHORT, FEW = 3 << 20, 24, 5
 SPACE = "▁"
 UNITS = re.compile(f"{SPACE}*[^{SPACE}\n\r\t]+|{SPACE}+|[\n\r\t]+")
 #: Stands for a literal U+2581 while a text is cut: a character that no decoded text can hold.
@@ -233,31 +235,43 @@ class Pieces:
             counts.append(np.array([len(got)]))
         return self.in_order(flat, order, counts, len(units))
 
+    @staticmethod
+    def alike(sizes: np.ndarray, unit: np.ndarray, key: np.ndarray, dropout: float) -> tuple[np.ndarray, np.ndarray]:
+        """The occurrences to segment, and for each occurrence which of them it equals: short ones of one unit whose draws agree for all possible merges
+        come out the same, whatever their keys."""
+        short = np.flatnonzero(sizes <= FEW) if dropout > 0 else np.arange(len(sizes))
+        draws = unit << comb(FEW + 1, 3)
+        bar = np.uint64(min(int(dropout * 2.0**64), 2**64 - 1))
+        for n in range(2, FEW + 1) if dropout > 0 else ():
+            own = np.flatnonzero(sizes == n)
+            for k, (s, m, e) in enumerate(combinations(range(n + 1), 3)):
+                draws[own] |= (mixed(key[own], s, m, e) < bar).astype(np.int64) << k
+        _, first, which = np.unique(draws[short], return_index=True, return_inverse=True)
+        rest = np.setdiff1d(np.arange(len(sizes)), short, assume_unique=True)
+        code = np.empty(len(sizes), np.int64)
+        code[short], code[rest] = which, len(first) + np.arange(len(rest))
+        return np.concatenate([short[first], rest]), code
+
     def encode(self, texts: list[bytes], dropout: float = DROPOUT, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, and each text's number of ids."""
         from xxhash import xxh64_intdigest
 
-        known: list[dict] = [{} for _ in range(VARIANTS)]
-        units, keys, codes, counts = [], [], [], []
+        held: dict = {}
+        keys, codes, counts = [], [], []
         for t in texts:
             if not t:
                 counts.append(0)
                 continue
-            v = xxh64_intdigest(t, seed) % VARIANTS if dropout > 0 else 0
-            held = known[v]
             found = UNITS.findall(SPACE + t.decode("utf-8", "surrogateescape").replace(SPACE, LITERAL).replace(" ", SPACE))
-            for u in found:
-                if u not in held:
-                    held[u] = len(units)
-                    units.append(u)
-                    keys.append(xxh64_intdigest(u.encode("utf-8", "surrogatepass"), seed * VARIANTS + v))
-            codes.append(np.fromiter(map(held.__getitem__, found), np.int64, len(found)))
+            codes.append(np.fromiter((held.setdefault(u, len(held)) for u in found), np.int64, len(found)))
+            keys.append(mixed(xxh64_intdigest(t, seed), np.arange(len(found), dtype=np.uint64), 0, 0))
             counts.append(len(found))
-        if not units:
+        if not held:
             return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
-        flat, sizes = self.segment(units, np.array(keys, np.uint64), dropout)
+        units, unit, key = list(held), np.concatenate(codes), np.concatenate(keys)
+        first, code = self.alike(np.array([len(u) for u in units])[unit], unit, key, dropout)
+        flat, sizes = self.segment([units[k] for k in unit[first].tolist()], key[first], dropout)
         begins = np.cumsum(sizes) - sizes
-        code = np.concatenate(codes)
         n = sizes[code]
         at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begins[code], n)
         per = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(counts)])]
