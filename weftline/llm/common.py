@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -57,6 +58,15 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def place_in_file(df: DataFrame, columns) -> DataFrame:
+    """``df.select(*columns(place))``. place names a row by its file and its number there, the same whenever the file is read, so equal rows can be told apart;
+    it is an empty string where rows don't come straight from files."""
+    try:
+        return df.select(*columns(F.concat_ws(":", "_metadata.file_name", "_metadata.row_index")))
+    except AnalysisException:
+        return df.select(*columns(F.lit("")))
+
+
 def give_back() -> None:
     """Returns freed memory to the system, so that an idle worker doesn't hold what its last group took."""
     import ctypes

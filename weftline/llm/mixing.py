@@ -1,28 +1,38 @@
-"""Mixing sources to target weights (native): equal-token blocks, dealt to sources by Sainte-Lague apportionment in each shard.
+"""Mixing sources to target weights (native): equal-token blocks, dealt to sources by Sainte-Lague apportionment.
 
 Sources in code point order, null last, weigh ``weights`` in turn and share all tokens; a target stops at ``max_epochs`` times its source and the
-excess is reshared by weight. Documents go to shards by a hash of their id. In a shard the words of a source, its documents in seeded order, are
-one sequence, cut into blocks of ``block`` tokens. The shard's blocks are allotted to its sources by the highest quotients target / (2k + 1). A quota
-of q blocks takes whole passes of the sequence while they fit, then blocks in seeded order, the last one cut, so a source gets exactly q * block words.
-
-Nulls: a null text has size 0; null sources are one source, the last; a null id hashes as text. Repeated rows are documents of their own. Sources without
-words get the target 0. An empty table gives an empty result. Ties are broken by hash, id and size, so reruns agree.
+excess is reshared by weight. All tokens are cut into seats of one block each, the last one shorter, and each seat goes to the highest quotient target / (2k + 1)
+of a source that can still take one, k being the number of seats it has; a source's last seat is cut where ``max_epochs`` times its words end. A block
+has ``block`` words, or fewer if there are so many sources that they have under ``LEAST_BLOCKS`` blocks each on average.
+
+The documents of a source go to its shards of about ``shard_tokens`` words by hash of id and text. A shard's quota is the share of its source's words that ends
+with it, less what the shards before it have had, so remainders are carried on and quotas add up to the word. In a shard the words, documents in seeded order, are
+one sequence, cut into blocks. A quota takes whole passes of the sequence while they fit, then blocks in seeded order, the last one cut.
+
+Nulls: a null text has size 0; null sources are one source, the last; null ids hash as text, together with where the row lies in its file if that is known.
+Repeated rows are documents of their own. Rows without words are in no shard and take nothing; sources without words get the target 0. An empty
+table gives an empty result. Ties are broken by hash, id and size, so reruns agree. Other columns, whatever their names, are carried by ``mixed_documents`` and not
+read by ``mix_sources``.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.common import table, words, written
+from weftline.llm.common import discard, place_in_file, table, words, written
 
-WEIGHTS, MAX_EPOCHS, BLOCK, SHARD_TOKENS, SEED = (5, 2, 1), 3, 128, 500_000, 7
+WEIGHTS, MAX_EPOCHS, BLOCK, LEAST_BLOCKS, SHARD_TOKENS, SEED = (5, 2, 1), 3, 128, 64, 200_000, 7
+#: Shards whose quotas are added up in one go; the sums of such bands are added up before.
+BAND = 1024
+#: Quotients that one ranking may hold beyond one for each source.
+CLOSE = 10_000
 
 
 def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """``sizes(source, size)`` to source, source_size, target: least(cap, level * weight), the level being the one at which targets sum to all words.
+    """``sizes(source, size)`` to source, source_size, target, rank: least(cap, level * weight), the level being the one at which targets sum to all words.
 
     Of the levels that don't pass the cap of the first source they leave free, the highest is the right one: beyond it they only fall. The windows run
     over one row for each source, not over documents.
@@ -38,99 +48,137 @@ def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, max_epochs: int =
     per = per.withColumn("level", (F.sum("source_size").over(everything).cast("double") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(onward))
     per = per.withColumn("level", F.max(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))).over(everything))
     target = F.least(F.col("cap"), F.coalesce(F.col("level") * F.col("weight"), F.col("cap")))
-    return per.select("source", "source_size", target.alias("target"))
+    return per.select("source", "source_size", target.alias("target"), "rank")
+
 
+def source_words(targets: DataFrame, total: int, block: int, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+    """``targets(source, source_size, target, rank)`` to source, words: by highest quotients.
 
-def _number(*parts) -> F.Column:
+    The seats are those whose quotients reach a divisor. Two divisors, one that gives too few seats and one that gives too many, are narrowed until at most ``CLOSE`` seats
+    lie between them; each source keeps all but one of the seats that the larger divisor gives, and the quotients in between are ranked. Only counts reach the driver.
+    """
+    seats, rest = -(-total // block), total % block or block
+    each = targets.where("target > 0").withColumn("most", F.expr(f"({max_epochs} * source_size + {block - 1}) div {block}"))
+
+    def given(divisor: float | Column) -> Column:
+        """Seats whose quotients are at least the divisor."""
+        return F.least(F.col("most"), F.floor((F.col("target") / divisor + 1) / 2))
+
+    top, lowest = each.agg(F.max("target"), F.min(F.col("target") / (2 * F.col("most")))).first()
+    few, many = (2.0 * top, lowest) if top else (1.0, 1.0)
+    close = False
+    while not close and few > many * (1 + 1e-12):
+        points = [many * (few / many) ** (k / 32) for k in range(33)]
+        counts = each.agg(*[F.sum(given(p)) for p in points]).first()
+        fewer = [k for k in range(33) if counts[k] < seats]  # counts fall as divisors rise
+        k = fewer[0] if fewer else 32
+        if not k:  # all that there is
+            few = many
+            break
+        few, many, close = points[k], points[k - 1], counts[k - 1] - counts[k] <= CLOSE
+    each = each.withColumns({"sure": F.greatest(F.lit(0), given(few) - 1).cast("long"), "may": F.least(F.col("most"), given(many) + 1).cast("long")})
+    left = seats - (each.agg(F.sum("sure")).first()[0] or 0)
+    bids = each.where("may > sure").select("source", "rank", "target", F.explode(F.expr("sequence(sure, may - 1)")).alias("k"))
+    bids = bids.withColumn("bid", F.row_number().over(Window.orderBy(F.desc(F.col("target") / (2 * F.col("k") + 1)), "rank", "k"))).where(F.col("bid") <= left)
+    won = bids.groupBy(F.col("rank").alias("r")).agg(F.count("*").alias("won"), F.max(F.col("bid") == left).alias("ends"))
+    cap = F.lit(max_epochs) * F.col("source_size")
+    n = F.col("sure") + F.coalesce("won", F.lit(0))
+    ended = F.when(F.col("ends"), F.least(F.lit(block), cap - (n - 1) * block) - F.least(F.lit(rest), cap - (n - 1) * block)).otherwise(0)  # the seat of the last words is shorter
+    return each.join(won, F.col("rank") == F.col("r"), "left").select("source", (F.least(n * block, cap) - ended).alias("words"))
+
+
+def _number(*parts) -> Column:
     """A 32-bit number from the md5 of the parts, the same in any SQL engine."""
     return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 8), 16, 10).cast("long")
 
 
-def plan_mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", weights: tuple = WEIGHTS, max_epochs: int = MAX_EPOCHS, block: int = BLOCK, shard_tokens: int = SHARD_TOKENS, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
-    """The documents with their place and passes, and the blocks that are taken once more with how many of their words.
+def _same(left: str | Column, right: str | Column) -> Column:
+    return (F.col(left) if isinstance(left, str) else left).eqNullSafe(F.col(right) if isinstance(right, str) else right)
 
-    documents: doc_id, source, size, source_size, target, shard, start, passes. blocks: shard, source, block, part.
-    """
-    spark = docs.sparkSession
-    sizes = written(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.size(words(text)).cast("long").alias("size")), "mix-sizes")
-    total = sizes.agg(F.sum("size")).first()[0] or 0
-    shards = max(1, math.ceil(total / shard_tokens))
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    placed = sizes.withColumn("shard", F.pmod(_number(F.lit(f"shard{seed}"), key), F.lit(shards))).withColumn("order", F.md5(F.concat_ws(":", F.lit(f"doc{seed}"), key)))
-    line = Window.partitionBy("shard", "source").orderBy("order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = placed.withColumn("start", F.sum("size").over(line) - F.col("size")).drop("order")
 
-    targets = written(source_targets(sizes, weights, max_epochs), "mix-targets")
-    t = targets.select(F.col("source").alias("ts"), "source_size", "target")
-    shares = placed.groupBy("shard", "source").agg(F.sum("size").alias("tokens")).where("tokens > 0")
-    shares = shares.join(t, F.col("source").eqNullSafe(F.col("ts"))).withColumn("want", F.col("target") * F.col("tokens") / F.col("source_size"))
-    shares = shares.withColumn("most", F.floor(F.lit(max_epochs) * F.col("tokens") / F.lit(block)))
-    shares = shares.withColumn("least", F.greatest(F.lit(0), F.least(F.col("most"), F.floor(F.col("want") / block)) - 2))
-    shard = Window.partitionBy("shard")
-    capped = F.sum(F.when(F.col("most") * block <= F.col("want"), 1).otherwise(0)).over(shard)
-    free = F.sum(F.when(F.col("most") * block > F.col("want"), F.col("want")).otherwise(0.0)).over(shard)
-    shares = shares.withColumn("seats", F.least(F.round(F.sum("want").over(shard) / block), F.sum("most").over(shard)) - F.sum("least").over(shard))
-    shares = shares.withColumn("room", F.least(F.col("most") - F.col("least"), F.lit(6) + F.coalesce(F.ceil(capped * F.col("want") / F.nullif(free, F.lit(0.0))), F.lit(0))).cast("int"))
-    bids = shares.where("room > 0").select("*", F.explode(F.expr("sequence(0, room - 1)")).alias("k"))
-    bids = bids.withColumn("bid", F.row_number().over(shard.orderBy(F.desc(F.col("want") / (2 * (F.col("least") + F.col("k")) + 1)), F.col("source").asc_nulls_last(), "k")))
-    won = bids.where("bid <= seats").groupBy("shard", F.col("source").alias("ws")).agg(F.count("*").alias("won"))
-    quotas = shares.select("shard", "source", "tokens", "least").join(won.withColumnRenamed("shard", "wsh"), (F.col("shard") == F.col("wsh")) & F.col("source").eqNullSafe(F.col("ws")), "left")
-    quotas = quotas.withColumn("words", (F.col("least") + F.coalesce("won", F.lit(0))) * block)
-    quotas = written(quotas.select("shard", "source", "tokens", F.floor(F.col("words") / F.col("tokens")).alias("passes"), (F.col("words") % F.col("tokens")).cast("long").alias("rest")), "mix-quotas")
-
-    blocks = quotas.where("rest > 0").select("shard", "source", "rest", "tokens", F.explode(F.expr(f"sequence(0L, floor((tokens - 1) / {block}))")).alias("block"))
-    blocks = blocks.withColumn("length", F.least(F.lit(block), F.col("tokens") - F.col("block") * block))
-    seeded = Window.partitionBy("shard", "source").orderBy("order", "block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    blocks = blocks.withColumn("order", F.md5(F.concat_ws(":", F.lit(f"block{seed}"), "shard", F.coalesce("source", F.lit("null")), "block")))
-    blocks = blocks.withColumn("part", F.least(F.col("length"), F.col("rest") - F.sum("length").over(seeded) + F.col("length"))).where("part > 0").select("shard", "source", "block", "part")
+def _keyed(docs: DataFrame, doc_id: str, source: str, text: str, keep: bool) -> DataFrame:
+    """doc_id, source, size, key, place and, if asked for, row: what the plan knows of a document."""
+    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if keep else []
+    key = F.concat_ws(":", F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
+    size = F.size(words(text)).cast("long")
+    return place_in_file(docs, lambda place: [F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size.alias("size"), key.alias("key"), F.when(F.col(doc_id).isNull(), place).otherwise(F.lit("")).alias("place"), *row])
 
-    q = quotas.select(F.col("shard").alias("qsh"), F.col("source").alias("qs"), "passes")
-    documents = placed.join(t, F.col("source").eqNullSafe(F.col("ts"))).drop("ts")
-    documents = documents.join(q, (F.col("shard") == F.col("qsh")) & F.col("source").eqNullSafe(F.col("qs")), "left").drop("qsh", "qs")
-    return documents.withColumn("passes", F.coalesce("passes", F.lit(0)).cast("long")), blocks
 
+def plan_mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", weights: tuple = WEIGHTS, max_epochs: int = MAX_EPOCHS, block: int = BLOCK, shard_tokens: int = SHARD_TOKENS, seed: int = SEED, keep: bool = False) -> DataFrame:
+    """The rows of ``docs`` with their place in the mix: doc_id, source, size, source_size, target, shard, start, passes, parts and, if ``keep``, row (all columns).
 
-def taken_parts(documents: DataFrame, blocks: DataFrame, block: int = BLOCK) -> DataFrame:
-    """The pieces of documents that lie in blocks taken once more: doc_id, source, shard, start, size, first (word, from 0), length."""
-    spans = documents.where("size > 0").select("doc_id", "source", "shard", "start", "size", F.explode(F.expr(f"sequence(floor(start / {block}), floor((start + size - 1) / {block}))")).alias("b"))
-    b = blocks.select(F.col("shard").alias("bsh"), F.col("source").alias("bs"), F.col("block").alias("b2"), "part").hint("merge")  # Spark takes exploded blocks for as small as the quotas and would broadcast them
-    hit = spans.join(b, (F.col("shard") == F.col("bsh")) & F.col("source").eqNullSafe(F.col("bs")) & (F.col("b") == F.col("b2")))
-    first = F.greatest(F.col("start"), F.col("b") * block)
-    end = F.least(F.col("start") + F.col("size"), F.col("b") * block + F.col("part"))
-    return hit.select("doc_id", "source", "shard", "start", "size", (first - F.col("start")).alias("first"), (end - first).alias("length")).where("length > 0")
+    parts: the pieces that are taken once more, an array of first (word, from 0) and length. A shard's chosen blocks travel as bits, 64 in a number, in the row of its
+    quota, so documents meet their blocks in the join that brings the quota.
+    """
+    sizes = written(_keyed(docs, doc_id, source, text, False), "mix-sizes")
+    targets = written(source_targets(sizes, weights, max_epochs), "mix-targets")
+    total, sources = targets.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.count_if(F.col("source_size") > 0)).first()
+    block = max(1, min(block, total // (LEAST_BLOCKS * max(1, sources))))
+    won = written(targets.join(source_words(targets, total, block, max_epochs).withColumnRenamed("source", "ws"), _same("source", "ws"), "left").select(
+        "source", "source_size", "target", F.coalesce("words", F.lit(0)).alias("words"), F.greatest(F.lit(1), F.expr(f"(source_size + {shard_tokens - 1}) div {shard_tokens}")).alias("shards")), "mix-won")
+    t = won.select(F.col("source").alias("ts"), "source_size", "target", "words", "shards")
+
+    def sharded(rows: DataFrame) -> DataFrame:
+        found = rows.join(t, _same("source", "ts")).drop("ts")
+        return found.withColumn("shard", F.when(F.col("size") > 0, F.pmod(_number(F.lit(f"shard{seed}"), "key", "place"), F.col("shards"))))
+
+    shares = sharded(sizes).where("size > 0").groupBy("source", "shard", "source_size", "words").agg(F.sum("size").alias("tokens"))
+    shares = written(shares.withColumn("band", F.expr(f"shard div {BAND}")), "mix-shares")
+    bands = shares.groupBy(F.col("source").alias("bs"), F.col("band").alias("b")).agg(F.sum("tokens").alias("sum"))
+    bands = bands.withColumn("before", F.sum("sum").over(Window.partitionBy("bs").orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("sum"))
+    ends = F.col("before") + F.sum("tokens").over(Window.partitionBy("source", "band").orderBy("shard").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    quotas = shares.join(bands, _same("source", "bs") & (F.col("band") == F.col("b"))).withColumn("ends", ends)
+    upto = "cast({0} as decimal(19,0)) * cast(words as decimal(19,0)) div source_size"
+    quotas = quotas.withColumn("quota", F.expr(upto.format("ends")) - F.expr(upto.format("(ends - tokens)")))
+    quotas = quotas.select("source", "shard", "tokens", F.expr("quota div tokens").alias("passes"), (F.col("quota") % F.col("tokens")).alias("rest"))
+
+    blocks = quotas.where("rest > 0").select("source", "shard", "rest", "tokens", F.explode(F.expr(f"sequence(0L, (tokens - 1) div {block})")).alias("block"))
+    blocks = blocks.withColumn("length", F.least(F.lit(block), F.col("tokens") - F.col("block") * block))
+    blocks = blocks.withColumn("order", F.md5(F.concat_ws(":", F.lit(f"block{seed}"), "shard", F.coalesce("source", F.lit("null")), "block")))
+    seeded = Window.partitionBy("source", "shard").orderBy("order", "block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    blocks = blocks.withColumn("part", F.least(F.col("length"), F.col("rest") - F.sum("length").over(seeded) + F.col("length"))).where("part > 0")
+    bits = blocks.groupBy("source", "shard", F.expr("block div 64").alias("at")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(block % 64 as int))")).alias("bits"), F.max(F.when(F.col("part") < F.col("length"), F.struct("block", "part"))).alias("cut"))
+    chosen = bits.groupBy(F.col("source").alias("cs"), F.col("shard").alias("csh")).agg(F.map_from_entries(F.collect_list(F.struct("at", "bits"))).alias("bits"), F.max("cut").alias("cut"))
+    q = quotas.join(chosen, _same("source", "cs") & (F.col("shard") == F.col("csh")), "left").select(F.col("source").alias("qs"), F.col("shard").alias("qsh"), "passes", "bits", "cut")
+    q = written(q, "mix-quotas")
+
+    line = Window.partitionBy("source", "shard").orderBy("order", "doc_id", "size", "place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = sharded(_keyed(docs, doc_id, source, text, True) if keep else sizes)
+    some = placed.where("size > 0").withColumn("order", F.md5(F.concat_ws(":", F.lit(f"doc{seed}"), "key"))).withColumn("start", F.sum("size").over(line) - F.col("size"))
+    some = some.join(q.hint("merge"), _same("source", "qs") & (F.col("shard") == F.col("qsh")))
+    own = F.expr(f"filter(sequence(start div {block}, (start + size - 1) div {block}), b -> shiftright(coalesce(bits[b div 64], 0L), cast(b % 64 as int)) & 1 = 1)")
+    part = F.expr(f"""transform(own, b -> named_struct('first', greatest(start, b * {block}) - start, 'end',
+        least(start + size, b * {block} + if(b <=> cut.block, cut.part, {block})) - start))""")
+    some = some.withColumn("own", F.when(F.col("bits").isNull(), F.array().cast("array<bigint>")).otherwise(own)).withColumn("parts", part)
+    some = some.withColumn("parts", F.expr("transform(filter(parts, p -> p.end > p.first), p -> named_struct('first', p.first, 'length', p.end - p.first))"))
+    columns = ["doc_id", "source", "size", "source_size", "target", "shard", "start", "passes", "parts", *(["row"] if keep else [])]
+    none = placed.where("size = 0").withColumns({"start": F.lit(None).cast("long"), "passes": F.lit(0).cast("long"), "parts": F.array().cast("array<struct<first:bigint,length:bigint>>")})
+    discard(targets, shares, *([sizes] if keep else []))
+    return some.select(*columns).unionByName(none.select(*columns))
 
 
 def mix_sources(docs: DataFrame, **options) -> DataFrame:
     """doc_id, size, source_size, target, taken and shard: one row for each row of ``docs``."""
-    documents, blocks = plan_mix(docs, **options)
-    parts = taken_parts(documents, blocks, options.get("block", BLOCK)).groupBy(F.col("shard").alias("p1"), F.col("source").alias("p2"), F.col("start").alias("p3"), F.col("size").alias("p4")).agg(F.sum("length").alias("more")).hint("merge")
-    # a place in its shard's sequence of its source names a document that has words, whatever its id
-    out = documents.join(parts, (F.col("shard") == F.col("p1")) & F.col("source").eqNullSafe(F.col("p2")) & (F.col("start") == F.col("p3")) & (F.col("size") == F.col("p4")), "left")
-    taken = F.col("size") * F.col("passes") + F.coalesce("more", F.lit(0))
-    return out.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "shard")
-
+    plan = plan_mix(docs, **options)
+    taken = F.col("size") * F.col("passes") + F.aggregate("parts", F.lit(0).cast("long"), lambda a, p: a + p["length"])
+    return plan.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "shard")
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: the rows of ``docs(doc_id, text, source, n_chars, ...)`` with all their columns, once for each whole pass, and once more with the
-    words of their taken blocks, one space between, if those are a part. Documents that the mix doesn't take go.
 
-    Rows that agree in id, source and size share one plan, that of the row with the most passes.
+def mixed_documents(docs: DataFrame, text: str = "text", **options) -> DataFrame:
+    """The mix itself: the rows of ``docs`` with all their columns, once for each whole pass, and once more with the words of their taken blocks, one space
+    between, if those are a part; a column n_chars then tells the length of the new text. Documents that the mix doesn't take go. The texts are shuffled once, to their shards.
     """
-    documents, blocks = plan_mix(docs, **options)
-    pieces = taken_parts(documents, blocks, options.get("block", BLOCK)).groupBy("doc_id", "source", "size").agg(F.array_sort(F.collect_set(F.struct("first", "length"))).alias("pieces"))
-    plan = documents.groupBy("doc_id", "source", "size").agg(F.max("passes").alias("passes"))
-    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("doc_id", "source", "size")]
-    plan = plan.alias("a").join(pieces.alias("b").hint("merge"), same, "left").select("a.doc_id", "a.source", "a.size", "passes", "pieces").where("passes > 0 or pieces is not null")
-    plan = plan.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_n"), F.col("passes").alias("_passes"), F.col("pieces").alias("_pieces"))
-    sized = docs.withColumn("_size", F.size(words("text")).cast("long"))
-    hit = sized.join(plan.hint("merge"), sized["doc_id"].eqNullSafe(F.col("_d")) & sized["source"].eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_n")))
-    whole = F.aggregate(F.col("_pieces"), F.lit(0).cast("long"), lambda a, x: a + x["length"]) == F.col("_size")
-    part = F.when(F.col("_pieces").isNull(), F.lit(None)).when(whole, F.col("text")).otherwise(F.array_join(F.flatten(F.transform("_pieces", lambda x: F.slice(F.col("_words"), (x["first"] + 1).cast("int"), x["length"].cast("int")))), " "))
-    hit = hit.withColumn("_words", F.when(F.col("_pieces").isNotNull(), words("text"))).withColumn("_part", part)
-    texts = F.concat(F.array_repeat("text", F.col("_passes").cast("int")), F.when(F.col("_part").isNull(), F.array().cast("array<string>")).otherwise(F.array("_part")))
-    hit = hit.withColumn("_text", F.explode(texts))
-    own = {"text": F.col("_text"), "n_chars": F.length("_text").cast(docs.schema["n_chars"].dataType)}
-    return hit.select(*[own.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
+    plan = plan_mix(docs, text=text, keep=True, **options).where("passes > 0 or size(parts) > 0").select("row", "passes", "parts", "size")
+    own, length = F.col(f"row.`{text}`"), F.aggregate("parts", F.lit(0).cast("long"), lambda a, p: a + p["length"])
+    plan = plan.withColumn("words", F.when((F.size("parts") > 0) & (length < F.col("size")), words(own)))
+    cut = F.array_join(F.flatten(F.transform("parts", lambda p: F.slice(F.col("words"), (p["first"] + 1).cast("int"), p["length"].cast("int")))), " ")
+    again = F.when(F.size("parts") == 0, F.array().cast("array<string>")).when(F.col("words").isNull(), F.array(own)).otherwise(F.array(cut))
+    plan = plan.select("row", F.explode(F.concat(F.array_repeat(own, F.col("passes").cast("int")), again)).alias("new"))
+    new = {text: F.col("new")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.length("new").cast(docs.schema["n_chars"].dataType)
+    return plan.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,40 +186,38 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP3_SQL = r"""
-WITH sizes AS (SELECT doc_id, source, len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> ''))::BIGINT AS size FROM documents),
-total AS (SELECT coalesce(sum(size), 0)::BIGINT AS total FROM sizes),
+WITH sizes AS (SELECT doc_id, source, len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> ''))::BIGINT AS size, coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, '')) AS key FROM documents),
 per AS (SELECT source, sum(size)::BIGINT AS source_size FROM sizes GROUP BY source),
+total AS (SELECT coalesce(sum(source_size), 0)::BIGINT AS total, greatest(1, least(128, coalesce(sum(source_size), 0) // (64 * greatest(1, count(*) FILTER (source_size > 0)))))::BIGINT AS block FROM per),
 ranked AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM per),
 weighed AS (SELECT *, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][rank % 3 + 1] AS weight, (3 * source_size)::DOUBLE AS cap FROM ranked),
 levels AS (
   SELECT *, ((SELECT total FROM total)::DOUBLE - coalesce(sum(cap) OVER (ORDER BY cap / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))
     / sum(weight) OVER (ORDER BY cap / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM weighed),
 level AS (SELECT max(level) FILTER (level * weight <= cap) AS level FROM levels),
-targets AS (SELECT source, source_size, least(cap, coalesce((SELECT level FROM level) * weight, cap)) AS target FROM weighed),
-shards AS (SELECT greatest(1, ceil(total / 500000.0))::BIGINT AS n FROM total),
-keyed AS (SELECT *, coalesce(doc_id::VARCHAR, 'null') AS key FROM sizes),
-sharded AS (SELECT *, ('0x' || substr(md5('shard7:' || key), 1, 8))::BIGINT % (SELECT n FROM shards) AS shard, md5('doc7:' || key) AS ord FROM keyed),
-placed AS (SELECT *, sum(size) OVER (PARTITION BY shard, source ORDER BY ord, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT - size AS start FROM sharded),
-shares0 AS (SELECT p.shard, p.source, sum(size)::BIGINT AS tokens FROM placed p GROUP BY ALL HAVING sum(size) > 0),
-shares1 AS (SELECT s.*, target * tokens / source_size AS want, floor(3 * tokens / 128.0)::BIGINT AS most FROM shares0 s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
-shares2 AS (SELECT *, greatest(0, least(most, floor(want / 128)::BIGINT) - 2)::BIGINT AS base FROM shares1),
-shares AS (
-  SELECT *, least(round(sum(want) OVER w / 128), sum(most) OVER w) - sum(base) OVER w AS seats,
-    least(most - base, 6 + coalesce(ceil(sum(CASE WHEN most * 128 <= want THEN 1 ELSE 0 END) OVER w * want / nullif(sum(CASE WHEN most * 128 > want THEN want ELSE 0.0 END) OVER w, 0.0)), 0))::BIGINT AS room
-  FROM shares2 WINDOW w AS (PARTITION BY shard)),
-bids AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY want / (2 * (base + k) + 1) DESC, source NULLS LAST, k) AS bid FROM shares, LATERAL (SELECT unnest(generate_series(0, room - 1)) AS k)),
-won AS (SELECT shard, source, count(*) AS won FROM bids WHERE bid <= seats GROUP BY ALL),
-quotas AS (
-  SELECT s.shard, s.source, s.tokens, ((base + coalesce(won, 0)) * 128)::BIGINT // tokens AS passes, ((base + coalesce(won, 0)) * 128)::BIGINT % tokens AS rest
-  FROM shares s LEFT JOIN won w ON s.shard = w.shard AND s.source IS NOT DISTINCT FROM w.source),
-blocks0 AS (SELECT *, least(128, tokens - block * 128) AS length, md5('block7:' || shard || ':' || coalesce(source, 'null') || ':' || block) AS ord FROM quotas, LATERAL (SELECT unnest(generate_series(0, (tokens - 1) // 128)) AS block) WHERE rest > 0),
-blocks AS (SELECT shard, source, block, least(length, rest - sum(length) OVER (PARTITION BY shard, source ORDER BY ord, block ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) + length) AS part FROM blocks0),
+targets AS (SELECT source, source_size, rank, least(cap, coalesce((SELECT level FROM level) * weight, cap)) AS target FROM weighed),
+quotients AS (
+  SELECT source, rank, k, target / (2 * k + 1) AS quotient, least(block, 3 * source_size - k * block) AS length
+  FROM targets, total, LATERAL (SELECT unnest(generate_series(0, (3 * source_size - 1) // block)) AS k) WHERE target > 0),
+seats AS (SELECT *, row_number() OVER (ORDER BY quotient DESC, rank, k) AS seat FROM quotients),
+won AS (SELECT source, sum(least(length, total - (seat - 1) * block))::BIGINT AS words FROM seats, total WHERE (seat - 1) * block < total GROUP BY source),
+sources AS (SELECT t.source, source_size, target, coalesce(words, 0) AS words, greatest(1, (source_size + 199999) // 200000) AS shards FROM targets t LEFT JOIN won w ON t.source IS NOT DISTINCT FROM w.source),
+sharded AS (SELECT s.*, source_size, target, words, CASE WHEN size > 0 THEN ('0x' || substr(md5('shard7:' || key || ':'), 1, 8))::BIGINT % shards END AS shard FROM sizes s JOIN sources t ON s.source IS NOT DISTINCT FROM t.source),
+placed AS (SELECT *, sum(size) OVER (PARTITION BY source, shard ORDER BY md5('doc7:' || key), doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT - size AS start FROM sharded WHERE size > 0),
+shares AS (SELECT source, shard, source_size, words, sum(size)::BIGINT AS tokens FROM placed GROUP BY ALL),
+quotas0 AS (SELECT *, sum(tokens) OVER (PARTITION BY source ORDER BY shard)::HUGEINT AS ends FROM shares),
+quotas1 AS (SELECT source, shard, tokens, (ends * words // source_size - (ends - tokens) * words // source_size)::BIGINT AS quota FROM quotas0),
+quotas AS (SELECT source, shard, tokens, quota // tokens AS passes, quota % tokens AS rest FROM quotas1),
+blocks0 AS (
+  SELECT source, shard, rest, b, least(block, tokens - b * block) AS length, md5('block7:' || shard || ':' || coalesce(source, 'null') || ':' || b) AS ord
+  FROM quotas, total, LATERAL (SELECT unnest(generate_series(0, (tokens - 1) // block)) AS b) WHERE rest > 0),
+blocks AS (SELECT source, shard, b, least(length, rest - sum(length) OVER (PARTITION BY source, shard ORDER BY ord, b ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) + length) AS part FROM blocks0),
 parts AS (
-  SELECT p.shard, p.source, p.start, p.size, sum(greatest(0, least(p.start + p.size, b.block * 128 + b.part) - greatest(p.start, b.block * 128))) AS more
-  FROM (SELECT *, unnest(generate_series(start // 128, (start + size - 1) // 128)) AS block FROM placed WHERE size > 0) p
-  JOIN blocks b ON p.shard = b.shard AND p.source IS NOT DISTINCT FROM b.source AND p.block = b.block AND b.part > 0 GROUP BY ALL)
-SELECT p.doc_id, p.size, t.source_size, t.target, (p.size * coalesce(q.passes, 0) + coalesce(m.more, 0))::BIGINT AS taken, p.shard
-FROM placed p JOIN targets t ON p.source IS NOT DISTINCT FROM t.source
+  SELECT p.source, p.shard, p.start, sum(greatest(0, least(p.start + p.size, k.b * block + k.part) - greatest(p.start, k.b * block))) AS more
+  FROM (SELECT *, unnest(generate_series(start // block, (start + size - 1) // block)) AS b FROM placed, total) p
+  JOIN blocks k ON p.shard = k.shard AND p.source IS NOT DISTINCT FROM k.source AND p.b = k.b AND k.part > 0 GROUP BY ALL)
+SELECT s.doc_id, s.size, s.source_size, s.target, (s.size * coalesce(q.passes, 0) + coalesce(m.more, 0))::BIGINT AS taken, s.shard
+FROM sharded s LEFT JOIN placed p ON s.doc_id IS NOT DISTINCT FROM p.doc_id AND s.key = p.key AND s.source IS NOT DISTINCT FROM p.source
 LEFT JOIN quotas q ON p.shard = q.shard AND p.source IS NOT DISTINCT FROM q.source
-LEFT JOIN parts m ON p.shard = m.shard AND p.source IS NOT DISTINCT FROM m.source AND p.start = m.start AND p.size = m.size
+LEFT JOIN parts m ON p.shard = m.shard AND p.source IS NOT DISTINCT FROM m.source AND p.start = m.start
 """
