@@ -115,38 +115,38 @@ def plan_mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", te
     total, sources = targets.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.count_if(F.col("source_size") > 0)).first()
     block = max(1, min(block, total // (LEAST_BLOCKS * max(1, sources))))
     won = written(targets.join(source_words(targets, total, block, max_epochs).withColumnRenamed("source", "ws"), _same("source", "ws"), "left").select(
-        "source", "source_size", "target", F.coalesce("words", F.lit(0)).alias("words"), F.greatest(F.lit(1), F.expr(f"(source_size + {shard_tokens - 1}) div {shard_tokens}")).alias("shards")), "mix-won")
-    t = won.select(F.col("source").alias("ts"), "source_size", "target", "words", "shards")
+        "source", "rank", "source_size", "target", F.coalesce("words", F.lit(0)).alias("words"), F.greatest(F.lit(1), F.expr(f"(source_size + {shard_tokens - 1}) div {shard_tokens}")).alias("shards")), "mix-won")
+    t = won.select(F.col("source").alias("ts"), "rank", "source_size", "target", "words", "shards")  # from here on a source goes by its rank, which is never null
 
     def sharded(rows: DataFrame) -> DataFrame:
         found = rows.join(t, _same("source", "ts")).drop("ts")
         return found.withColumn("shard", F.when(F.col("size") > 0, F.pmod(_number(F.lit(f"shard{seed}"), "key", "place"), F.col("shards"))))
 
-    shares = sharded(sizes).where("size > 0").groupBy("source", "shard", "source_size", "words").agg(F.sum("size").alias("tokens"))
+    shares = sharded(sizes).where("size > 0").groupBy("rank", "shard", "source_size", "words").agg(F.sum("size").alias("tokens"))
     shares = written(shares.withColumn("band", F.expr(f"shard div {BAND}")), "mix-shares")
-    bands = shares.groupBy(F.col("source").alias("bs"), F.col("band").alias("b")).agg(F.sum("tokens").alias("sum"))
-    bands = bands.withColumn("before", F.sum("sum").over(Window.partitionBy("bs").orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("sum"))
-    ends = F.col("before") + F.sum("tokens").over(Window.partitionBy("source", "band").orderBy("shard").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    quotas = shares.join(bands, _same("source", "bs") & (F.col("band") == F.col("b"))).withColumn("ends", ends)
+    bands = shares.groupBy(F.col("rank").alias("br"), F.col("band").alias("b")).agg(F.sum("tokens").alias("sum"))
+    bands = bands.withColumn("before", F.sum("sum").over(Window.partitionBy("br").orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("sum"))
+    ends = F.col("before") + F.sum("tokens").over(Window.partitionBy("rank", "band").orderBy("shard").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    quotas = shares.join(bands, (F.col("rank") == F.col("br")) & (F.col("band") == F.col("b"))).withColumn("ends", ends)
     upto = "cast({0} as decimal(19,0)) * cast(words as decimal(19,0)) div source_size"
     quotas = quotas.withColumn("quota", F.expr(upto.format("ends")) - F.expr(upto.format("(ends - tokens)")))
-    quotas = quotas.select("source", "shard", "tokens", F.expr("quota div tokens").alias("passes"), (F.col("quota") % F.col("tokens")).alias("rest"))
+    quotas = quotas.select("rank", "shard", "tokens", F.expr("quota div tokens").alias("passes"), (F.col("quota") % F.col("tokens")).alias("rest"))
 
-    blocks = quotas.where("rest > 0").select("source", "shard", "rest", "tokens", F.explode(F.expr(f"sequence(0L, (tokens - 1) div {block})")).alias("block"))
+    blocks = quotas.where("rest > 0").select("rank", "shard", "rest", "tokens", F.explode(F.expr(f"sequence(0L, (tokens - 1) div {block})")).alias("block"))
     blocks = blocks.withColumn("length", F.least(F.lit(block), F.col("tokens") - F.col("block") * block))
-    blocks = blocks.withColumn("order", F.md5(F.concat_ws(":", F.lit(f"block{seed}"), "shard", F.coalesce("source", F.lit("null")), "block")))
-    seeded = Window.partitionBy("source", "shard").orderBy("order", "block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    blocks = blocks.withColumn("order", F.md5(F.concat_ws(":", F.lit(f"block{seed}"), "rank", "shard", "block")))
+    seeded = Window.partitionBy("rank", "shard").orderBy("order", "block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     blocks = blocks.withColumn("part", F.least(F.col("length"), F.col("rest") - F.sum("length").over(seeded) + F.col("length"))).where("part > 0")
-    bits = blocks.groupBy("source", "shard", F.expr("block div 64").alias("at")).agg(
+    bits = blocks.groupBy("rank", "shard", F.expr("block div 64").alias("at")).agg(
         F.bit_or(F.expr("shiftleft(1L, cast(block % 64 as int))")).alias("bits"), F.max(F.when(F.col("part") < F.col("length"), F.struct("block", "part"))).alias("cut"))
-    chosen = bits.groupBy(F.col("source").alias("cs"), F.col("shard").alias("csh")).agg(F.map_from_entries(F.collect_list(F.struct("at", "bits"))).alias("bits"), F.max("cut").alias("cut"))
-    q = quotas.join(chosen, _same("source", "cs") & (F.col("shard") == F.col("csh")), "left").select(F.col("source").alias("qs"), F.col("shard").alias("qsh"), "passes", "bits", "cut")
+    chosen = bits.groupBy(F.col("rank").alias("cr"), F.col("shard").alias("cs")).agg(F.map_from_entries(F.collect_list(F.struct("at", "bits"))).alias("bits"), F.max("cut").alias("cut"))
+    q = quotas.join(chosen, (F.col("rank") == F.col("cr")) & (F.col("shard") == F.col("cs")), "left").select(F.col("rank").alias("qr"), F.col("shard").alias("qs"), "passes", "bits", "cut")
     q = written(q, "mix-quotas")
 
-    line = Window.partitionBy("source", "shard").orderBy("order", "doc_id", "size", "place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    line = Window.partitionBy("rank", "shard").orderBy("order", "doc_id", "size", "place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = sharded(_keyed(docs, doc_id, source, text, True) if keep else sizes)
     some = placed.where("size > 0").withColumn("order", F.md5(F.concat_ws(":", F.lit(f"doc{seed}"), "key"))).withColumn("start", F.sum("size").over(line) - F.col("size"))
-    some = some.join(q.hint("merge"), _same("source", "qs") & (F.col("shard") == F.col("qsh")))
+    some = some.join(q.hint("merge"), (F.col("rank") == F.col("qr")) & (F.col("shard") == F.col("qs")))
     own = F.expr(f"filter(sequence(start div {block}, (start + size - 1) div {block}), b -> shiftright(coalesce(bits[b div 64], 0L), cast(b % 64 as int)) & 1 = 1)")
     part = F.expr(f"""transform(own, b -> named_struct('first', greatest(start, b * {block}) - start, 'end',
         least(start + size, b * {block} + if(b <=> cut.block, cut.part, {block})) - start))""")
@@ -201,23 +201,23 @@ quotients AS (
   FROM targets, total, LATERAL (SELECT unnest(generate_series(0, (3 * source_size - 1) // block)) AS k) WHERE target > 0),
 seats AS (SELECT *, row_number() OVER (ORDER BY quotient DESC, rank, k) AS seat FROM quotients),
 won AS (SELECT source, sum(least(length, total - (seat - 1) * block))::BIGINT AS words FROM seats, total WHERE (seat - 1) * block < total GROUP BY source),
-sources AS (SELECT t.source, source_size, target, coalesce(words, 0) AS words, greatest(1, (source_size + 199999) // 200000) AS shards FROM targets t LEFT JOIN won w ON t.source IS NOT DISTINCT FROM w.source),
-sharded AS (SELECT s.*, source_size, target, words, CASE WHEN size > 0 THEN ('0x' || substr(md5('shard7:' || key || ':'), 1, 8))::BIGINT % shards END AS shard FROM sizes s JOIN sources t ON s.source IS NOT DISTINCT FROM t.source),
-placed AS (SELECT *, sum(size) OVER (PARTITION BY source, shard ORDER BY md5('doc7:' || key), doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT - size AS start FROM sharded WHERE size > 0),
-shares AS (SELECT source, shard, source_size, words, sum(size)::BIGINT AS tokens FROM placed GROUP BY ALL),
-quotas0 AS (SELECT *, sum(tokens) OVER (PARTITION BY source ORDER BY shard)::HUGEINT AS ends FROM shares),
-quotas1 AS (SELECT source, shard, tokens, (ends * words // source_size - (ends - tokens) * words // source_size)::BIGINT AS quota FROM quotas0),
-quotas AS (SELECT source, shard, tokens, quota // tokens AS passes, quota % tokens AS rest FROM quotas1),
+sources AS (SELECT t.source, t.rank, source_size, target, coalesce(words, 0) AS words, greatest(1, (source_size + 199999) // 200000) AS shards FROM targets t LEFT JOIN won w ON t.source IS NOT DISTINCT FROM w.source),
+sharded AS (SELECT s.*, t.rank, source_size, target, words, CASE WHEN size > 0 THEN ('0x' || substr(md5('shard7:' || key || ':'), 1, 8))::BIGINT % shards END AS shard FROM sizes s JOIN sources t ON s.source IS NOT DISTINCT FROM t.source),
+placed AS (SELECT *, sum(size) OVER (PARTITION BY rank, shard ORDER BY md5('doc7:' || key), doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT - size AS start FROM sharded WHERE size > 0),
+shares AS (SELECT rank, shard, source_size, words, sum(size)::BIGINT AS tokens FROM placed GROUP BY ALL),
+quotas0 AS (SELECT *, sum(tokens) OVER (PARTITION BY rank ORDER BY shard)::HUGEINT AS ends FROM shares),
+quotas1 AS (SELECT rank, shard, tokens, (ends * words // source_size - (ends - tokens) * words // source_size)::BIGINT AS quota FROM quotas0),
+quotas AS (SELECT rank, shard, tokens, quota // tokens AS passes, quota % tokens AS rest FROM quotas1),
 blocks0 AS (
-  SELECT source, shard, rest, b, least(block, tokens - b * block) AS length, md5('block7:' || shard || ':' || coalesce(source, 'null') || ':' || b) AS ord
+  SELECT rank, shard, rest, b, least(block, tokens - b * block) AS length, md5('block7:' || rank || ':' || shard || ':' || b) AS ord
   FROM quotas, total, LATERAL (SELECT unnest(generate_series(0, (tokens - 1) // block)) AS b) WHERE rest > 0),
-blocks AS (SELECT source, shard, b, least(length, rest - sum(length) OVER (PARTITION BY source, shard ORDER BY ord, b ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) + length) AS part FROM blocks0),
+blocks AS (SELECT rank, shard, b, least(length, rest - sum(length) OVER (PARTITION BY rank, shard ORDER BY ord, b ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) + length) AS part FROM blocks0),
 parts AS (
-  SELECT p.source, p.shard, p.start, sum(greatest(0, least(p.start + p.size, k.b * block + k.part) - greatest(p.start, k.b * block))) AS more
+  SELECT p.rank, p.shard, p.start, sum(greatest(0, least(p.start + p.size, k.b * block + k.part) - greatest(p.start, k.b * block))) AS more
   FROM (SELECT *, unnest(generate_series(start // block, (start + size - 1) // block)) AS b FROM placed, total) p
-  JOIN blocks k ON p.shard = k.shard AND p.source IS NOT DISTINCT FROM k.source AND p.b = k.b AND k.part > 0 GROUP BY ALL)
+  JOIN blocks k ON p.shard = k.shard AND p.rank = k.rank AND p.b = k.b AND k.part > 0 GROUP BY ALL)
 SELECT s.doc_id, s.size, s.source_size, s.target, (s.size * coalesce(q.passes, 0) + coalesce(m.more, 0))::BIGINT AS taken, s.shard
-FROM sharded s LEFT JOIN placed p ON s.doc_id IS NOT DISTINCT FROM p.doc_id AND s.key = p.key AND s.source IS NOT DISTINCT FROM p.source
-LEFT JOIN quotas q ON p.shard = q.shard AND p.source IS NOT DISTINCT FROM q.source
-LEFT JOIN parts m ON p.shard = m.shard AND p.source IS NOT DISTINCT FROM m.source AND p.start = m.start
+FROM sharded s LEFT JOIN placed p ON s.doc_id IS NOT DISTINCT FROM p.doc_id AND s.key = p.key AND s.rank = p.rank
+LEFT JOIN quotas q ON p.shard = q.shard AND p.rank = q.rank
+LEFT JOIN parts m ON p.shard = m.shard AND p.rank = m.rank AND p.start = m.start
 """
