@@ -27,8 +27,6 @@ from weftline.llm.common import discard, place_in_file, table, words, written
 WEIGHTS, MAX_EPOCHS, BLOCK, LEAST_BLOCKS, SHARD_TOKENS, SEED = (5, 2, 1), 3, 128, 64, 200_000, 7
 #: Shards whose quotas are added up in one go; the sums of such bands are added up before.
 BAND = 1024
-#: Quotients that one ranking may hold beyond one for each source.
-CLOSE = 10_000
 
 
 def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -54,28 +52,23 @@ def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, max_epochs: int =
 def source_words(targets: DataFrame, total: int, block: int, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """``targets(source, source_size, target, rank)`` to source, words: by highest quotients.
 
-    The seats are those whose quotients reach a divisor. Two divisors, one that gives too few seats and one that gives too many, are narrowed until at most ``CLOSE`` seats
-    lie between them; each source keeps all but one of the seats that the larger divisor gives, and the quotients in between are ranked. Only counts reach the driver.
+    The seats are those whose quotients reach a divisor. A source's number of seats at a divisor is within a half of target / (2 * divisor), so two divisors are known
+    of which one gives too few seats and the other enough, with a few seats for each source between them; where sources run out of words, the smaller divisor goes
+    down until there are enough. Each source keeps all but one of the seats that the larger divisor gives, and the quotients in between are ranked. Only counts reach the driver.
     """
     seats, rest = -(-total // block), total % block or block
     each = targets.where("target > 0").withColumn("most", F.expr(f"({max_epochs} * source_size + {block - 1}) div {block}"))
 
-    def given(divisor: float | Column) -> Column:
+    def given(divisor: float) -> Column:
         """Seats whose quotients are at least the divisor."""
         return F.least(F.col("most"), F.floor((F.col("target") / divisor + 1) / 2))
 
-    top, lowest = each.agg(F.max("target"), F.min(F.col("target") / (2 * F.col("most")))).first()
-    few, many = (2.0 * top, lowest) if top else (1.0, 1.0)
-    close = False
-    while not close and few > many * (1 + 1e-12):
-        points = [many * (few / many) ** (k / 32) for k in range(33)]
-        counts = each.agg(*[F.sum(given(p)) for p in points]).first()
-        fewer = [k for k in range(33) if counts[k] < seats]  # counts fall as divisors rise
-        k = fewer[0] if fewer else 32
-        if not k:  # all that there is
-            few = many
-            break
-        few, many, close = points[k], points[k - 1], counts[k - 1] - counts[k] <= CLOSE
+    wanted, sources, most = each.agg(F.coalesce(F.sum("target"), F.lit(0.0)), F.count("*"), F.coalesce(F.sum("most"), F.lit(0))).first()
+    few, step = max(1e-300, wanted / max(1, 2 * seats - sources)) * (1 + 1e-9), 2
+    many = max(1e-300, wanted / (2 * seats + step * sources + 1))
+    while (each.agg(F.sum(given(many))).first()[0] or 0) < min(seats, most):
+        step *= 2
+        many = wanted / (2 * seats + step * sources + 1)
     each = each.withColumns({"sure": F.greatest(F.lit(0), given(few) - 1).cast("long"), "may": F.least(F.col("most"), given(many) + 1).cast("long")})
     left = seats - (each.agg(F.sum("sure")).first()[0] or 0)
     bids = each.where("may > sure").select("source", "rank", "target", F.explode(F.expr("sequence(sure, may - 1)")).alias("k"))
