@@ -70,9 +70,7 @@ def test_probabilities_sum_to_one():
     for base in (context, np.uint64(0x0A0A0A0A0A00), np.uint64(0x7A7A7A7A7A00)):
         asked = base | np.arange(256, dtype=np.uint64)
         grams, n = ppm.summed(np.concatenate([code, asked]), np.concatenate([np.ones(len(code), np.int64), np.zeros(256, np.int64)]))
-        low = np.zeros((256, 256), np.int64)
-        np.add.at(low, (((code >> np.uint64(8)) & np.uint64(255)).astype(int), (code & np.uint64(255)).astype(int)), 1)
-        score = ppm.score_grams(grams, n, low)
+        score = ppm.score_grams(grams, n, ppm.orders_of(code, np.ones(len(code), np.int64), 0, ppm.BASE - 1))
         assert math.isclose(sum(10 ** score[np.searchsorted(grams, asked)]), 1.0, rel_tol=1e-9)
 
 
@@ -94,3 +92,33 @@ def test_edges(make_docs):
     only_held = [(i, "x y") for i in range(200) if held(i)][:3]
     got = ppm.score_documents(make_docs(only_held)).collect()
     assert all(r.train_tokens == 0 and r.base_score == 0 and math.isclose(r.score, -4 * math.log10(256)) for r in got)
+
+
+def test_groups_are_scored_whole_whatever_the_slices():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    code, n = ppm.summed(ppm.grams_of([[bytes(rng.integers(97, 101, 9).astype(np.uint8)) for _ in range(3000)]])[0], np.ones(30_000, np.int64))
+    low = ppm.orders_of(code, n, 0, ppm.BASE - 1)
+    want = dict(zip(code.tolist(), ppm.score_grams(code, n, low)))
+    order = np.argsort(ppm.Contexts.masked(code, ppm.BASE) >> np.uint64(8), kind="stable")
+    key, n = code[order].view(np.int64), n[order]
+    for rows, most in ((7, 10), (100, 1000), (100_000, 10)):
+        batches = [pa.RecordBatch.from_arrays([pa.array(key[a : a + rows]), pa.array(n[a : a + rows])], ["key", "n"]) for a in range(0, len(key), rows)]
+        got = {int(k): v for keys, values in ppm.scored_groups(batches, low, most=most) for k, v in zip(keys, values)}
+        assert got == pytest.approx(want)
+    assert list(ppm.scored_groups([], low)) == []
+
+
+def test_repeated_rows_of_a_file_spread(spark, tmp_path):
+    rows = [(None, "the same text")] * 400 + [(7, "another text")] * 400
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(4).write.parquet(str(tmp_path / "t"))
+    docs = spark.read.parquet(str(tmp_path / "t"))
+    got = ppm.score_documents(docs, block_bytes=500)
+    assert got.count() == 800 and got.select("doc_id", "score").distinct().count() == 2
+    from pyspark.sql import functions as F
+
+    from weftline.llm.common import place_in_file
+
+    dealt = place_in_file(docs, lambda p: [F.pmod(F.xxhash64("doc_id", "text", p), F.lit(10)).alias("b")]).groupBy("b").count().collect()
+    assert len(dealt) == 10 and max(r["count"] for r in dealt) < 160

@@ -67,6 +67,16 @@ def place_in_file(df: DataFrame, columns) -> DataFrame:
         return df.select(*columns(F.lit("")))
 
 
+def from_files(df: DataFrame, label: str) -> tuple[DataFrame, list[DataFrame]]:
+    """``df`` if its rows come straight from files, else written to files; the second is what to discard in the end."""
+    try:
+        df.select("_metadata.row_index")
+        return df, []
+    except AnalysisException:
+        df = written(df, label)
+        return df, [df]
+
+
 def give_back() -> None:
     """Returns freed memory to the system, so that an idle worker doesn't hold what its last group took."""
     import ctypes

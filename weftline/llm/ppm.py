@@ -5,13 +5,15 @@ pretrained: in a context with T (non-excluded) symbols of q kinds a symbol seen
 the longer context are excluded from the shorter one; the last resort is uniform over bytes not yet excluded. A text's score is the sum of the log10
 probabilities of its bytes and its end.
 
-The trie is never in one place. Documents are dealt into blocks of about ``BLOCK_BYTES``; each block gives its distinct grams (a symbol and its ORDER
-bytes of context, packed in 64 bits) and words with their training counts. Counts are summed by gram over all blocks; grams that share their last
-two context bytes are scored together, the two lowest orders coming from a table of 65,536 counts at most; joins bring each block the values of its own
-grams and words, and only those. Everything follows the input and no table is broadcast that does.
+The trie is never in one place. Documents are dealt into blocks of about ``BLOCK_BYTES`` by hash of id, text and place in their file, so copies and repeated
+rows spread; each block gives its distinct grams (a symbol and its ORDER bytes of context, packed in 64 bits) and words with their training counts. Counts are summed
+by gram over all blocks; grams that share their last three context bytes, at most 2^24, are scored together, a few such groups at a time, and the lower orders come from a broadcast table of three-byte
+counts, at most 2^24 whatever the input. Joins bring each block the values of its own grams and words, and only those, sorted before its texts, which stream past them.
+Everything else follows the input and no table is broadcast that does.
 
 Nulls: a null text is empty and so one end; a null id is held in. Repeated rows get repeated results; each counts in training. Without training
-texts every byte has 1/256. An empty table gives an empty result. Words are counted by a 64-bit hash. Other columns aren't read.
+texts every byte has 1/256. An empty table gives an empty result. Words are counted by a 64-bit hash. Other columns aren't read. Rows that don't come straight from
+files are written first, as only then their places are the same in both passes.
 """
 
 from __future__ import annotations
@@ -22,11 +24,13 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import LOWER_ASCII, WORD_BYTES, column_bytes, discard, give_back, remainder, table, written
+from weftline.llm.common import LOWER_ASCII, WORD_BYTES, column_bytes, discard, from_files, give_back, place_in_file, remainder, table, written
 
-ORDER, BLOCK_BYTES, SLICE_BYTES = 5, 32 << 20, 2 << 20
-#: Texts go to Python so many at a time: the JVM's buffers are as large as a batch.
-SMALL_BATCHES = {"spark__sql__execution__arrow__maxRecordsPerBatch": "1000"}
+ORDER, BLOCK_BYTES, SLICE_BYTES = 5, 24 << 20, 2 << 20
+#: Context bytes that grams share which are scored together, and how many grams are scored at once if their groups aren't larger.
+BASE, SLICE_GRAMS = 3, 400_000
+#: Rows go to Python so many at a time, as the JVM's buffers are as large as a batch; intermediate tables are packed more tightly.
+SMALL_BATCHES = {"spark__sql__execution__arrow__maxRecordsPerBatch": "5000", "spark__sql__execution__arrow__maxBytesPerBatch": str(8 << 20), "spark__sql__parquet__compression__codec": "zstd"}
 END = b"\n"
 WORD, GRAM = 0, 1
 
@@ -131,101 +135,162 @@ def with_counts(keys: np.ndarray, train: np.ndarray, held: tuple[np.ndarray, np.
     return summed(np.concatenate([held[0], kept, others]), np.concatenate([held[1], n, np.zeros(len(others), np.int64)]))
 
 
-def block_keys(texts, train: list[bool], order: int = ORDER) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """kind, key and training count of the distinct words and grams of a block."""
-    words = grams = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    for first, docs in parts_of(texts):
-        own = np.array(train[first : first + len(docs)], bool)
-        keys, sizes = word_keys(docs)
-        words = with_counts(keys, np.repeat(own, sizes), words)
-        code, sizes = grams_of(docs, order)
-        del docs, keys
-        grams = with_counts(code, np.repeat(own, sizes), grams)
-    kind = np.repeat(np.array([WORD, GRAM], np.int8), [len(words[0]), len(grams[0])])
-    return kind, np.concatenate([words[0], grams[0]]).view(np.int64), np.concatenate([words[1], grams[1]])
+class BlockKeys:
+    """The distinct words and grams of a block with their training counts, gathered slice by slice."""
 
+    def __init__(self, order: int = ORDER):
+        self.order, self.words, self.grams = order, (np.zeros(0, np.uint64), np.zeros(0, np.int64)), (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
-def score_grams(grams: np.ndarray, n: np.ndarray, low: np.ndarray, order: int = ORDER, base: int = 2) -> np.ndarray:
-    """log10 probability of each gram.
+    def add(self, texts: list[bytes | None], train: list[bool]) -> None:
+        for first, docs in parts_of(texts):
+            own = np.array(train[first : first + len(docs)], bool)
+            keys, sizes = word_keys(docs)
+            self.words = with_counts(keys, np.repeat(own, sizes), self.words)
+            code, sizes = grams_of(docs, self.order)
+            self.grams = with_counts(code, np.repeat(own, sizes), self.grams)
 
-    grams: distinct; together all that share the last ``base`` context bytes with any of them. n: their training counts. low: [context byte, symbol] to
-    count over the whole corpus, for orders 1 and 0.
-    """
-    seen = n > 0
-    table = {}
-    for k in range(base, order + 1):
-        mask = np.uint64((1 << (8 * (k + 1))) - 1)
-        keys, sums = summed(grams[seen] & mask, n[seen])
-        contexts, at, kinds = np.unique(keys >> np.uint64(8), return_inverse=True, return_counts=True)
-        table[k] = (keys, sums, contexts, np.bincount(at, weights=sums, minlength=len(contexts)), kinds, at)
-    zero = low.sum(0)
-
-    def place(sorted_keys, wanted):
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """kind, key and training count."""
+        kind = np.repeat(np.array([WORD, GRAM], np.int8), [len(self.words[0]), len(self.grams[0])])
+        return kind, np.concatenate([self.words[0], self.grams[0]]).view(np.int64), np.concatenate([self.words[1], self.grams[1]])
+
+
+def runs_of(batches, column: str):
+    """(value, slice) of the runs of equal values in an integer column of Arrow batches."""
+    for b in batches:
+        values = b.column(column).to_numpy(zero_copy_only=False)
+        cuts = [0, *(np.flatnonzero(np.diff(values)) + 1).tolist(), len(values)]
+        for x, y in zip(cuts, cuts[1:]):
+            if y > x:
+                yield int(values[x]), b.slice(x, y - x)
+
+
+class Buffer:
+    """Rows held until their texts have about ``SLICE_BYTES``."""
+
+    def __init__(self):
+        self.rows, self.size = [], 0
+
+    def add(self, texts: list[bytes | None], *columns: list) -> bool:
+        self.rows += zip(texts, *columns)
+        self.size += sum(len(t) for t in texts if t)
+        return self.size >= SLICE_BYTES
+
+    def take(self) -> list[list]:
+        out = [list(c) for c in zip(*self.rows)]
+        self.rows, self.size = [], 0
+        return out
+
+
+class Contexts:
+    """The counts of one order: sorted grams, and their contexts with totals and kinds."""
+
+    def __init__(self, order: int, keys: np.ndarray, sums: np.ndarray, lower: Contexts | None = None):
+        self.order, self.keys, self.sums = order, keys, sums.astype(np.float64)
+        self.contexts, self.at = np.unique(keys >> np.uint64(8), return_inverse=True)
+        self.kinds = np.bincount(self.at, minlength=len(self.contexts)).astype(np.float64)
+        self.totals = np.bincount(self.at, weights=self.sums, minlength=len(self.contexts))
+        # what the symbols of each context weigh in the next lower order
+        self.mass = np.bincount(self.at, weights=lower.count(keys), minlength=len(self.contexts)) if lower else np.zeros(len(self.contexts))
+
+    @staticmethod
+    def _find(sorted_keys: np.ndarray, wanted: np.ndarray, values: np.ndarray) -> np.ndarray:
         if not len(sorted_keys):
-            return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+            return np.zeros(len(wanted))
         i = np.minimum(np.searchsorted(sorted_keys, wanted), len(sorted_keys) - 1)
-        return i, sorted_keys[i] == wanted
-
-    def lookup(k, g):
-        """Count of the symbol, total and kinds of the context at order k."""
-        sym, prev = (g & np.uint64(0xFF)).astype(np.int64), ((g >> np.uint64(8)) & np.uint64(0xFF)).astype(np.int64)
-        if k == 0:
-            return zero[sym], np.full(len(g), zero.sum()), np.full(len(g), (zero > 0).sum())
-        if k == 1:
-            return low[prev, sym], low.sum(1)[prev], (low > 0).sum(1)[prev]
-        keys, sums, contexts, totals, kinds, _ = table[k]
-        g = g & np.uint64((1 << (8 * (k + 1))) - 1)
-        i, ok = place(keys, g)
-        j, known = place(contexts, g >> np.uint64(8))
-        return (np.where(ok, sums[i], 0) if len(keys) else np.zeros(len(g))), (np.where(known, totals[j], 0) if len(contexts) else np.zeros(len(g))), (np.where(known, kinds[j], 0) if len(contexts) else np.zeros(len(g)))
-
-    def excluded(k, g):
-        """Total and kinds, at order k, of the symbols seen after the context of order k + 1."""
-        if k == 0:
-            prev = ((g >> np.uint64(8)) & np.uint64(0xFF)).astype(np.int64)
-            return ((low > 0) * zero[None, :]).sum(1)[prev], (low > 0).sum(1)[prev]
-        keys, _, contexts, _, kinds, at = table[k + 1]
-        if not len(keys):
-            return np.zeros(len(g)), np.zeros(len(g))
-        mass = np.bincount(at, weights=lookup(k, keys)[0], minlength=len(contexts))
-        j, known = place(contexts, (g & np.uint64((1 << (8 * (k + 2))) - 1)) >> np.uint64(8))
-        return np.where(known, mass[j], 0), np.where(known, kinds[j], 0)
+        return np.where(sorted_keys[i] == wanted, values[i], 0.0)
+
+    @staticmethod
+    def masked(grams: np.ndarray, order: int) -> np.ndarray:
+        return grams & np.uint64((1 << (8 * (order + 1))) - 1)
+
+    def count(self, grams: np.ndarray) -> np.ndarray:
+        """Of grams, longer ones included."""
+        return self._find(self.keys, self.masked(grams, self.order), self.sums)
+
+    def of_context(self, grams: np.ndarray, values: np.ndarray) -> np.ndarray:
+        return self._find(self.contexts, self.masked(grams, self.order) >> np.uint64(8), values)
+
+
+def orders_of(grams: np.ndarray, n: np.ndarray, first: int, last: int, lower: Contexts | None = None) -> dict[int, Contexts]:
+    """The counts of the orders ``first`` to ``last`` from grams of order ``last`` or more with their training counts."""
+    found = {}
+    for k in range(first, last + 1):
+        keys, sums = summed(Contexts.masked(grams[n > 0], k), n[n > 0])
+        lower = found[k] = Contexts(k, keys, sums, lower)
+    return found
 
+
+def score_grams(grams: np.ndarray, n: np.ndarray, low: dict[int, Contexts], order: int = ORDER, base: int = BASE) -> np.ndarray:
+    """log10 probability of each gram.
+
+    grams: distinct; together all that share the last ``base`` context bytes with any of them. n: their training counts. low: the counts of the orders below
+    ``base`` over the whole corpus.
+    """
+    orders = low | orders_of(grams, n, base, order, low[base - 1])
     out, left = np.zeros(len(grams)), np.arange(len(grams))
     for k in range(order, -1, -1):
         g = grams[left]
-        count, total, kinds = (np.asarray(x, np.float64) for x in lookup(k, g))
+        own = orders[k]
+        count, total, kinds = own.count(g), own.of_context(g, own.totals), own.of_context(g, own.kinds)
         if k < order:
-            t, q = excluded(k, g)
-            total, kinds = total - t, kinds - q
+            longer = orders[k + 1]
+            total, kinds = total - longer.of_context(g, longer.mass), kinds - longer.of_context(g, longer.kinds)
         hit = (count > 0) & (total > 0)
         out[left[hit]] += np.log10((2 * count[hit] - 1) / (2 * total[hit]))
         escapes = ~hit & (total > 0)
         out[left[escapes]] += np.log10(kinds[escapes] / (2 * total[escapes]))
         left = left[~hit]
-    out[left] -= math.log10(max(1, 256 - int((zero > 0).sum())))
+    out[left] -= math.log10(max(1, 256 - len(orders[0].keys)))
     return out
 
 
-def score_block(texts, words: tuple[np.ndarray, np.ndarray], grams: tuple[np.ndarray, np.ndarray], total: int, kinds: int, order: int = ORDER):
-    """n_tokens, n_known, base_score and score of each text from the block's (keys, counts) of words and (keys, values) of grams, both sorted by key."""
-    bottom = total + 0.5 * (kinds + 1)
-    worth = np.log10((words[1] + 0.5) / bottom)
-    of_word, of_gram = Finder(words[0]), Finder(grams[0])
-    out: list[list[np.ndarray]] = [[], [], [], []]
-    for _, docs in parts_of(texts):
-        keys, sizes = word_keys(docs)
-        code, lengths = grams_of(docs, order)
-        del docs
-        at, place = of_word(keys), of_gram(code)
-        if at.min() < 0 or place.min() < 0:
-            raise ValueError("a word or gram of the block has no value")
-        starts = np.cumsum(sizes) - sizes
-        out[0].append(sizes)
-        out[1].append(np.add.reduceat((words[1][at] > 0).astype(np.int64), starts))
-        out[2].append(np.add.reduceat(worth[at], starts))
-        out[3].append(np.add.reduceat(grams[1][place], np.cumsum(lengths) - lengths))
-    return [np.concatenate(x) if x else np.zeros(0) for x in out]
+class BlockValues:
+    """Scores texts by a block's (keys, counts) of words and (keys, values) of grams."""
+
+    def __init__(self, words: tuple[np.ndarray, np.ndarray], grams: tuple[np.ndarray, np.ndarray], total: int, kinds: int, order: int = ORDER):
+        self.order, (word, self.counts), (gram, self.values) = order, words, grams
+        self.worth = np.log10((self.counts + 0.5) / (total + 0.5 * (kinds + 1)))
+        self.of_word, self.of_gram = Finder(word), Finder(gram)
+
+    def scores(self, texts: list[bytes | None]) -> list[np.ndarray]:
+        """n_tokens, n_known, base_score and score of each text."""
+        out: list[list[np.ndarray]] = [[], [], [], []]
+        for _, docs in parts_of(texts):
+            keys, sizes = word_keys(docs)
+            code, lengths = grams_of(docs, self.order)
+            del docs
+            at, place = self.of_word(keys), self.of_gram(code)
+            if at.min() < 0 or place.min() < 0:
+                raise ValueError("a word or gram of the block has no value")
+            starts = np.cumsum(sizes) - sizes
+            out[0].append(sizes)
+            out[1].append(np.add.reduceat((self.counts[at] > 0).astype(np.int64), starts))
+            out[2].append(np.add.reduceat(self.worth[at], starts))
+            out[3].append(np.add.reduceat(self.values[place], np.cumsum(lengths) - lengths))
+        return [np.concatenate(x) if x else np.zeros(0) for x in out]
+
+
+def scored_groups(batches, low: dict[int, Contexts], order: int = ORDER, most: int = SLICE_GRAMS):
+    """(keys, values) of grams that come sorted by their last ``BASE`` context bytes, (key, n) at a time; whole groups of them are scored together."""
+    key, n, enough = np.zeros(0, np.int64), np.zeros(0, np.int64), most
+    held: list[tuple] = []
+    size = 0
+    for b in batches:
+        held.append((b.column("key").to_numpy(zero_copy_only=False), b.column("n").to_numpy(zero_copy_only=False)))
+        size += b.num_rows
+        if size < enough:
+            continue
+        key, n = (np.concatenate(x) for x in zip(*held))
+        group = Contexts.masked(key.view(np.uint64), BASE) >> np.uint64(8)
+        cut = int(np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))[-1])  # where the last group, maybe not whole yet, begins
+        if cut:
+            yield key[:cut], score_grams(key[:cut].view(np.uint64), n[:cut], low, order)
+        held, size = [(key[cut:], n[cut:])], len(key) - cut
+        enough = max(most, 2 * size)
+    if size:
+        key, n = (np.concatenate(x) for x in zip(*held))
+        yield key, score_grams(key.view(np.uint64), n, low, order)
 
 
 def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", held_remainder: int = 1, modulus: int = 5, order: int = ORDER, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -233,59 +298,103 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     import pyarrow as pa
 
     spark = docs.sparkSession
-    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), (remainder(doc_id, modulus) == held_remainder).alias("held_out"))
+    docs, own = from_files(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "ppm-docs")
     id_type = docs.schema["doc_id"].dataType.simpleString()
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_blocks = max(1, math.ceil(size / block_bytes))
-    blocks = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("int"))
-
-    def keys(whole):
-        give_back()
-        kind, key, n = block_keys(whole.column("text"), [not h for h in whole.column("held_out").to_pylist()], order)
-        give_back()
-        return pa.table({"block": pa.array(np.full(len(kind), whole.column("block")[0].as_py(), np.int32)), "kind": kind, "key": key, "n": n})
-
-    rows = written(blocks.groupBy("block").applyInArrow(keys, "block int, kind byte, key long, n long"), "ppm-keys", **SMALL_BATCHES)
-    counts = written(rows.groupBy("kind", "key").agg(F.sum("n").alias("n")), "ppm-counts")
+    n_blocks, parts = max(1, math.ceil(size / block_bytes)), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks = place_in_file(docs, lambda place: [F.pmod(F.xxhash64("doc_id", "text", place), F.lit(n_blocks)).cast("int").alias("block"), "doc_id", (remainder("doc_id", modulus) == held_remainder).alias("held_out"), "text"])
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        """Whole blocks in each partition, about as many in each."""
+        return rows.repartitionById(parts, F.pmod("block", F.lit(parts)))
+
+    def keys(batches):
+        found, at, waiting = None, None, Buffer()
+
+        def rows():
+            if waiting.rows:
+                found.add(*waiting.take())
+            kind, key, n = found.rows()
+            for a in range(0, len(kind), 200_000):
+                z = slice(a, a + 200_000)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(kind[z]), at, np.int32)), pa.array(kind[z]), pa.array(key[z]), pa.array(n[z])], ["block", "kind", "key", "n"])
+            give_back()
+
+        for block, b in runs_of(batches, "block"):
+            if block != at:
+                if found:
+                    yield from rows()
+                found, at = BlockKeys(order), block
+            if waiting.add(column_bytes(b.column("text")), [not h for h in b.column("held_out").to_pylist()]):
+                found.add(*waiting.take())
+        if found:
+            yield from rows()
+
+    gathered = dealt(blocks.select("block", "held_out", "text")).sortWithinPartitions("block").mapInArrow(keys, "block int, kind byte, key long, n long")
+    rows = written(gathered, "ppm-keys", **SMALL_BATCHES)
+    counts = written(rows.groupBy("kind", "key").agg(F.sum("n").alias("n")), "ppm-counts", **SMALL_BATCHES)
     total, kinds = counts.where(f"kind = {WORD} and n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    low = np.zeros((256, 256), np.int64)
-    for r in counts.where(f"kind = {GRAM} and n > 0").groupBy(F.col("key").bitwiseAND(F.lit(0xFFFF)).alias("pair")).agg(F.sum("n").alias("n")).toLocalIterator():
-        low[r["pair"] >> 8, r["pair"] & 0xFF] = r["n"]
-    shared = spark.sparkContext.broadcast(low)  # 65,536 numbers
+    short = counts.where(f"kind = {GRAM} and n > 0").groupBy(F.col("key").bitwiseAND(F.lit((1 << 8 * BASE) - 1)).alias("key")).agg(F.sum("n").alias("n")).toArrow()  # at most 2^24 rows
+    low = spark.sparkContext.broadcast(orders_of(short.column("key").to_numpy().astype(np.uint64), short.column("n").to_numpy(), 0, BASE - 1))
 
     def scored(batches):
-        held = list(batches)
-        if held:
-            key = np.concatenate([b.column("key").to_numpy(zero_copy_only=False) for b in held])
-            n = np.concatenate([b.column("n").to_numpy(zero_copy_only=False) for b in held])
-            value = score_grams(key.view(np.uint64), n, shared.value, order)
+        for key, value in scored_groups(batches, low.value, order):
             for a in range(0, len(key), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(key[a : a + 100_000]), pa.array(value[a : a + 100_000])], ["key", "value"])
 
-    own = counts.where(f"kind = {GRAM}").select("key", "n").repartition(F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFF)))
-    values = own.mapInArrow(scored, "key long, value double").select(F.lit(GRAM).cast("byte").alias("kind"), "key", "value")
+    group = F.shiftright("key", 8).bitwiseAND(F.lit((1 << 8 * BASE) - 1)).alias("group")
+    dealt_grams = counts.where(f"kind = {GRAM}").select("key", "n", group).repartition("group").sortWithinPartitions("group").select("key", "n")
+    values = dealt_grams.mapInArrow(scored, "key long, value double").select(F.lit(GRAM).cast("byte").alias("kind"), "key", "value")
     values = values.unionByName(counts.where(f"kind = {WORD}").select("kind", "key", F.col("n").cast("double").alias("value")))
-    valued = written(values, "ppm-values")
+    valued = written(values, "ppm-values", spark__sql__parquet__compression__codec="zstd")
+    discard(counts)
     values = valued.select(F.col("kind").alias("k1"), F.col("key").alias("k2"), "value")
-    wanted = rows.select("block", "kind", "key").join(values, (F.col("kind") == F.col("k1")) & (F.col("key") == F.col("k2"))).select(F.col("block").alias("b"), "kind", "key", "value")
-
-    def judged(texts, found):
-        give_back()
-        kind = found.column("kind").to_numpy()
-        key, value = found.column("key").to_numpy().view(np.uint64), found.column("value").to_numpy()
-        split = []
-        for k in (WORD, GRAM):
-            place = np.flatnonzero(kind == k)
-            place = place[np.argsort(key[place])]
-            split.append((key[place], value[place]))
-        n_tokens, n_known, base, score = score_block(texts.column("text"), *split, total, kinds, order)
-        n = len(score)
-        give_back()
-        return pa.table({"doc_id": texts.column("doc_id"), "held_out": texts.column("held_out"), "n_tokens": pa.array(n_tokens.astype(np.int64)), "n_known": pa.array(n_known.astype(np.int64)), "train_tokens": pa.array([total] * n, pa.int64()), "base_score": pa.array(base), "score": pa.array(score)})
+    wanted = rows.select("block", "kind", "key").join(values, (F.col("kind") == F.col("k1")) & (F.col("key") == F.col("k2"))).select("block", "kind", "key", "value")
+    # one column to sort by: a block's words, its grams, its texts
+    place = (F.col("block").cast("long") * 4 + F.col("kind")).alias("place")
+    nothing = [F.lit(None).cast(id_type).alias("doc_id"), F.lit(None).cast("boolean").alias("held_out"), F.lit(None).cast("string").alias("text")]
+    texts = blocks.withColumn("kind", F.lit(2)).select("block", place, F.lit(0).cast("long").alias("key"), F.lit(0.0).alias("value"), "doc_id", "held_out", "text")
+    both = dealt(wanted.select("block", place, "key", "value", *nothing).unionByName(texts)).drop("block").sortWithinPartitions("place")
+
+    def judged(batches):
+        held: list[list[tuple]] = [[], []]
+        at, values, waiting = None, None, Buffer()
+
+        def split(pairs: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+            if not pairs:
+                return np.zeros(0, np.uint64), np.zeros(0)
+            key, value = (np.concatenate(x) for x in zip(*pairs))
+            by_key = np.argsort(key.view(np.uint64))
+            return key.view(np.uint64)[by_key], value[by_key]
+
+        def rows():
+            raw, ids, held_out = waiting.take()
+            n_tokens, n_known, base, score = values.scores(raw)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, id_arrow), pa.array(held_out, pa.bool_()), pa.array(n_tokens.astype(np.int64)), pa.array(n_known.astype(np.int64)), pa.array([total] * len(score), pa.int64()), pa.array(base), pa.array(score)], names)
+
+        names, id_arrow = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"], None
+        for k, b in runs_of(batches, "place"):
+            block, kind = k >> 2, k & 3
+            id_arrow = b.schema.field("doc_id").type
+            if block != at:
+                if waiting.rows:
+                    yield from rows()
+                held, at, values = [[], []], block, None
+                give_back()
+            if kind < 2:
+                held[kind].append((b.column("key").to_numpy(zero_copy_only=False), b.column("value").to_numpy(zero_copy_only=False)))
+                continue
+            if values is None:
+                values = BlockValues(split(held[WORD]), split(held[GRAM]), total, kinds, order)
+                held = [[], []]
+            if waiting.add(column_bytes(b.column("text")), b.column("doc_id").to_pylist(), b.column("held_out").to_pylist()):
+                yield from rows()
+        if waiting.rows:
+            yield from rows()
 
     fields = f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    scores = written(blocks.groupBy("block").cogroup(wanted.groupBy("b")).applyInArrow(judged, fields), "ppm-scores", **SMALL_BATCHES)
-    discard(rows, counts, valued)
+    scores = written(both.mapInArrow(judged, fields), "ppm-scores", **SMALL_BATCHES)
+    discard(rows, valued, *own)
     return scores
 
 
