@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from weftline.llm import media
 
@@ -14,6 +15,18 @@ def plain(text):
     return len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(stored), hashlib.sha256(stored).hexdigest()
 
 
+def plain_feature(text):
+    """By loops over samples: which of 8 x 8 fields of the mean frame are above the mean, and the mean sample."""
+    data = (text or "").encode()
+    payload = data + b"\xff" * (-len(data) % 576 if data else 576)
+    fields = [0] * 64
+    for k, v in enumerate(payload):
+        row, column = divmod(k % 576, 24)
+        fields[row // 3 * 8 + column // 3] += v
+    bits = "".join("1" if f * 64 > sum(fields) else "0" for f in fields)
+    return f"{int(bits, 2):016x}-{sum(fields) // len(payload):02x}"
+
+
 def found(r):
     return r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_bytes, r.media_sha256
 
@@ -21,9 +34,7 @@ def found(r):
 def test_whole_table(spark, sf_dir, texts):
     rows = media.op4_media(spark, sf_dir).collect()
     assert {r.doc_id: found(r) for r in rows} == {i: plain(t) for i, t in texts.items()} and len(rows) == len(texts)
-    of_text = {}
-    for r in rows:
-        assert of_text.setdefault(texts[r.doc_id], r.feature) == r.feature
+    assert {r.doc_id: r.feature for r in rows} == {i: plain_feature(t) for i, t in texts.items()}
 
 
 def test_edges_and_shared_chunks(make_docs):
@@ -51,3 +62,26 @@ def test_damage_is_noticed():
     with pytest.raises(ValueError):
         media.from_media(media.to_media(b"abc")[:-1])
     assert media.from_media(media.to_media(b"abc")).rstrip(b"\xff") == b"abc"
+
+
+def test_every_document_is_read_from_the_store(spark, make_docs):
+    rng = np.random.default_rng(8)
+    texts = ["".join(chr(97 + k) for k in rng.integers(0, 26, 9_000)) for _ in range(4)]
+    docs = make_docs([(k, texts[k]) for k in range(4)] + [(9, texts[0]), (9, texts[0]), (10, texts[1] + texts[2]), (11, None)])
+    chunks = media.chunk_table(docs)
+    store = chunks.where("seq < 0 and shared").selectExpr("digest as stored", "payload").distinct()
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    try:
+        assert media.read_media(chunks, store).count() == 6
+        plan = media.read_media(chunks, store)._jdf.queryExecution().toString()
+        assert "hashpartitioning(media" in plan
+        for what in ("not shared", "shared"):
+            wrong = F.when(F.expr(f"seq < 0 and {what} and md5(digest) < '8'"), F.reverse(F.hex("payload")).cast("binary")).otherwise(F.col("payload"))
+            damaged = chunks.withColumn("payload", wrong)
+            with pytest.raises(Exception, match="a chunk doesn't match its digest"):
+                media.read_media(damaged, damaged.where("seq < 0 and shared").selectExpr("digest as stored", "payload").distinct()).collect()
+        with pytest.raises(Exception, match="a chunk list has gaps|a medium doesn't match its digest"):
+            media.read_media(chunks.where("not (seq >= 0 and md5(digest) < '4')"), store).collect()
+        assert sorted(r.k for r in docs.select(media.media_key("text").alias("k")).distinct().collect()) == sorted(hashlib.sha256(media.to_media((t or "").encode())).digest() for t in {r.text for r in docs.collect()})
+    finally:
+        spark.conf.unset("spark.sql.requireAllClusterKeysForCoPartition")

@@ -4,11 +4,13 @@ A text's UTF-8 bytes, padded with bytes 255 to a positive multiple of 576, are t
 stored form. A gear hash rolls over the stored form and cuts it; each chunk has its SHA-256.
 
 1. Digests are counted over all documents; only 40 bytes a chunk are shuffled. The digests met twice or more set bits of a filter of fixed size.
-2. A document none of whose chunks is in the filter shares nothing: its media stay in place and are read back, chunk by chunk, where they are.
-3. The others' chunks that are in the filter go to a store, one payload for each digest; joins on the digest bring payloads to the ordered chunk
-   lists, from which the media are put together. Each chunk and each whole is verified by SHA-256 before features are computed.
+2. One pass writes the ordered chunk list of each document, keyed by the SHA-256 of its stored form, and the chunks. A chunk in the filter may be shared and
+   goes to the common store, one payload for each digest; any other is the only one of its digest and is stored under its medium.
+3. Lists of equal media fold to one. A join on the digest brings the common store's payloads to the media that need them, a join on medium and digest brings all payloads to their places in the
+   lists. Each chunk and each whole read back is verified by SHA-256, then described, once for each distinct medium.
+4. Documents, by the SHA-256 of the stored form that the JVM computes for them, are joined with what was read back; one whose medium isn't there is an error.
 
-A wrong hit of the filter only sends a chunk through the store, so results don't depend on its size. Nulls: a null text is empty and so one frame of
+A wrong hit of the filter only sends a chunk through the common store, so results don't depend on its size. Nulls: a null text is empty and so one frame of
 padding; null ids are kept. Repeated rows give repeated results; equal texts give equal values. An empty table gives an empty result. Other columns
 aren't read.
 """
@@ -19,10 +21,10 @@ import hashlib
 import zlib
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import column_bytes, slices, table, written
+from weftline.llm.common import column_bytes, discard, slices, table, written
 
 FRAME, SIDE, PAD = 576, 24, b"\xff"
 #: Chunks have at least MIN, at most MAX and about 2**CUT_BITS + MIN bytes.
@@ -127,99 +129,99 @@ def shared_digests(docs: DataFrame) -> np.ndarray:
     return bits.view(np.uint64)
 
 
-def _rows(rows: list[tuple], ids, fields: list[str], types: list):
+def chunk_table(docs: DataFrame) -> DataFrame:
+    """The chunks of ``docs(text)``, written: list entries (media, seq, digest, shared) and, at seq -1, payloads (media unless shared, digest, shared, payload)."""
     import pyarrow as pa
 
-    columns = list(zip(*rows)) if rows else [[] for _ in types]
-    return pa.RecordBatch.from_arrays([ids, *(pa.array(c, t) for c, t in zip(columns, types))], fields)
+    shared = docs.sparkSession.sparkContext.broadcast(shared_digests(docs))  # of fixed size
+    names, types = ["media", "seq", "digest", "shared", "payload"], [pa.binary(), pa.int32(), pa.binary(), pa.bool_(), pa.binary()]
 
-
-def media_columns(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each row of ``docs`` with FIELDS, from media read back from the chunks."""
-    import pyarrow as pa
-
-    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    spark, id_type = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
-    fields = FIELDS.format(id_type)
-    names = [f.split()[0] for f in fields.split(", ")]
-    types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-    shared = spark.sparkContext.broadcast(shared_digests(docs))  # of fixed size
-
-    def hit(digest: bytes) -> bool:
-        k = _bit(digest)
-        return bool((int(shared.value[k >> 6]) >> (k & 63)) & 1)
-
-    def alone(batches):
-        """Documents that share no chunk, read back from their own chunks."""
-        for whole in batches:
-            for b in slices(whole, 8 << 20):
-                rows, at = [], []
-                for k, (_, chunks) in enumerate(chunked(column_bytes(b.column("text")))):
-                    if not any(hit(d) for d, _ in chunks):
-                        rows.append(described(b"".join(piece for _, piece in chunks)))
-                        at.append(k)
-                yield _rows(rows, b.column("doc_id").take(pa.array(at, pa.int32())), names, types)
-
-    def lists(batches):
-        """The ordered chunk lists of the others; chunks that may be shared without their bytes."""
-        for whole in batches:
-            for b in slices(whole, 8 << 20):
-                rows, at = [], []
-                for k, (media, chunks) in enumerate(chunked(column_bytes(b.column("text")))):
-                    hits = [hit(d) for d, _ in chunks]
-                    if any(hits):
-                        whole_sha = hashlib.sha256(media).digest()
-                        rows += [(whole_sha, seq, d, None if h else piece) for seq, ((d, piece), h) in enumerate(zip(chunks, hits))]
-                        at += [k] * len(chunks)
-                yield _rows(rows, b.column("doc_id").take(pa.array(at, pa.int32())), ["doc_id", "media", "seq", "digest", "own"], [pa.binary(), pa.int32(), pa.binary(), pa.binary()])
-
-    def store(batches):
-        """Chunks that may be shared, once for each slice."""
+    def run(batches):
+        bits = shared.value
         for whole in batches:
             for b in slices(whole, 8 << 20):
-                found = {d: piece for _, chunks in chunked(column_bytes(b.column("text"))) for d, piece in chunks if hit(d)}
-                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.binary())], ["stored", "payload"])
+                rows, common = [], {}
+                for media, chunks in chunked(column_bytes(b.column("text"))):
+                    key = hashlib.sha256(media).digest()
+                    for seq, (digest, piece) in enumerate(chunks):
+                        k = _bit(digest)
+                        hit = bool((int(bits[k >> 6]) >> (k & 63)) & 1)
+                        rows.append((key, seq, digest, hit, None))
+                        if hit:
+                            common[digest] = piece
+                        else:
+                            rows.append((key, -1, digest, hit, piece))
+                rows += [(None, -1, digest, True, piece) for digest, piece in common.items()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 5, types)], names)
+
+    return written(docs.select("text").mapInArrow(run, "media binary, seq int, digest binary, shared boolean, payload binary"), "media-chunks", spark__sql__parquet__compression__codec="zstd")
+
+
+def read_media(chunks: DataFrame, store: DataFrame) -> DataFrame:
+    """Each distinct medium of the lists in ``chunks``, put together from its stored chunks, verified and described: media and the columns after doc_id of FIELDS."""
+    import pyarrow as pa
 
-    def rebuild(batches):
-        """Rows sorted by document and place to media. A document met n times has n rows for each place."""
-        held, key, ids = [], None, None
+    lists = chunks.where("seq >= 0").groupBy("media", "seq").agg(F.min("digest").alias("digest"), F.min("shared").alias("shared"))
+    wanted = chunks.where("seq >= 0 and shared").select("media", "digest").distinct()
+    fetched = wanted.join(store, F.col("digest") == F.col("stored")).select("media", "digest", "payload")
+    payloads = chunks.where("seq < 0 and not shared").select("media", "digest", "payload").unionByName(fetched)
+    payloads = payloads.select(F.col("media").alias("m"), F.col("digest").alias("d"), "payload").repartition("m")
+    placed = lists.select("media", "seq", "digest").repartition("media").join(payloads.hint("merge"), (F.col("media") == F.col("m")) & (F.col("digest") == F.col("d")))
+    placed = placed.select("media", "seq", "digest", "payload").sortWithinPartitions("media", "seq")
+    names = ["media", *[f.split()[0] for f in FIELDS.split(", ")[1:]]]
+    types = [pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
 
-        def done():
-            copies = sum(1 for seq, _, _ in held if seq == 0)
-            pieces = held[::copies]
-            if [s for s, _, _ in pieces] != list(range(len(pieces))) or len(pieces) * copies != len(held):
+    def run(batches):
+        held, key = [], None
+
+        def done() -> tuple:
+            if [s for s, _, _ in held] != list(range(len(held))):
                 raise ValueError("a chunk list has gaps")
-            if any(hashlib.sha256(p).digest() != d for _, d, p in pieces):
+            if any(hashlib.sha256(p).digest() != d for _, d, p in held):
                 raise ValueError("a chunk doesn't match its digest")
-            media = b"".join(p for _, _, p in pieces)
-            if hashlib.sha256(media).digest() != key[1]:
+            media = b"".join(p for _, _, p in held)
+            if hashlib.sha256(media).digest() != key:
                 raise ValueError("a medium doesn't match its digest")
-            return [described(media)] * copies
+            return key, *described(media)
+
+        def out(rows: list[tuple]):
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * len(types), types)], names)
 
         for b in batches:
-            rows, at = [], []
-            found = [b.column(n).to_pylist() for n in ("doc_id", "media", "seq", "digest", "payload")]
-            for i, m, seq, d, p in zip(*found):
-                if (i, m) != key:
+            rows = []
+            for m, *chunk in zip(*[b.column(n).to_pylist() for n in ("media", "seq", "digest", "payload")]):
+                if m != key:
                     if held:
-                        new = done()
-                        rows += new
-                        at += [key[0]] * len(new)
-                    held, key = [], (i, m)
-                held.append((seq, d, p))
-            ids = b.schema.field("doc_id").type
-            yield _rows(rows, pa.array(at, ids), names, types)
+                        rows.append(done())
+                    held, key = [], m
+                held.append(chunk)
+            yield out(rows)
         if held:
-            new = done()
-            yield _rows(new, pa.array([key[0]] * len(new), ids), names, types)
-
-    chunks = docs.mapInArrow(lists, f"doc_id {id_type}, media binary, seq int, digest binary, own binary")
-    stored = docs.select("text").mapInArrow(store, "stored binary, payload binary").groupBy("stored").agg(F.first("payload").alias("payload"))
-    stored = written(stored, "media-store")  # with a plain exchange on both sides a chunk of many documents is split
-    fetched = chunks.where("own is null").join(stored, F.col("digest") == F.col("stored")).select("doc_id", "media", "seq", "digest", "payload")
-    everything = fetched.unionByName(chunks.where("own is not null").select("doc_id", "media", "seq", "digest", F.col("own").alias("payload")))
-    rebuilt = everything.repartition("doc_id", "media").sortWithinPartitions("doc_id", "media", "seq").mapInArrow(rebuild, fields)
-    return docs.mapInArrow(alone, fields).unionByName(rebuilt)
+            yield out([done()])
+
+    return placed.mapInArrow(run, "media binary, " + FIELDS.split(", ", 1)[1])
+
+
+def media_key(text: str) -> Column:
+    """The SHA-256 of a text's stored form, without Python."""
+    data = F.coalesce(F.col(text), F.lit("")).cast("binary")
+    n = F.octet_length(data)
+    pad = F.when(n == 0, FRAME).otherwise(F.pmod(-n, F.lit(FRAME)))
+    head = F.concat(F.lit(f"P5\n{SIDE} "), ((n + pad) / SIDE).cast("long").cast("string"), F.lit("\n255\n")).cast("binary")
+    return F.unhex(F.sha2(F.concat(head, data, F.unhex(F.repeat(F.lit("FF"), pad.cast("int")))), 256))
+
+
+def media_columns(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row for each row of ``docs`` with FIELDS, from media read back from the chunks."""
+    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    chunks = chunk_table(docs)
+    store = written(chunks.where("seq < 0 and shared").groupBy(F.col("digest").alias("stored")).agg(F.first("payload").alias("payload")), "media-store", spark__sql__parquet__compression__codec="zstd")
+    # payloads are dealt by medium alone, which is a part of the key that they are joined on
+    back = written(read_media(chunks, store), "media-read", spark__sql__requireAllClusterKeysForCoPartition="false")
+    discard(chunks, store)
+    rows = docs.select("doc_id", media_key("text").alias("key")).join(back, F.col("key") == F.col("media"), "left")
+    first, *rest = [f.split()[0] for f in FIELDS.split(", ")[1:]]
+    return rows.select("doc_id", F.when(F.col("media").isNull(), F.raise_error(F.lit("a medium isn't in the store")).cast("long")).otherwise(F.col(first)).alias(first), *rest)
 
 
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
