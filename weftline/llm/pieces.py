@@ -79,6 +79,7 @@ class Pieces:
             self.of_point[ord(c)] = i
         self.keys = np.array(sorted(pairs), np.uint64)
         self.into = np.array([pairs[int(k)] for k in self.keys], np.int32)
+        self.worth = self.score[self.into].astype(np.float32)  # scores are 32-bit numbers in model files
         self.pairs = pairs
         from weftline.llm.ppm import Finder
 
@@ -132,41 +133,50 @@ class Pieces:
         return self.closed([ids[k] for k in stay], unit, [end[k] for k in stay])
 
     def by_steps(self, units: list[str], keys: np.ndarray, dropout: float) -> tuple[np.ndarray, np.ndarray]:
-        """Units of similar length together: each step merges the best candidate of each unit that has one. All ids in unit order, and their numbers."""
-        n, sizes = len(units), np.array([len(u) for u in units])
+        """Units of similar length together: each step merges the best candidate of each unit that has one. All ids in unit order, and their numbers.
+
+        The tables have a column for each unit and a row for each place, so every operation runs along all units at once.
+        """
+        n, sizes = len(units), np.array([len(u) for u in units], np.int16)
         width = int(sizes.max())
-        ids = np.full((n, width + 1), -1, np.int64)
-        rows = np.repeat(np.arange(n), sizes)
-        cols = np.arange(len(rows)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        ids = np.full((width + 1, n), -1, np.int32)
+        cols = np.repeat(np.arange(n), sizes)
+        rows = np.arange(len(cols)) - np.repeat(np.cumsum(sizes, dtype=np.int64) - sizes, sizes)
         ids[rows, cols] = self.of_point[np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)]
-        start = np.minimum(np.arange(width + 2)[None, :], sizes[:, None]).astype(np.int64)  # of each symbol; behind the last one the unit's end
+        start = np.minimum(np.arange(width + 2, dtype=np.int16)[:, None], sizes[None, :])  # of each symbol; behind the last one the unit's end
         bar = np.uint64(min(int(dropout * 2.0**64), 2**64 - 1))
+        never = np.float32(-np.inf)
 
         def offers(a, b, s, m, e, key):
-            into, worth = np.full(len(a), -1, np.int32), np.full(len(a), -np.inf)
+            into, worth = np.full(len(a), -1, np.int32), np.full(len(a), never, np.float32)
             ok = np.flatnonzero((a >= 0) & (b >= 0))
             at = self.find((a[ok].astype(np.uint64) << np.uint64(32)) | b[ok].astype(np.uint64))
-            ok, at = ok[at >= 0], at[at >= 0]
+            fits = at >= 0
+            ok, at = ok[fits], at[fits]
             if dropout > 0:
                 stay = mixed(key[ok], s[ok].astype(np.uint64), m[ok].astype(np.uint64), e[ok].astype(np.uint64)) >= bar
                 ok, at = ok[stay], at[stay]
             into[ok] = self.into[at]
-            worth[ok] = self.score[into[ok]]
+            worth[ok] = self.worth[at]
             return into, worth
 
-        r, c = np.nonzero(np.arange(width)[None, :] + 1 < sizes[:, None])
-        into, worth = np.full((n, width), -1, np.int32), np.full((n, width), -np.inf)
-        into[r, c], worth[r, c] = offers(ids[r, c], ids[r, c + 1], start[r, c], start[r, c + 1], start[r, c + 2], keys[r])
-        live = np.arange(n)
+        into, worth = np.full((width, n), -1, np.int32), np.full((width, n), never, np.float32)
+        r, c = np.nonzero(np.arange(width, dtype=np.int16)[:, None] + 1 < sizes[None, :])
+        into[r, c], worth[r, c] = offers(ids[r, c], ids[r + 1, c], start[r, c], start[r + 1, c], start[r + 2, c], keys[c])
+        live, last, key = np.arange(n), sizes, keys
         flat, order, counts = [], [], []  # of the units that are done
         while len(live):
-            best = worth.argmax(1)
-            can = worth[np.arange(len(live)), best] > -np.inf
+            top, best = worth[0].copy(), np.zeros(len(live), np.int16)
+            for j in range(1, len(worth)):
+                more = worth[j] > top
+                np.copyto(top, worth[j], where=more)
+                np.copyto(best, np.int16(j), where=more)
+            can = top > never
             if not can.all():
-                own, got, end = live[~can], ids[~can], start[~can][:, 1:]
-                inside = start[~can][:, :-1] < sizes[own][:, None]
-                inside = inside[:, : got.shape[1]]
-                got = got[:, : inside.shape[1]]
+                own = live[~can]
+                got, end = ids[:, ~can].T, start[:, ~can].T
+                inside = (end[:, :-1] < sizes[own][:, None])[:, : got.shape[1]]
+                got, end = got[:, : inside.shape[1]], end[:, 1:]
                 m = inside.sum(1)
                 odd = np.flatnonzero((((got < 0) | (got >= self.n)) & inside).any(1))
                 if len(odd):  # units with characters of no piece
@@ -178,30 +188,34 @@ class Pieces:
                         order.append(own[k : k + 1])
                         counts.append(np.array([len(closed)]))
                     own, got, inside, m = own[fine], got[fine], inside[fine], m[fine]
-                flat.append(got[inside].astype(np.int32))
+                flat.append(got[inside])
                 order.append(own)
                 counts.append(m)
-                live, ids, start, into, worth, best = live[can], ids[can], start[can], into[can], worth[can], best[can]
+                live, last, key, best = live[can], last[can], key[can], best[can]
+                ids, start, into, worth = ids[:, can], start[:, can], into[:, can], worth[:, can]
             if not len(live):
                 break
-            row, wide = np.arange(len(live)), ids.shape[1]
-            ids[row, best] = into[row, best]
+            at = np.arange(len(live))
+            ids[best, at] = into[best, at]
             # take out the symbol behind the merge, its start and its candidate
-            shift = np.arange(wide - 1)[None, :] > best[:, None]
-            ids = np.where(shift, ids[:, 1:], ids[:, :-1])
-            shift = np.arange(start.shape[1] - 1)[None, :] > best[:, None]
-            start = np.where(shift, start[:, 1:], start[:, :-1])
-            shift = np.arange(worth.shape[1] - 1)[None, :] > best[:, None]
-            into, worth = np.where(shift, into[:, 1:], into[:, :-1]), np.where(shift, worth[:, 1:], worth[:, :-1])
-            if not worth.shape[1]:
-                into, worth = np.full((len(live), 1), -1, np.int32), np.full((len(live), 1), -np.inf)
+            for j in range(len(ids) - 1):
+                behind = best < j
+                np.copyto(ids[j], ids[j + 1], where=behind)
+                np.copyto(start[j], start[j + 1], where=behind)
+                if j < len(worth) - 1:
+                    np.copyto(into[j], into[j + 1], where=behind)
+                    np.copyto(worth[j], worth[j + 1], where=behind)
+            start[-2] = start[-1]
+            ids, start = ids[:-1], start[:-1]
+            if len(worth) == 1:
+                worth[0] = never
                 continue
-            last = sizes[live]
-            for place, some in ((best - 1, best > 0), (best, best < worth.shape[1])):
+            into, worth = into[:-1], worth[:-1]
+            for place, some in ((best - 1, best > 0), (best, best < len(worth))):
                 k = np.flatnonzero(some)
                 p = place[k]
-                i, w = offers(ids[k, p], np.where(start[k, p + 1] < last[k], ids[k, np.minimum(p + 1, ids.shape[1] - 1)], -1), start[k, p], start[k, p + 1], start[k, np.minimum(p + 2, start.shape[1] - 1)], keys[live[k]])
-                into[k, p], worth[k, p] = i, w
+                behind = np.where(start[p + 1, k] < last[k], ids[np.minimum(p + 1, len(ids) - 1), k], -1)
+                into[p, k], worth[p, k] = offers(ids[p, k], behind, start[p, k], start[p + 1, k], start[np.minimum(p + 2, len(start) - 1), k], key[k])
         return self.in_order(flat, order, counts, n)
 
     @staticmethod
@@ -254,21 +268,23 @@ class Pieces:
 
     def encode(self, texts: list[bytes], dropout: float = DROPOUT, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, and each text's number of ids."""
+        from pandas import factorize
         from xxhash import xxh64_intdigest
 
-        held: dict = {}
-        keys, codes, counts = [], [], []
+        every, keys, counts = [], [], []
         for t in texts:
-            if not t:
-                counts.append(0)
-                continue
-            found = UNITS.findall(SPACE + t.decode("utf-8", "surrogateescape").replace(SPACE, LITERAL).replace(" ", SPACE))
-            codes.append(np.fromiter((held.setdefault(u, len(held)) for u in found), np.int64, len(found)))
-            keys.append(mixed(xxh64_intdigest(t, seed), np.arange(len(found), dtype=np.uint64), 0, 0))
+            found = UNITS.findall(SPACE + t.decode("utf-8", "surrogateescape").replace(SPACE, LITERAL).replace(" ", SPACE)) if t else []
+            if found:
+                every += found
+                keys.append(mixed(xxh64_intdigest(t, seed), np.arange(len(found), dtype=np.uint64), 0, 0))
             counts.append(len(found))
-        if not held:
+        if not every:
             return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
-        units, unit, key = list(held), np.concatenate(codes), np.concatenate(keys)
+        words = np.empty(len(every), object)
+        words[:] = every
+        unit, units = factorize(words)
+        del every, words
+        units, unit, key = units.tolist(), unit.astype(np.int64), np.concatenate(keys)
         first, code = self.alike(np.array([len(u) for u in units])[unit], unit, key, dropout)
         flat, sizes = self.segment([units[k] for k in unit[first].tolist()], key[first], dropout)
         begins = np.cumsum(sizes) - sizes
