@@ -108,3 +108,26 @@ def test_one_of_each_ignores_ids_that_name_other_components(make_docs):
     rows = [(1, "the first group of words"), (2, "the first group of words"), (2, "a second group, with others"), (1, "a second group, with others")]
     got = sorted((r.doc_id, r.text) for r in simhash.keep_one_each(make_docs(rows)).collect())
     assert got == [(1, "a second group, with others"), (1, "the first group of words")]
+
+
+def test_one_of_each_keeps_all_columns_whatever_their_names(spark):
+    df = spark.sql("""SELECT * FROM VALUES (1, 'a b c d', map('k', 1), 'x', 'p'), (2, 'a b c d', map('k', 2), 'y', 'q'), (3, 'e f g h i', map(), 'z', 'r'), (3, 'e f g h i', map(), 'z', 'r')
+        t(doc_id, text, _kept, _md5, key)""")
+    got = simhash.keep_one_each(df)
+    assert got.columns == df.columns and sorted((r.doc_id, r._kept, r._md5, r.key) for r in got.collect()) == [(1, {"k": 1}, "x", "p"), (3, {}, "z", "r")]
+
+
+def test_a_cluster_needs_a_shared_folder(spark):
+    from weftline.llm.common import shared_dir
+
+    class Session:
+        class sparkContext:
+            master = "spark://somewhere:7077"
+
+        class conf:
+            get = staticmethod(lambda key, default: default)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Session)
+    Session.sparkContext.master = "local[4]"
+    assert "weftline" in shared_dir(Session) and shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")

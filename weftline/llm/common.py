@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import getpass
 import re
+import tempfile
 import uuid
 
 from pyspark.errors import AnalysisException
@@ -15,18 +17,18 @@ SPACES = SPACE_CLASS + "+"
 WORD_BYTES = re.compile(rb"[^\x20\x09-\x0D]+")
 LOWER_ASCII = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
-#: Used only where the session names no shared folder, as in local tests.
-LOCAL_CHECKPOINTS = "/tmp/checkpoints"
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from the session."""
+    """The folder that driver and executors share, from the session. Only in local mode, where all is one machine, one is made if none is set."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    return (found or LOCAL_CHECKPOINTS).rstrip("/")
+    if found:
+        return found.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("intermediate tables need a folder that all executors share: set spark.checkpoint.dir")
+    return f"{tempfile.gettempdir()}/weftline-{getpass.getuser()}"
 
 
 def written(df: DataFrame, label: str, **conf: str) -> DataFrame:

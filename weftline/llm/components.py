@@ -43,4 +43,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError(f"no fixed point after {max_rounds} rounds")
     members = current.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return members.unionByName(current.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    out = members.unionByName(current.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    out.written_at = current.written_at  # the table that it reads, for ``discard``
+    return out

@@ -22,8 +22,9 @@ from itertools import combinations
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType, VariantType
 
-from weftline.llm.common import LOWER_ASCII, WORD_BYTES, column_bytes, slices, table, written
+from weftline.llm.common import LOWER_ASCII, WORD_BYTES, column_bytes, discard, slices, table, written
 from weftline.llm.components import connected_components
 
 BITS, DISTANCE, PARTS, SHINGLE, SEED = 64, 3, 2, 3, 42
@@ -220,7 +221,9 @@ def named_components(prints: DataFrame, parts: int = PARTS, distance: int = DIST
     named = fps.join(named, F.col("fp") == F.col("fp2"), "left")
     # components are named by the least of their permuted fingerprints, one without links by its own
     named = named.select(F.col("fp").alias("f"), F.when(F.col("fp2").isNull(), F.col("rep")).otherwise(F.col("least")).alias("component_id"), F.coalesce("component", "g").alias("part"))
-    return written(named, "simhash-named")  # with a plain exchange on both sides a fingerprint of many copies is split
+    named = written(named, "simhash-named")  # with a plain exchange on both sides a fingerprint of many copies is split
+    discard(fps, found)
+    return named
 
 
 def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", parts: int = PARTS, distance: int = DISTANCE) -> DataFrame:
@@ -230,19 +233,29 @@ def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", part
     return prints.join(named, F.col("fp") == F.col("f")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one_each(docs: DataFrame, parts: int = PARTS, distance: int = DISTANCE) -> DataFrame:
+def keep_one_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", parts: int = PARTS, distance: int = DISTANCE) -> DataFrame:
     """One document of each component with all its columns: the one of its smallest id, a null id last, and of its texts of that id the one of the least
-    md5; of rows that agree in both the least stays. An id that stands in several components is a document in each."""
-    digest = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
-    prints = written(fingerprints(docs, also=digest), "simhash-fps")
+    hash; of rows that agree in both the least by the columns that have an order stays. An id that stands in several components is a document in each. What stays is
+    chosen by id and hash; then the rows, packed so that no column's name matters, are shuffled once."""
+    identity = F.coalesce(F.concat(F.lit("="), F.col(doc_id).cast("string")), F.lit("null"))
+    key = F.md5(F.concat_ws(":", identity, F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))))
+    prints = written(fingerprints(docs, doc_id, text, also=key), "simhash-fps")
+    named = named_components(prints, parts, distance)
     best = prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest")).alias("row"))
-    best = best.join(named_components(prints, parts, distance), F.col("fp") == F.col("f")).groupBy("part").agg(F.min("row").alias("row"))
-    best = best.select(F.col("row.doc_id").alias("_kept"), F.col("row.digest").alias("_digest"))
+    best = best.join(named, F.col("fp") == F.col("f")).groupBy("part").agg(F.min("row").alias("row"))
+    chosen = written(best.select(F.col("row.digest").alias("key")), "simhash-kept")
+    discard(prints, named)
     # a null text and an empty one share a fingerprint, and so a component
-    kept = docs.withColumn("_md5", digest).join(best, F.col("doc_id").eqNullSafe(F.col("_kept")) & (F.col("_md5") == F.col("_digest")), "left_semi")
-    rest = [c for c in docs.columns if c != "doc_id"]
-    kept = kept.groupBy("doc_id", "_md5").agg(F.min(F.struct(*rest)).alias("_row"))
-    return kept.select(*[F.col("doc_id") if c == "doc_id" else F.col(f"_row.`{c}`") for c in docs.columns])
+    rows = docs.select(key.alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).join(chosen.hint("merge"), "key", "left_semi")
+    ordered = [f"row.`{f.name}`" for f in docs.schema.fields if _has_order(f.dataType)]
+    least = F.min("row") if len(ordered) == len(docs.columns) else F.min_by("row", F.struct(*ordered))
+    return rows.groupBy("key").agg(least.alias("row")).select(*[F.col(f"row.`{c}`") for c in docs.columns])
+
+
+def _has_order(kind: DataType) -> bool:
+    if isinstance(kind, StructType):
+        return all(_has_order(f.dataType) for f in kind.fields)
+    return _has_order(kind.elementType) if isinstance(kind, ArrayType) else not isinstance(kind, (MapType, VariantType))
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
