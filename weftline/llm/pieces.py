@@ -268,7 +268,6 @@ class Pieces:
 
     def encode(self, texts: list[bytes], dropout: float = DROPOUT, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, and each text's number of ids."""
-        from pandas import factorize
         from xxhash import xxh64_intdigest
 
         every, keys, counts = [], [], []
@@ -280,11 +279,10 @@ class Pieces:
             counts.append(len(found))
         if not every:
             return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
-        words = np.empty(len(every), object)
-        words[:] = every
-        unit, units = factorize(words)
-        del every, words
-        units, unit, key = units.tolist(), unit.astype(np.int64), np.concatenate(keys)
+        units = list(dict.fromkeys(every))
+        number = dict(zip(units, range(len(units))))
+        unit, key = np.fromiter(map(number.__getitem__, every), np.int64, len(every)), np.concatenate(keys)
+        del every, number
         first, code = self.alike(np.array([len(u) for u in units])[unit], unit, key, dropout)
         flat, sizes = self.segment([units[k] for k in unit[first].tolist()], key[first], dropout)
         begins = np.cumsum(sizes) - sizes
