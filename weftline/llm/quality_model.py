@@ -1,15 +1,15 @@
 """Quality classifier by co-training.
 
 Two views of a document: its text content (hashed letter n-grams and shares of symbols, capitals, digits, repeated words and lines) and its metadata
-(source, language and stated length). Each view has a logistic regression. Over ``ROUNDS`` rounds each labels the unlabelled pool's documents of
-which it is most confident, in the labels' proportion, for the other. Both are then calibrated on a held-out fifth of the labelled documents and their
+(source, language and stated length). Each view has a logistic regression. Over ``ROUNDS`` rounds each goes through all unlabelled documents and labels the
+``STEP`` of which it is most confident, in the labels' proportion, for the other. Both are then calibrated on a held-out fifth of the labelled documents and their
 calibrated log odds are added, less the prior's.
 
-Labelled documents are a sample of at most about ``SAMPLE`` labels, the pool one of about ``POOL`` documents, both drawn by hash. Every document is
-scored and kept if its probability of quality is at least ``KEEP``.
+Labelled documents are a sample of at most about ``SAMPLE`` labels, drawn by hash. The features of all unlabelled ones are written once; a round keeps
+the best of each task, ranks those and fetches ``STEP`` for each view. Every document is scored and kept if its probability of quality is at least ``KEEP``.
 
 Defined cases: a null text counts as empty and an empty text is rejected; null metadata are a value of their own; null labels aren't used;
-rows and labels that repeat count once; without labels of both kinds every document with a word is kept at 0.5. Repeated rows give repeated results. An empty table
+rows and labels that repeat count once, and so do unlabelled copies; without labels of both kinds every document with a word is kept at 0.5. Repeated rows give repeated results. An empty table
 gives an empty result. Other columns aren't read.
 """
 
@@ -18,14 +18,16 @@ from __future__ import annotations
 import re
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.common import slices, table
+from weftline.llm.common import discard, slices, table, written
 from weftline.llm.linear import fit_logistic, gram_counts, margin, platt, sigmoid
 
 GRAMS, SHARES, META = 256, 14, 128
-SAMPLE, POOL, ROUNDS, STEP, KEEP, SEED = 4000, 4000, 4, 200, 0.5, 13
+SAMPLE, ROUNDS, STEP, KEEP, SEED = 4000, 4, 200, 0.5, 13
+#: The margin from which a view counts as confident.
+CONFIDENT = 1.0
 CLASSES = np.zeros(256, np.int64)
 for _k, _chars in enumerate((b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t\n\r\x0b\x0c", b".,;:?'\"()-", b"!", b"#*$%&|<>@^~_=+\\/{}[]`"), 1):
     CLASSES[list(_chars)] = _k
@@ -61,34 +63,31 @@ def meta_view(source: str | None, lang: str | None, n_chars: int | None) -> np.n
 
 
 class CoTrained:
-    def __init__(self, text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray, rounds: int = ROUNDS, step: int = STEP):
-        fold = np.arange(len(y)) % 5 == 0
-        views, pools = (text, meta), (pool_text, pool_meta)
+    """The two views' models. draw(weights, (good, bad), known) gives for each view the (key, label, text row, metadata row) of the unlabelled documents of
+    which it is most confident: so many good and bad ones, without the keys that it has labelled before."""
+
+    def __init__(self, text: np.ndarray, meta: np.ndarray, y: np.ndarray, draw=None, rounds: int = ROUNDS, step: int = STEP):
+        fold, views = np.arange(len(y)) % 5 == 0, (text, meta)
         self.prior = float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
         train = ~fold if 0 < y[~fold].sum() < (~fold).sum() else np.ones(len(y), bool)
-        extra: list[dict[int, int]] = [{}, {}]  # pool rows that the other view has labelled for this one
+        extra: list[dict] = [{}, {}]  # by key, what the other view has labelled for this one
 
         def fit(v: int) -> np.ndarray:
-            rows = sorted(extra[v])
-            x = np.vstack([views[v][train], pools[v][rows]])
-            t = np.concatenate([y[train], [extra[v][r] for r in rows]]).astype(np.float32)
+            rows = [extra[v][k] for k in sorted(extra[v])]
+            x = np.vstack([views[v][train], *[row[None] for _, row in rows]])
+            t = np.concatenate([y[train], [label for label, _ in rows]]).astype(np.float32)
             weight = np.concatenate([np.ones(int(train.sum())), np.full(len(rows), 0.5)])
             weight = weight * np.where(t > 0, 0.5 / max(weight[t > 0].sum(), 1e-9), 0.5 / max(weight[t <= 0].sum(), 1e-9))
             return fit_logistic(x, t, weight)
 
         self.weights = [fit(0), fit(1)]
-        good = float(y.mean())
-        for _ in range(rounds if len(pool_text) else 0):
-            for v in (0, 1):
-                z = margin(pools[v], self.weights[v])
-                order = np.argsort(z, kind="stable")
-                up, down = int(round(step * good)), int(round(step * (1 - good)))
-                new = {int(r): 1 for r in order[::-1] if z[r] > 1.0 and int(r) not in extra[1 - v]}
-                for r in list(new)[:up]:
-                    extra[1 - v][r] = 1
-                for r in [int(r) for r in order if z[r] < -1.0 and int(r) not in extra[1 - v]][:down]:
-                    extra[1 - v][r] = 0
+        good = int(round(step * float(y.mean())))
+        for _ in range(rounds if draw else 0):
+            for v, found in enumerate(draw(self.weights, (good, step - good), (set(extra[1]), set(extra[0])))):
+                for key, label, *rows in found:
+                    extra[1 - v][key] = label, rows[1 - v]
             self.weights = [fit(0), fit(1)]
+        self.taught = extra
         held = fold if 0 < y[fold].sum() < fold.sum() else np.ones(len(y), bool)
         self.scales = [platt(margin(views[v][held], self.weights[v]), y[held]) for v in (0, 1)]
 
@@ -106,36 +105,93 @@ def _views(b):
     return text, meta
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, pool: int = POOL) -> CoTrained | None:
-    """``docs(doc_id, text, lang, source, n_chars)`` and ``labels(doc_id, quality)`` to the model, from bounded samples."""
+def most_confident(key: np.ndarray, z: np.ndarray, wanted: tuple[int, int], known: set) -> tuple[list, list]:
+    """(confidence, key) of the surest good and bad rows, each key once, best first."""
+    out: tuple[list, list] = ([], [])
+    for sign, n, found in ((1, wanted[0], out[0]), (-1, wanted[1], out[1])):
+        sure = np.flatnonzero(sign * z > CONFIDENT)
+        met = set()
+        for k in sure[np.lexsort((key[sure], -sign * z[sure]))].tolist():
+            if len(found) >= n:
+                break
+            if (h := int(key[k])) not in known and h not in met:
+                met.add(h)
+                found.append((float(sign * z[k]), h))
+    return out
+
+
+def _matrix(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.float16).reshape(-1, GRAMS + SHARES + META).astype(np.float32)
+
+
+def drawn_from(features: DataFrame):
+    """The ``draw`` of CoTrained over ``features(h, x)``: each task keeps its surest rows, and only the chosen ones' features reach the driver."""
+
+    def draw(weights, wanted, known):
+        def candidates(batches):
+            import pyarrow as pa
+
+            best: list[list] = [[], [], [], []]
+            for b in batches:
+                h, x = b.column("h").to_numpy(zero_copy_only=False), _matrix(b.column("x"))
+                for v, part in ((0, x[:, : GRAMS + SHARES]), (1, x[:, GRAMS + SHARES :])):
+                    for label, found in zip((1, 0), most_confident(h, margin(part, weights[v]), wanted, known[v])):
+                        merged = {k: c for c, k in sorted(best[2 * v + label] + found)}
+                        best[2 * v + label] = sorted(((c, k) for k, c in merged.items()), key=lambda r: (-r[0], r[1]))[: wanted[1 - label]]
+            rows = [(k, c, h) for k, found in enumerate(best) for c, h in found]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in ((0, pa.int32()), (1, pa.float64()), (2, pa.int64()))], ["list", "sure", "h"])
+
+        once = features.mapInArrow(candidates, "list int, sure double, h long").groupBy("list", "h").agg(F.max("sure").alias("sure"))
+        place = F.row_number().over(Window.partitionBy("list").orderBy(F.desc("sure"), "h"))
+        chosen = once.withColumn("place", place).where(F.col("place") <= F.when(F.col("list") % 2 == 1, wanted[0]).otherwise(wanted[1])).select("list", "h").collect()  # 2 x STEP rows at most
+        keys = sorted({r["h"] for r in chosen})
+        if not keys:
+            return [], []
+        got = features.where(F.col("h").isin(keys)).groupBy("h").agg(F.first("x").alias("x")).toArrow()
+        rows = dict(zip(got.column("h").to_pylist(), _matrix(got.column("x"))))
+        return tuple([(r["h"], r["list"] % 2, rows[r["h"]][: GRAMS + SHARES], rows[r["h"]][GRAMS + SHARES :]) for r in chosen if r["list"] // 2 == v] for v in (0, 1))
+
+    return draw
+
+
+def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> CoTrained | None:
+    """``docs(doc_id, text, lang, source, n_chars)`` and ``labels(doc_id, quality)`` to the model, from a bounded sample of labels and all unlabelled documents."""
     labels = labels.where("doc_id is not null and quality is not null").select(F.col("doc_id").alias("label_id"), (F.col("quality") > 0).cast("int").alias("y")).groupBy("label_id").agg(F.min("y").alias("y"))
-    n_labels, n_docs = labels.count(), docs.count()
+    n_labels = labels.count()
     if not n_labels:
         return None
     share = F.lit(min(1 << 30, int((1 << 30) * sample / n_labels)))
     drawn = labels.where(F.pmod(F.xxhash64("label_id", F.lit(SEED)), F.lit(1 << 30)) < share)
+    columns = ["text", "lang", "source", "n_chars", "h", "y"]
     keyed = docs.withColumn("h", F.pmod(F.xxhash64("doc_id", "text", F.lit(SEED + 1)), F.lit(1 << 30)))
+    known = keyed.join(F.broadcast(drawn), F.col("doc_id") == F.col("label_id")).select(*columns)  # about SAMPLE rows at most
+    once = known.groupBy("h").agg(F.min(F.struct(*columns)).alias("r")).select("r.*")  # copies count once, so the sample stays bounded
 
     def run(batches):
         import pyarrow as pa
 
         for whole in batches:
-            for b in slices(whole, 16 << 20):
-                text, meta = _views(b)
-                rows = np.hstack([text, meta]).astype(np.float16)
-                yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in rows], pa.binary()), b.column("y"), b.column("h")], ["x", "y", "h"])
+            for part in slices(whole, 4 << 20):
+                for c in range(0, part.num_rows, 4096):
+                    b = part.slice(c, 4096)
+                    rows = np.hstack(_views(b)).astype(np.float16)
+                    rest = [n for n in b.schema.names if n in ("doc_id", "h", "y")]
+                    yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in rows], pa.binary()), *[b.column(n) for n in rest]], ["x", *rest])
 
-    columns = ["text", "lang", "source", "n_chars", "h", "y"]
-    known = keyed.join(F.broadcast(drawn), F.col("doc_id") == F.col("label_id")).select(*columns)  # about SAMPLE rows at most
-    unknown = keyed.where(F.col("h") < F.lit(min(1 << 30, int((1 << 30) * pool / max(n_docs, 1))))).withColumn("y", F.lit(-1)).select(*columns)
-    once = known.unionByName(unknown).groupBy("h", F.col("y") < 0).agg(F.min(F.struct(*columns)).alias("r")).select("r.*")  # copies count once, so the samples stay bounded
-    got = once.mapInArrow(run, "x binary, y int, h long").toArrow().sort_by([("h", "ascending"), ("y", "ascending"), ("x", "ascending")])
-    x = np.stack([np.frombuffer(v, np.float16) for v in got.column("x").to_pylist()]).astype(np.float32) if got.num_rows else np.zeros((0, GRAMS + SHARES + META), np.float32)
+    got = once.mapInArrow(run, "x binary, h long, y int").toArrow().sort_by([("h", "ascending"), ("y", "ascending"), ("x", "ascending")])
     y = got.column("y").to_numpy()
-    if len(set(y[y >= 0].tolist())) < 2:
+    if len(set(y.tolist())) < 2:
         return None
-    text, meta = x[:, : GRAMS + SHARES], x[:, GRAMS + SHARES :]
-    return CoTrained(text[y >= 0], meta[y >= 0], y[y >= 0].astype(np.float32), text[y < 0], meta[y < 0])
+    x = _matrix(got.column("x"))
+    # h: what the features are made of, so that copies are one
+    plain = docs.where(F.length(F.trim("text")) > 0).select("doc_id", "text", "lang", "source", "n_chars", F.xxhash64("text", "lang", "source", "n_chars").alias("h"))
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    every = plain.mapInArrow(run, f"x binary, doc_id {id_type}, h long")
+    unlabelled = every.where("doc_id is not null").join(labels, F.col("doc_id") == F.col("label_id"), "left_anti").select("h", "x")
+    features = written(unlabelled.unionByName(every.where("doc_id is null").select("h", "x")), "quality-features", spark__sql__parquet__compression__codec="zstd")
+    model = CoTrained(x[:, : GRAMS + SHARES], x[:, GRAMS + SHARES :], y.astype(np.float32), drawn_from(features))
+    discard(features)
+    return model
 
 
 def score_quality(docs: DataFrame, model: CoTrained | None, keep: float = KEEP) -> DataFrame:
