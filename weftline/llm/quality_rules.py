@@ -1,12 +1,11 @@
 """Quality rules (native): per-document base rules and cross-document line frequency.
 
-Lines are lower-cased, their white space squeezed, and hashed. A line is boilerplate on a host (the source) if more than ``max_share`` of the
-host's documents, and more than ``max_docs`` of them, hold it. Such lines are removed; a document of which less than ``min_left`` of its
-words is left is depleted and rejected.
+Lines are lower-cased, their white space squeezed, and hashed. A line is boilerplate on a host (the source) if more of the host's distinct documents than its limit hold it:
+``max_share`` of the host's documents, but ``max_docs`` at least and ``most_docs`` at most, however large the host. Such lines are removed; a document of which less than ``min_left`` of its
+words is left is depleted and rejected. ``clean_documents`` returns what is kept, with the lines removed.
 
 Nulls: a null text has no words and fails the base rules; null sources form one host; null ids are kept as they are. Repeated rows count as
-documents of their own and get equal values. An empty table gives an empty result. Only the three named columns are read, so other columns
-can't clash.
+documents of their own and get equal values. An empty table gives an empty result. Other columns, whatever their names, are carried by ``clean_documents`` and else not read.
 """
 
 from __future__ import annotations
@@ -16,7 +15,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm.common import SPACE_CLASS, SPACES, table, words
 
-MAX_SHARE, MAX_DOCS, MIN_LEFT = 0.01, 10, 0.5
+MAX_SHARE, MAX_DOCS, MOST_DOCS, MIN_LEFT = 0.01, 10, 100, 0.5
 
 
 def base_counts(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -50,30 +49,48 @@ def line_rows(docs: DataFrame, *keep: str, text: str = "text", distinct: bool =
         *keep, "pos", F.xxhash64("line").alias("line_hash"), (F.length("line") - F.length(F.replace("line", F.lit(" "))) + 1).cast("long").alias("line_words"))
 
 
-def frequent_lines(docs: DataFrame, source: str = "source", text: str = "text", max_share: float = MAX_SHARE, max_docs: int = MAX_DOCS) -> DataFrame:
+def frequent_lines(docs: DataFrame, source: str = "source", text: str = "text", max_share: float = MAX_SHARE, max_docs: int = MAX_DOCS, most_docs: int = MOST_DOCS) -> DataFrame:
     """The lines above the limits: host, line_hash, n_docs. Counts are pre-aggregated in each task, so a common line isn't gathered."""
     hosts = docs.groupBy(F.col(source).alias("host")).agg(F.count("*").alias("host_docs"))
     counts = line_rows(docs.select(F.col(source).alias("host"), F.col(text).alias("text")), "host", distinct=True).groupBy("host", "line_hash").agg(F.count("*").alias("n_docs"))
     counts = counts.where(F.col("n_docs") > max_docs)
     joined = counts.join(hosts.withColumnRenamed("host", "h"), F.col("host").eqNullSafe(F.col("h")))
-    return joined.where(F.col("n_docs") > F.lit(max_share) * F.col("host_docs")).select("host", "line_hash", "n_docs")
+    return joined.where(F.col("n_docs") > F.least(F.lit(float(most_docs)), F.lit(max_share) * F.col("host_docs"))).select("host", "line_hash", "n_docs")
 
 
-def quality_rules(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", max_share: float = MAX_SHARE, max_docs: int = MAX_DOCS, min_left: float = MIN_LEFT) -> DataFrame:
-    """doc_id, the base counts, base_failed, n_removed_words, n_removed_lines, kept: one row for each row of ``docs``."""
-    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.col(text).alias("text"))
-    keyed = docs.withColumn("key", F.xxhash64("text"))
-    often = frequent_lines(docs, max_share=max_share, max_docs=max_docs)
+def _judged(docs: DataFrame, doc_id: str, source: str, text: str, keep: bool, min_left: float, **limits) -> DataFrame:
+    """doc_id, the base counts, base_failed, n_removed_words, n_removed_lines, kept and, if asked for, row (all columns) and gone (hashes of removed lines)."""
+    rows = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if keep else []
+    keyed = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("key"), *rows)
+    often = frequent_lines(keyed, **limits)
     lines = line_rows(keyed.withColumnRenamed("source", "src"), "doc_id", "src", "key")
     hit = lines.join(often.withColumnRenamed("line_hash", "lh"), (F.col("line_hash") == F.col("lh")) & F.col("src").eqNullSafe(F.col("host")))
-    hit = hit.groupBy("doc_id", "src", "key", "pos").agg(F.max("line_words").alias("line_words"))  # rows that repeat count once
-    removed = hit.groupBy(F.col("doc_id").alias("d"), F.col("src").alias("s"), F.col("key").alias("k")).agg(F.sum("line_words").alias("n_removed_words"), F.count("*").alias("n_removed_lines"))
+    hit = hit.groupBy("doc_id", "src", "key", "pos").agg(F.max("line_words").alias("line_words"), *([F.max("line_hash").alias("line_hash")] if keep else []))  # rows that repeat count once
+    gone = [F.collect_set("line_hash").alias("gone")] if keep else []
+    removed = hit.groupBy(F.col("doc_id").alias("d"), F.col("src").alias("s"), F.col("key").alias("k")).agg(F.sum("line_words").alias("n_removed_words"), F.count("*").alias("n_removed_lines"), *gone)
     base = base_counts(keyed).drop("text")
     base = base.withColumn("base_failed", F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words"))
     out = base.join(removed, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("source").eqNullSafe(F.col("s")) & (F.col("key") == F.col("k")), "left")
     out = out.withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("n_removed_words", "n_removed_lines")})
-    kept = ~F.col("base_failed") & (F.col("n_words") - F.col("n_removed_words") >= F.lit(min_left) * F.col("n_words"))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "n_removed_words", "n_removed_lines")
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("n_words") - F.col("n_removed_words") >= F.lit(min_left) * F.col("n_words")))
+
+
+def quality_rules(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", min_left: float = MIN_LEFT, **limits) -> DataFrame:
+    """doc_id, the base counts, base_failed, n_removed_words, n_removed_lines, kept: one row for each row of ``docs``."""
+    out = _judged(docs, doc_id, source, text, False, min_left, **limits)
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_words", "n_removed_lines")
+
+
+def clean_documents(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", min_left: float = MIN_LEFT, **limits) -> DataFrame:
+    """The kept rows of ``docs`` with all their columns, the frequent lines taken out of their texts; the other lines stay as they are."""
+    out = _judged(docs, doc_id, source, text, True, min_left, **limits).where("kept")
+
+    def hashed(line):
+        return F.xxhash64(F.trim(F.regexp_replace(F.lower(line), r"[\x20\x09\x0B-\x0D]+", " ")))
+
+    own = F.col(f"row.`{text}`")
+    cleaned = F.when(F.col("gone").isNull(), own).otherwise(F.array_join(F.filter(F.split(own, "\n"), lambda x: ~F.array_contains(F.col("gone"), hashed(x))), "\n"))
+    return out.select(*[(cleaned if c == text else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,7 +114,7 @@ lines AS (SELECT * FROM norm WHERE line <> ''),
 often AS (
   SELECT source, line FROM (SELECT source, line, count(DISTINCT r) AS n FROM lines GROUP BY ALL) q
   JOIN (SELECT source AS s, count(*) AS docs FROM d GROUP BY ALL) h ON q.source IS NOT DISTINCT FROM h.s
-  WHERE n > 10 AND n > 0.01::DOUBLE * docs),
+  WHERE n > 10 AND n > least(100::DOUBLE, 0.01::DOUBLE * docs)),
 gone AS (
   SELECT r, sum(len(string_split(lines.line, ' ')))::BIGINT AS n_removed_words, count(*) AS n_removed_lines
   FROM lines JOIN often ON lines.line = often.line AND lines.source IS NOT DISTINCT FROM often.source GROUP BY r)
