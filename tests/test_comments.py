@@ -4,7 +4,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from weftline.functions.comments import blocks_of, indented_block, parse_block, spans_of, swagger_index
+from weftline.functions.comments import blocks_of, indented_block, parse_block, swagger_index, swagger_spans
 
 
 def block(*lines):
@@ -40,9 +40,12 @@ def test_two_blocks_have_lines():
     assert [(b["ord"], b["line"], b["summary"]) for b in blocks_of(src)] == [(0, 2, "A"), (1, 6, "B")]
 
 
-def test_spans_and_indented_form():
+def test_spans_and_indented_form(spark):
     src = "/**\n * @swagger\n * /a:\n *   get:\n *     summary: S\n *     parameters:\n *       - name: q\n *         in: query\n *         required: true\n *     responses:\n *       200:\n *         description: Fine\n */\nrouter.get('/a', h)"
-    assert [(s["key"], s["start_line"], s["end_line"], s["summary"]) for s in spans_of(src)] == [("GET /a", 1, 13, "S")]
+    df = spark.createDataFrame([("f", src), ("g", "x\n/** prose */ y\n  " + src + "\n/** @swagger */\n" + src.replace("S\n", "T\n")), ("h", None)], "file string, src string")
+    got = sorted((s.file, s.key, s.start_line, s.end_line, s.summary, s.block) for s in swagger_spans(df).collect())
+    block = src.split("*/")[0] + "*/"
+    assert got == [("f", "GET /a", 1, 13, "S", block), ("g", "GET /a", 18, 30, "T", block.replace("S\n", "T\n"))]
     op = indented_block(src.split("*/")[0] + "*/")["operations"][0]
     assert op["parameters"] == [{"name": "q", "in": "query", "required": True, "type": "string", "description": ""}] and op["responses"] == {"200": "Fine"}
 

@@ -2,7 +2,7 @@
 
 import pytest
 
-from weftline.functions.javascript import positions_of, routes_of
+from weftline.functions.javascript import routes_of
 
 
 def shape(source):
@@ -66,9 +66,20 @@ def test_chains_come_outermost_first():
     assert shape("router.get('/a', h).post('/b', h)") == [("POST", "/b"), ("GET", "/a")]
 
 
-def test_positions_have_three_spellings():
-    found = {p["key"]: p["line"] for p in positions_of("\nrouter.get('/api', h)\n")}
-    assert found == {"GET api": 2, "GET /api": 2}
+def test_positions_have_three_spellings(spark):
+    from weftline.functions.javascript import route_positions
+
+    df = spark.createDataFrame([("f", "\nrouter.get('/api', h)\nrouter.post('a/b', h)\n  router.post('/a/b', g)\n")], "file string, src string")
+    found = {p["key"]: (p["line"], p["code"]) for p in route_positions(df).collect()}
+    assert found == {**dict.fromkeys(("GET api", "GET /api"), (2, "router.get('/api', h)")), **dict.fromkeys(("POST a/b", "POST /a/b"), (4, "router.post('/a/b', g)"))}
+
+
+def test_long_chains_take_time_in_proportion():
+    import time
+
+    began = time.process_time()
+    assert len(routes_of("router" + ".get('/a', h)" * 3000)) == 3000 and len(routes_of("x" + ".y()" * 3000 + ".get('/a', h)" * 1000)) == 1000
+    assert time.process_time() - began < 10
 
 
 def test_tables(spark):

@@ -81,3 +81,38 @@ def test_handler_code_stops_at_the_next_route(spark):
     got = value(spark, source_text.handler_code("s", F.lit("GET"), F.lit("/a"), 800), s=src)
     assert "h1" in got and "h2" not in got
     assert value(spark, source_text.handler_code("s", F.lit("GET"), F.lit("/none"), 10), s=src) == src[:10]
+
+
+def test_inputs_outputs_and_defaults_of_a_provider(spark):
+    from pyspark.sql import functions as F
+
+    from weftline.functions import openapi
+
+    provider = '{"summary":"Theirs","tags":[],"inputSchema":{"path":{"id":{"type":"integer"}},"body":{"type":"array"}},"outputSchema":{"type":"object","properties":{"n":{"type":"integer"}}}}'
+    df = spark.createDataFrame([(1, "POST", provider), (2, "post", None), (3, "GET", provider), (4, "PUT", '{"outputSchema":{"properties":{}}}')], "k int, method string, provider string")
+    names = F.array(F.lit("id")), F.array(F.lit("q")), F.array(F.lit("name"))
+    rows = df.select("k", openapi.merged_input("method", *names, "provider").alias("i"), openapi.chosen_output("provider", names[2]).alias("o"), openapi.provider_first("provider", "summary", F.lit(""), F.lit("own")).alias("s"), openapi.provider_first("provider", "tags", F.lit("t")).alias("t"))
+    got = {r.k: r for r in rows.collect()}
+    assert [json.loads(got[k].i.path["id"])["type"] for k in (1, 2)] == ["integer", "string"] and json.loads(got[2].i.query["q"]) == {"type": "string", "required": False}
+    assert json.loads(got[1].i.body) == {"type": "array"} and list(json.loads(got[2].i.body)["properties"]) == ["name"] and got[3].i.body is None
+    assert [list(json.loads(got[k].o)["properties"]) for k in (1, 2, 4)] == [["n"], ["name"], ["name"]]
+    assert [(got[k].s, got[k].t) for k in (1, 2)] == [("Theirs", "t"), ("own", "t")]
+    responses = json.loads(df.select(openapi.pipeline_responses(F.lit(None).cast("string")).alias("r")).first().r)
+    assert list(responses) == ["200", "404", "500"] and responses["200"]["content"]["application/json"]["schema"] == {"type": "object"}
+
+
+def test_routes_as_docs_and_models(spark):
+    from pyspark.sql import functions as F
+
+    from weftline.functions import openapi
+
+    routes = [{"method": "get", "path": "/a", "description": "own", "swagger": {"summary": "", "tags": ["x"]}}, {"fullPath": "/b", "docBlock": "raw"}, {"method": "get", "path": "/a", "swagger": {"summary": "S"}}]
+    df = spark.createDataFrame([(json.dumps(routes),), ("no json",), (None,)], "json string")
+    got = {r.key: r for r in openapi.routes_as_docs(df).collect()}
+    assert set(got) == {"GET /a", "GET /b"} and got["GET /a"].summary == "S" and got["GET /b"].description == got["GET /b"].raw == "raw" and got["GET /b"].parameters == "[]"
+    parsed = spark.createDataFrame([('{"method":"get","path":"/a/:id","line":7,"middleware":["auth"]}',)], "json string")
+    once = openapi.endpoint_model(parsed)
+    row = once.first()
+    assert (row.id, row.method, row.line, row.framework, row.middleware, row.hasExistingDocs) == ("get--a--id", "GET", 7, "express", ["auth"], False)
+    again = openapi.endpoint_model(once.select(F.to_json(F.struct("*")).alias("json"))).first()
+    assert again.asDict() | {"id": row.id} == row.asDict()

@@ -120,6 +120,52 @@ def test_resume(spark, tmp_path):
     assert sorted(r.key for r in spark.read.parquet(str(tmp_path / "out")).collect()) == list(range(6))
 
 
+def test_a_repeated_batch_loses_nothing(spark, tmp_path):
+    import glob
+    import os
+
+    from weftline.streaming.incremental import run_pending, stream_pending
+
+    source, out, checkpoint = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp")
+
+    def run():
+        stream_pending(spark, source, "key long", out, checkpoint, ["key"], lambda d: d.withColumn("x", F.lit(1))).awaitTermination()
+        return sorted(r.key for r in spark.read.parquet(out).collect())
+
+    for first, last in ((0, 3), (1, 6)):
+        spark.range(first, last).select(F.col("id").alias("key")).write.mode("append").parquet(source)
+        assert run() == list(range(last))
+    for number in (1, 0):  # the commits are lost after the batches were written
+        for f in glob.glob(f"{checkpoint}/commits/{number}") + glob.glob(f"{checkpoint}/commits/.{number}.crc"):
+            os.remove(f)
+        if number:
+            assert run() == list(range(6))
+    twice = spark.createDataFrame([(1,), (1,), (2,)], "key long")
+    assert run_pending(twice, str(tmp_path / "t"), ["key"], lambda d: d) == 2
+
+
+def test_originals_by_route_then_method(spark):
+    columns = "entity string, method string, path string, n_params int, has_body boolean, has_detail boolean, has_examples boolean"
+    g = spark.createDataFrame([("u", "get", "/api/crm/u", 0, False, False, True), ("u", "post", "/api/crm/u/:id", 1, False, True, False), ("u", "put", "/x", 0, False, False, False), ("v", "get", "/v", 0, False, False, False)], columns)
+    o = spark.createDataFrame([("u", "get", "/u", 2, False, True, True, 0), ("u", "post", "/other", 1, True, True, True, 1), ("u", "post", "/third", 0, False, False, False, 2)], columns + ", ord int")
+    found = {(r.method, r.path): r.original and r.original.path for r in compare.matched_originals(g, o).collect()}
+    assert found == {("get", "/api/crm/u"): "/u", ("post", "/api/crm/u/:id"): "/other", ("put", "/x"): None, ("get", "/v"): None}
+    lists = sorted((r.category, r.path) for r in compare.missing_lists(g, o).collect())
+    assert lists == [("missing_body", "/api/crm/u/:id"), ("missing_examples", "/api/crm/u/:id"), ("missing_in_original", "/v"), ("missing_in_original", "/x"), ("missing_parameters", "/api/crm/u"), ("missing_response_details", "/api/crm/u")]
+
+
+def test_outputs_of_a_run(spark, tmp_path):
+    from weftline.functions.openapi import enriched
+    from weftline.sources.sinks import write_results
+
+    s, path = fixtures.sources(spark), str(tmp_path / "run")
+    found = project.routes(s)
+    write_results(path, found, project.relationships(found, s), enriched(found, s), project.openapi(s))
+    by_file = {r.file: len(r.routes) for r in spark.read.json(f"{path}/routes-by-file").collect()}
+    assert sum(by_file.values()) == spark.read.json(f"{path}/routes").count() == found.count()
+    assert spark.read.text(f"{path}/openapi").first().value.startswith('{"openapi"')
+
+
 def test_vector_search(spark):
     from weftline.operators.vectors import nearest, nearest_to_each
 

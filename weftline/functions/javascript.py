@@ -130,9 +130,9 @@ def split_at_commas(tokens: list[Token], a: int, b: int) -> list[tuple[int, int]
     return parts
 
 
-def expression_start(tokens: list[Token], dot: int) -> int:
-    """The first token of the member chain that ends before tokens[dot]."""
-    k = dot - 1
+def expression_start(tokens: list[Token], dot: int, known: dict[int, int]) -> int:
+    """The first token of the member chain that ends before tokens[dot]. known: the starts of chains by the dots met before, so a long chain is walked once."""
+    k, met = dot - 1, [dot]
     while k >= 0:
         t = tokens[k]
         if t.text in CLOSE and t.kind == "mark":
@@ -141,9 +141,14 @@ def expression_start(tokens: list[Token], dot: int) -> int:
                 k -= 1
                 continue
         if k > 0 and tokens[k - 1].text in (".", "?."):
+            if k - 1 in known:
+                k = known[k - 1]
+                break
+            met.append(k - 1)
             k -= 2
             continue
         break
+    known |= dict.fromkeys(met, max(k, 0))
     return max(k, 0)
 
 
@@ -261,7 +266,7 @@ def handler_of(tokens: list[Token], a: int, b: int) -> dict | None:
 
 def call_routes(tokens: list[Token]) -> list[dict]:
     """Routes by calls such as ``x.get('/path', ..., handler)``, in the order of a syntax tree: outer calls before what they contain."""
-    found = []
+    found, known = [], {}
     for k, t in enumerate(tokens):
         if t.kind != "name" or t.text.lower() not in METHODS or k == 0 or k + 1 >= len(tokens):
             continue
@@ -269,7 +274,7 @@ def call_routes(tokens: list[Token]) -> list[dict]:
         paren = k + 2 if computed else k + 1
         if tokens[paren].text != "(" or tokens[k - 1].text != "." and not computed:
             continue
-        start, end = expression_start(tokens, k - 1), tokens[paren].mate
+        start, end = expression_start(tokens, k - 1, known), tokens[paren].mate
         args = split_at_commas(tokens, paren + 1, end)
         path = "/"
         if args:
@@ -353,36 +358,13 @@ def extract_routes(sources: DataFrame, file: str = "file", src: str = "src") ->
     return sources.mapInArrow(run, "file string, " + ROUTE_TYPE)
 
 
-#: Patterns of route definitions with the groups of method and path.
-POSITIONS = (
-    (re.compile(r"router\.(get|post|put|patch|delete|options|head)\s*\(\s*['\"`/]+([^'\"`/]+)", re.A), 1, 2),
-    (re.compile(r"router\.(get|post|put|patch|delete|options|head)\s*\(\s*\(([^)]+)\)\s*,\s*['\"`/]+([^'\"`/]+)", re.A), 1, 2),
-    (re.compile(r"\.(get|post|put|patch|delete|options|head)\s*\(\s*['\"`/]+([^'\"`/]+)", re.A), 1, 2),
-)
-
-
-def positions_of(source: str) -> list[dict]:
-    """key, line and code of each route definition, under three spellings of its path; later patterns and places win."""
-    lines, found = source.split("\n"), {}
-    for pattern, m_group, p_group in POSITIONS:
-        for m in pattern.finditer(source):
-            line = source.count("\n", 0, m.start()) + 1
-            method, path = m.group(m_group).upper(), m.group(p_group)
-            clean = path.removeprefix("/")
-            for key in (f"{method} {path}", f"{method} /{clean}", f"{method} {clean}"):
-                found[key] = {"key": key, "line": line, "code": lines[line - 1].strip()}
-    return list(found.values())
-
-
 def route_positions(sources: DataFrame, file: str = "file", src: str = "src") -> DataFrame:
-    sources = sources.select(F.col(file).alias("file"), F.col(src).alias("src"))
-
-    def run(batches):
-        import pyarrow as pa
-
-        schema = pa.schema([("file", pa.string()), ("key", pa.string()), ("line", pa.int32()), ("code", pa.string())])
-        for b in batches:
-            rows = [{"file": f, **p} for f, s in zip(b.column("file").to_pylist(), b.column("src").to_pylist()) for p in positions_of(s or "")]
-            yield pa.RecordBatch.from_pylist(rows, schema=schema)
-
-    return sources.mapInArrow(run, "file string, key string, line int, code string")
+    """file, key, line and code of each route that a call defines, under three spellings of its path: as it stands, with a slash before, and without. The route of
+    the last line wins a key. Positions come from the same tokens as the routes."""
+    routes = extract_routes(sources, file, src).where("framework <> 'nestjs' or handler.type <> 'method' or handler is null")
+    lines = sources.select(F.col(file).alias("f"), F.split(F.coalesce(F.col(src), F.lit("")), "\n").alias("lines"))
+    at = routes.join(lines, F.col("file") == F.col("f")).select("file", "ord", "method", "path", "line", F.trim(F.get("lines", F.col("line") - 1)).alias("code"))
+    plain = F.regexp_replace("path", "^/+", "")
+    spelled = at.select("*", F.explode(F.array_distinct(F.array(F.col("path"), F.concat(F.lit("/"), plain), plain))).alias("spelling"))
+    last = F.max_by(F.struct("line", "code"), F.struct("line", "ord")).alias("at")
+    return spelled.groupBy("file", F.concat_ws(" ", "method", "spelling").alias("key")).agg(last).select("file", "key", "at.line", "at.code")

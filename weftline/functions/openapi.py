@@ -56,6 +56,75 @@ def with_defaults(responses) -> Column:
     return F.map_concat(own, F.map_filter(defaults, lambda k, _: ~F.map_contains_key(own, k)))
 
 
+def pipeline_responses(output) -> Column:
+    """The three default responses (JSON) of a route, with its output schema (JSON) if there is one."""
+    content = F.concat(F.lit(',"content":{"application/json":{"schema":'), F.coalesce(filled(output), F.lit('{"type":"object"}')), F.lit("}}"))
+    parts = [F.concat(F.lit(f'"{code}":{{"description":"{text}"'), content if code == "200" else F.lit(""), F.lit("}")) for code, text in PIPELINE_RESPONSES]
+    return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+
+
+def chosen_output(provider, fields) -> Column:
+    """The output schema (JSON): the provider's if it has properties, else one of the parsed fields, else an empty object."""
+    own = F.get_json_object(col(provider), "$.outputSchema")
+    properties = F.from_json(F.get_json_object(own, "$.properties"), "map<string,string>")
+    return F.when(F.size(F.map_keys(properties)) > 0, own).otherwise(string_schema(F.coalesce(col(fields), F.array().cast("array<string>"))))
+
+
+def merged_input(method, path_params, query_params, body_fields, provider) -> Column:
+    """path and query (maps of name to JSON schema) and body (JSON schema or null): the parsed names, overruled by the provider's inputSchema (JSON). A GET has no body;
+    else the provider's body stands before one of the parsed fields."""
+
+    def named(names, required):
+        entry = F.lit('{"type":"string","required":' + required + "}")
+        return F.map_from_entries(F.transform(F.array_distinct(F.coalesce(col(names), F.array().cast("array<string>"))), lambda x: F.struct(x, entry)))
+
+    def overruled(own, part):
+        given = F.coalesce(F.from_json(F.get_json_object(col(provider), f"$.inputSchema.{part}"), "map<string,string>"), F.map_from_entries(F.array().cast("array<struct<key:string,value:string>>")))
+        return F.map_concat(F.map_filter(own, lambda k, _: ~F.map_contains_key(given, k)), given)
+
+    fields = F.coalesce(col(body_fields), F.array().cast("array<string>"))
+    body = F.coalesce(F.get_json_object(col(provider), "$.inputSchema.body"), F.when(F.size(fields) > 0, string_schema(fields)))
+    return F.struct(overruled(named(path_params, "true"), "path").alias("path"), overruled(named(query_params, "false"), "query").alias("query"), F.when(F.upper(F.coalesce(col(method), F.lit("GET"))) != "GET", body).alias("body"))
+
+
+def provider_first(provider, field: str, *others) -> Column:
+    """A field of an operation: the provider's (JSON), else the first of the others that is neither null nor empty."""
+    given = F.get_json_object(col(provider), f"$.{field}")
+    return F.coalesce(F.when(~given.isin("", "[]", "{}", "null", "false"), given), *[filled(o) for o in others])
+
+
+def routes_as_docs(routes_json: DataFrame, column: str = "json") -> DataFrame:
+    """A JSON array of routes as documentation: key, summary, description, parameters, request_body, responses, tags (JSON), raw. A row that is no such array gives nothing."""
+    each = routes_json.select(F.posexplode(F.from_json(column, "array<string>")).alias("ord", "route"))
+
+    def first(*paths, default=None):
+        found = F.coalesce(*[F.when(F.get_json_object("route", p) != "", F.get_json_object("route", p)) for p in paths])
+        return found if default is None else F.coalesce(found, F.lit(default))
+
+    key = F.concat_ws(" ", F.upper(first("$.method", default="GET")), first("$.path", "$.fullPath", default="/"))
+    rows = each.where("route is not null").select(
+        "ord", key.alias("key"), first("$.swagger.summary", "$.description", default="").alias("summary"), first("$.swagger.description", "$.docBlock", default="").alias("description"),
+        first("$.swagger.parameters", "$.parameters", default="[]").alias("parameters"), first("$.swagger.requestBody").alias("request_body"),
+        first("$.swagger.responses", "$.responses", default="{}").alias("responses"), first("$.swagger.tags", "$.tags", default="[]").alias("tags"), first("$.jsdoc", "$.docBlock", default="").alias("raw"))
+    fields = [c for c in rows.columns if c not in ("ord", "key")]
+    return rows.groupBy("key").agg(F.max_by(F.struct(*fields), "ord").alias("d")).select("key", "d.*")
+
+
+def endpoint_model(parsed: DataFrame, column: str = "json") -> DataFrame:
+    """Parsed routes (JSON objects) as full endpoint records with their defaults; ``to_json`` of a record and this again give the same record."""
+    def at(name, default=None):
+        found = F.get_json_object(column, f"$.{name}")
+        return found if default is None else F.coalesce(found, F.lit(default))
+
+    swagger = '{"summary":"","description":"","tags":[],"parameters":[],"requestBody":null,"responses":{},"deprecated":false,"security":[]}'
+    identity = F.regexp_replace(F.concat_ws("-", at("method"), at("path")), "[^a-zA-Z0-9]", "-")
+    return parsed.select(
+        identity.alias("id"), at("path").alias("path"), F.upper(at("method")).alias("method"), at("file", "").alias("file"), at("line", "0").cast("int").alias("line"), at("framework", "express").alias("framework"),
+        F.coalesce(F.from_json(at("middleware"), "array<string>"), F.array().cast("array<string>")).alias("middleware"), F.coalesce(F.from_json(at("middlewareLines"), "array<int>"), F.array().cast("array<int>")).alias("middlewareLines"),
+        at("handler").alias("handler"), at("existingSwagger").alias("existingSwagger"), at("jsdoc").alias("jsdoc"), at("swagger", swagger).alias("swagger"),
+        at("existingSwagger").isNotNull().alias("hasExistingDocs"), F.coalesce(F.from_json(at("dependencies"), "array<string>"), F.array().cast("array<string>")).alias("dependencies"), F.coalesce(at("enriched").cast("boolean"), F.lit(False)).alias("enriched"))
+
+
 def example_body(method, fields) -> Column:
     """A JSON example of a body; null for methods without one."""
     f = col(fields)

@@ -119,6 +119,39 @@ def missing_information(generated: DataFrame, original: DataFrame) -> DataFrame:
     )
 
 
+def matched_originals(generated: DataFrame, original: DataFrame, prefix: str = "/api/crm/") -> DataFrame:
+    """Generated operations (entity, method, path, ...) with the original of their entity that fits best, as the struct original, or null.
+
+    The same route counts first, then the route without ``prefix``, then the first original of the entity by ord that has the method. Each way is an equi-join on a
+    side of one row for each key.
+    """
+    rest = F.struct(*[F.col(f"`{c}`") for c in original.columns])
+    o = original.select("entity", key_of("method", "path").alias("key"), F.upper("method").alias("verb"), "ord", rest.alias("row"))
+    by_key = o.groupBy("entity", "key").agg(F.min_by("row", "ord").alias("row"))
+    by_verb = o.groupBy("entity", "verb").agg(F.min_by("row", "ord").alias("row"))
+    short = F.regexp_replace(F.col("path"), f"^{prefix}", "/")
+    x = generated.withColumns({"_k": key_of("method", "path"), "_s": key_of("method", short), "_v": F.upper("method")})
+    for name, side, own, their in (("_1", by_key, "_k", "key"), ("_2", by_key, "_s", "key"), ("_3", by_verb, "_v", "verb")):
+        y = side.select(F.col("entity").alias(name + "e"), F.col(their).alias(name + "k"), F.col("row").alias(name))
+        x = x.join(y, F.col("entity").eqNullSafe(F.col(name + "e")) & (F.col(own) == F.col(name + "k")), "left").drop(name + "e", name + "k")
+    return x.withColumn("original", F.coalesce("_1", "_2", "_3")).drop("_1", "_2", "_3", "_k", "_s", "_v")
+
+
+def missing_lists(generated: DataFrame, original: DataFrame) -> DataFrame:
+    """One row for each thing that a generated operation lacks: category, entity, method, path. original: as in ``missing_information``, with ord."""
+    x = matched_originals(generated, original)
+    both = F.col("original").isNotNull()
+    found = {
+        "missing_in_original": ~both,
+        "missing_parameters": both & (F.col("original.n_params") > 0) & (F.col("n_params") == 0),
+        "missing_body": both & F.col("original.has_body") & ~F.col("has_body"),
+        "missing_response_details": both & F.col("original.has_detail") & ~F.col("has_detail"),
+        "missing_examples": both & F.col("original.has_examples") & ~F.col("has_examples"),
+    }
+    named = F.array_compact(F.array(*[F.when(F.coalesce(v, F.lit(False)), F.lit(k)) for k, v in found.items()]))
+    return x.select(F.explode(named).alias("category"), "entity", F.upper("method").alias("method"), "path")
+
+
 def validated(found: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Patches that name a type, a file and new content, and those whose file isn't listed (warnings)."""
     good = found.where("type in ('new', 'improved') and file is not null and new_content <> ''")

@@ -30,16 +30,16 @@ PASS = 0.75
 def route_scores(actual: DataFrame, expected: DataFrame) -> DataFrame:
     """``(case, category, criterion, score)`` for the routes of each case.
 
-    actual: case, path, method, middleware (size), framework, has_docs, summary. expected: case, path, method, middleware_count, framework, has_docs, summary; a
+    actual: case, ord, path, method, middleware (size), framework, has_docs, summary; of routes with one path, or path and method, the first by ord counts. expected: case, path, method, middleware_count, framework, has_docs, summary; a
     case without expected routes has no row. Joins are on (case, path) and (case, path, method).
     """
-    a = actual.select("case", "path", "method", "middleware", "framework", "has_docs", "summary")
+    a = actual.select("case", "ord", "path", "method", "middleware", "framework", "has_docs", "summary")
     paths = expected.select("case", "path").distinct().withColumn("_p", F.lit(1))
     pairs = expected.select("case", "path", "method").distinct().withColumn("_m", F.lit(1))
     cases = expected.groupBy("case").agg(F.count("*").alias("n"), F.count_if(F.col("middleware_count") > 0).alias("n_mw"), F.count("framework").alias("n_fw"), F.count_if("has_docs").alias("n_docs"))
     hits = a.join(paths, ["case", "path"], "left").join(pairs, ["case", "path", "method"], "left").groupBy("case").agg(F.count("*").alias("found"), F.count("_p").alias("by_path"), F.count("_m").alias("by_pair"), F.count_if("has_docs").alias("documented"))
-    one_pair = a.groupBy("case", "path", "method").agg(F.max("middleware").alias("mw"))
-    one_path = a.groupBy("case", "path").agg(F.first("framework").alias("fw"), F.max(F.struct("has_docs", "summary")).alias("doc"))
+    one_pair = a.groupBy("case", "path", "method").agg(F.min_by("middleware", "ord").alias("mw"))
+    one_path = a.groupBy("case", "path").agg(F.min_by("framework", "ord").alias("fw"), F.min_by(F.struct("has_docs", "summary"), "ord").alias("doc"))
     e = expected.join(one_pair, ["case", "path", "method"], "left").join(one_path, ["case", "path"], "left").groupBy("case").agg(
         F.count_if((F.col("middleware_count") > 0) & (F.col("mw") >= F.col("middleware_count"))).alias("ok_mw"),
         F.count_if(F.col("framework") == F.col("fw")).alias("ok_fw"),

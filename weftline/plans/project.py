@@ -76,7 +76,7 @@ def project_patches(sources: DataFrame) -> DataFrame:
 def evaluation(cases: DataFrame, expected: DataFrame) -> DataFrame:
     """Totals of each case. A case with an expected document, but no expected routes, is scored by its document alone."""
     found = documented_routes(routes(cases), extract_comments(cases))
-    actual = found.select(F.col("file").alias("case"), "path", "method", F.size("middleware").alias("middleware"), "framework", "has_docs", F.col("doc_summary").alias("summary"))
+    actual = found.select(F.col("file").alias("case"), "ord", "path", "method", F.size("middleware").alias("middleware"), "framework", "has_docs", F.col("doc_summary").alias("summary"))
     by_routes = route_scores(actual, expected)
     ops = operations(enriched(routes(cases), cases).withColumn("path", F.concat("file", F.lit("|"), "path")))
     rest = ops.select(F.split("path", r"\|")[0].alias("case"), F.get_json_object("operation", "$.summary").alias("s")).join(expected.select("case").distinct(), "case", "left_anti")

@@ -18,6 +18,21 @@ def write_by_entity(df: DataFrame, path: str, entity: str = "entity") -> None:
     kept.groupBy(entity).count().write.mode("overwrite").json(f"{path}/summary")
 
 
+def write_by_file(routes: DataFrame, path: str, file: str = "file") -> None:
+    """All routes in one table, and beside it one row for each file with its routes in order."""
+    write_json(routes, f"{path}/routes")
+    rest = [c for c in routes.columns if c != file]
+    write_json(routes.groupBy(file).agg(F.array_sort(F.collect_list(F.struct(*[c for c in ("ord",) if c in rest], *[c for c in rest if c != "ord"]))).alias("routes")), f"{path}/routes-by-file")
+
+
+def write_results(path: str, routes: DataFrame, relationships: DataFrame, enriched: DataFrame, document: DataFrame) -> None:
+    """The outputs of a run: routes (all, and by file), relationships, enriched routes, and the OpenAPI document; each replaces what was there."""
+    write_by_file(routes, path)
+    write_json(relationships, f"{path}/relationships")
+    write_json(enriched, f"{path}/enriched")
+    write_text(document, "document", f"{path}/openapi")
+
+
 def write_text(df: DataFrame, column: str, path: str) -> None:
     """A report of one row as a text file."""
     df.select(column).coalesce(1).write.mode("overwrite").text(path)
