@@ -4,10 +4,11 @@ A text's UTF-8 bytes, padded with bytes 255 to a positive multiple of 576, are t
 stored form. A gear hash rolls over the stored form and cuts it; each chunk has its SHA-256.
 
 1. Digests are counted over all documents; only 40 bytes a chunk are shuffled. The digests met twice or more set bits of a filter of fixed size.
-2. One pass writes the ordered chunk list of each document, keyed by the SHA-256 of its stored form, and the chunks. A chunk in the filter may be shared and
-   goes to the common store, one payload for each digest; any other is the only one of its digest and is stored under its medium.
-3. Lists of equal media fold to one. A join on the digest brings the common store's payloads to the media that need them, a join on medium and digest brings all payloads to their places in the
-   lists. Each chunk and each whole read back is verified by SHA-256, then described, once for each distinct medium.
+2. One pass writes the chunk table: for each document a container with the ordered list of its digests, keyed by the SHA-256 of its stored form, and in it the payloads
+   of the chunks that aren't in the filter, each the only one of its digest; the others, which may be shared, go to the common store, one payload for each digest.
+3. Containers are read back. Those that lack nothing are put together from their own payloads, without a shuffle. The lists of the others, those of equal media folded to
+   one, are joined with the common store on the digest, and all their payloads are brought to their places. Each chunk and each whole read back is verified by SHA-256, then
+   described, once for each distinct medium.
 4. Documents, by the SHA-256 of the stored form that the JVM computes for them, are joined with what was read back; one whose medium isn't there is an error.
 
 A wrong hit of the filter only sends a chunk through the common store, so results don't depend on its size. Nulls: a null text is empty and so one frame of
@@ -129,63 +130,71 @@ def shared_digests(docs: DataFrame) -> np.ndarray:
     return bits.view(np.uint64)
 
 
-def chunk_table(docs: DataFrame) -> DataFrame:
-    """The chunks of ``docs(text)``, written: list entries (media, seq, digest, shared) and, at seq -1, payloads (media unless shared, digest, shared, payload)."""
+def chunk_table(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The chunks of ``docs(text)``, written: containers (media, digests, payloads, null where a chunk may be shared) and the common store (stored, payload)."""
     import pyarrow as pa
 
     shared = docs.sparkSession.sparkContext.broadcast(shared_digests(docs))  # of fixed size
-    names, types = ["media", "seq", "digest", "shared", "payload"], [pa.binary(), pa.int32(), pa.binary(), pa.bool_(), pa.binary()]
 
     def run(batches):
         bits = shared.value
         for whole in batches:
             for b in slices(whole, 8 << 20):
-                rows, common = [], {}
-                for media, chunks in chunked(column_bytes(b.column("text"))):
-                    key = hashlib.sha256(media).digest()
-                    for seq, (digest, piece) in enumerate(chunks):
+                media, digests, payloads, common = [], [], [], {}
+                for stored, chunks in chunked(column_bytes(b.column("text"))):
+                    own = []
+                    for digest, piece in chunks:
                         k = _bit(digest)
-                        hit = bool((int(bits[k >> 6]) >> (k & 63)) & 1)
-                        rows.append((key, seq, digest, hit, None))
-                        if hit:
+                        if (int(bits[k >> 6]) >> (k & 63)) & 1:
                             common[digest] = piece
-                        else:
-                            rows.append((key, -1, digest, hit, piece))
-                rows += [(None, -1, digest, True, piece) for digest, piece in common.items()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 5, types)], names)
-
-    return written(docs.select("text").mapInArrow(run, "media binary, seq int, digest binary, shared boolean, payload binary"), "media-chunks", spark__sql__parquet__compression__codec="zstd")
-
-
-def read_media(chunks: DataFrame, store: DataFrame) -> DataFrame:
-    """Each distinct medium of the lists in ``chunks``, put together from its stored chunks, verified and described: media and the columns after doc_id of FIELDS."""
+                            piece = None
+                        own.append(piece)
+                    media.append(hashlib.sha256(stored).digest())
+                    digests.append([d for d, _ in chunks])
+                    payloads.append(own)
+                media += [None] * len(common)
+                digests += [[d] for d in common]
+                payloads += [[p] for p in common.values()]
+                yield pa.RecordBatch.from_arrays([pa.array(media, pa.binary()), pa.array(digests, pa.list_(pa.binary())), pa.array(payloads, pa.list_(pa.binary()))], ["media", "digests", "payloads"])
+
+    tight = {"spark__sql__parquet__compression__codec": "zstd"}
+    table = written(docs.select("text").mapInArrow(run, "media binary, digests array<binary>, payloads array<binary>"), "media-chunks", **tight)
+    common = table.where("media is null").select(F.col("digests")[0].alias("stored"), F.col("payloads")[0].alias("payload"))
+    return table, written(common.groupBy("stored").agg(F.first("payload").alias("payload")), "media-store", **tight)
+
+
+def verified(key: bytes, digests: list[bytes], payloads: list[bytes]) -> tuple:
+    """The medium that the chunks make, described; an error if a chunk or the whole isn't what its digest says."""
+    if any(p is None or hashlib.sha256(p).digest() != d for d, p in zip(digests, payloads, strict=True)):
+        raise ValueError("a chunk doesn't match its digest")
+    media = b"".join(payloads)
+    if hashlib.sha256(media).digest() != key:
+        raise ValueError("a medium doesn't match its digest")
+    return key, *described(media)
+
+
+def read_media(table: DataFrame, store: DataFrame) -> DataFrame:
+    """Each distinct medium of a chunk table, put together from its stored chunks, verified and described: media and the columns after doc_id of FIELDS."""
     import pyarrow as pa
 
-    lists = chunks.where("seq >= 0").groupBy("media", "seq").agg(F.min("digest").alias("digest"), F.min("shared").alias("shared"))
-    wanted = chunks.where("seq >= 0 and shared").select("media", "digest").distinct()
-    fetched = wanted.join(store, F.col("digest") == F.col("stored")).select("media", "digest", "payload")
-    payloads = chunks.where("seq < 0 and not shared").select("media", "digest", "payload").unionByName(fetched)
-    payloads = payloads.select(F.col("media").alias("m"), F.col("digest").alias("d"), "payload").repartition("m")
-    placed = lists.select("media", "seq", "digest").repartition("media").join(payloads.hint("merge"), (F.col("media") == F.col("m")) & (F.col("digest") == F.col("d")))
-    placed = placed.select("media", "seq", "digest", "payload").sortWithinPartitions("media", "seq")
-    names = ["media", *[f.split()[0] for f in FIELDS.split(", ")[1:]]]
+    fields = "media binary, " + FIELDS.split(", ", 1)[1]
+    names = [f.split()[0] for f in fields.split(", ")]
     types = [pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
 
-    def run(batches):
+    def out(rows: list[tuple]):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * len(types), types)], names)
+
+    def read_whole(batches):
+        for b in batches:
+            yield out([verified(*row) for row in zip(*[c.to_pylist() for c in b.columns])])
+
+    def read_placed(batches):
         held, key = [], None
 
         def done() -> tuple:
             if [s for s, _, _ in held] != list(range(len(held))):
                 raise ValueError("a chunk list has gaps")
-            if any(hashlib.sha256(p).digest() != d for _, d, p in held):
-                raise ValueError("a chunk doesn't match its digest")
-            media = b"".join(p for _, _, p in held)
-            if hashlib.sha256(media).digest() != key:
-                raise ValueError("a medium doesn't match its digest")
-            return key, *described(media)
-
-        def out(rows: list[tuple]):
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * len(types), types)], names)
+            return verified(key, [d for _, d, _ in held], [p for _, _, p in held])
 
         for b in batches:
             rows = []
@@ -199,7 +208,14 @@ def read_media(chunks: DataFrame, store: DataFrame) -> DataFrame:
         if held:
             yield out([done()])
 
-    return placed.mapInArrow(run, "media binary, " + FIELDS.split(", ", 1)[1])
+    containers = table.where("media is not null")
+    lacking = F.exists("payloads", lambda p: p.isNull())
+    whole = containers.where(~lacking).select("media", "digests", "payloads").mapInArrow(read_whole, fields)
+    entries = containers.where(lacking).select("media", F.posexplode(F.arrays_zip("digests", "payloads")).alias("seq", "chunk")).select("media", "seq", F.col("chunk.digests").alias("digest"), F.col("chunk.payloads").alias("payload"))
+    wanted = entries.where("payload is null").select("media", "seq", "digest").distinct()
+    fetched = wanted.join(store, F.col("digest") == F.col("stored")).select("media", "seq", "digest", F.col("payload"))
+    placed = fetched.unionByName(entries.where("payload is not null")).repartition("media").sortWithinPartitions("media", "seq")
+    return whole.unionByName(placed.mapInArrow(read_placed, fields))
 
 
 def media_key(text: str) -> Column:
@@ -214,10 +230,8 @@ def media_key(text: str) -> Column:
 def media_columns(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each row of ``docs`` with FIELDS, from media read back from the chunks."""
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    chunks = chunk_table(docs)
-    store = written(chunks.where("seq < 0 and shared").groupBy(F.col("digest").alias("stored")).agg(F.first("payload").alias("payload")), "media-store", spark__sql__parquet__compression__codec="zstd")
-    # payloads are dealt by medium alone, which is a part of the key that they are joined on
-    back = written(read_media(chunks, store), "media-read", spark__sql__requireAllClusterKeysForCoPartition="false")
+    chunks, store = chunk_table(docs)
+    back = written(read_media(chunks, store), "media-read")
     discard(chunks, store)
     rows = docs.select("doc_id", media_key("text").alias("key")).join(back, F.col("key") == F.col("media"), "left")
     first, *rest = [f.split()[0] for f in FIELDS.split(", ")[1:]]
