@@ -1,3 +1,4 @@
+import numpy as np
 from pyspark.sql import functions as F
 
 from weftline.llm import mixing
@@ -69,3 +70,50 @@ def test_the_mix_itself_holds_what_was_taken(spark, sf_dir):
     assert mixed.columns == docs.columns
     got = {r.doc_id: r.n for r in mixed.groupBy("doc_id").agg(F.sum(F.size(words("text"))).alias("n")).collect()}
     assert got == want
+
+
+def highest_quotients(targets, total, block):
+    """One seat after another to the highest target / (2k + 1); targets: (source, size, target, rank). The last seat and a source's last are cut."""
+    seats = {t[0]: 0 for t in targets}
+    got = dict.fromkeys(seats, 0)
+    for seat in range(-(-total // block)):
+        free = [t for t in targets if t[2] > 0 and seats[t[0]] * block < 3 * t[1]]
+        if not free:
+            break
+        best = max(free, key=lambda t: (t[2] / (2 * seats[t[0]] + 1), -t[3]))
+        got[best[0]] += min(block, 3 * best[1] - seats[best[0]] * block, total - seat * block)
+        seats[best[0]] += 1
+    return got
+
+
+def test_seats_go_to_the_highest_quotients(spark):
+    rng = np.random.default_rng(3)
+    cases = [[(f"s{k:03}", 90, 90.0 / 128 * 77, k) for k in range(300)] + [("z", 10**5, 10.0**5, 300)]]
+    for n in (1, 7, 60):
+        size = rng.integers(0, 3000, n).tolist()
+        want = levels({f"s{k:03}": v for k, v in enumerate(size)})
+        cases.append([(f"s{k:03}", v, want[f"s{k:03}"], k) for k, v in enumerate(size)])
+    cases.append([(f"s{k:03}", 500, 500.0, k) for k in range(40)])  # ties
+    for case in cases:
+        total = int(sum(t[1] for t in case))
+        df = spark.createDataFrame(case, "source string, source_size long, target double, rank long")
+        for block in (128, 5):
+            got = {r.source: r.words for r in mixing.source_words(df, total, block).collect()}
+            assert {**{t[0]: 0 for t in case}, **got} == highest_quotients(case, total, block)
+
+
+def test_thin_sources_come_near_their_targets(make_docs):
+    docs = make_docs([(k, "w " * 1250, "a") for k in range(200)] + [(1000 + k, "w " * 20, "b") for k in range(100)])
+    rows = with_sources(docs, mixing.mix_sources(docs, shard_tokens=20_000))
+    check(rows, 2 * mixing.BLOCK)
+    assert sum(r["taken"] for s, r in rows if s == "b") == 3 * 100 * 20
+
+
+def test_every_row_is_planned_by_itself(spark):
+    rows = [(None, f"n{k} " * 40, "a", "mine", 5) for k in range(60)] + [(None, "same words here " * 30, "a", "mine", 5)] * 3 + [(7, f"seven {k} " * 50, "b", "mine", 5) for k in range(20)] + [(8, None, "b", "mine", 5), (9, "", None, "mine", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _size string, row int")
+    mixed = mixing.mixed_documents(docs, shard_tokens=1000)
+    assert mixed.columns == docs.columns and mixed.where("_size <> 'mine' or row <> 5").count() == 0
+    planned = {r.source: r.n for r in mixing.plan_mix(docs, shard_tokens=1000).groupBy("source").agg(F.sum(F.col("size") * F.col("passes") + F.aggregate("parts", F.lit(0).cast("long"), lambda a, p: a + p["length"])).alias("n")).collect()}
+    got = {r.source: r.n for r in mixed.groupBy("source").agg(F.sum(F.size(words("text"))).alias("n")).collect()}
+    assert got == {s: n for s, n in planned.items() if n}
