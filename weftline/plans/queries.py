@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import comments, openapi, paths, source_text
+from weftline.functions.javascript import route_positions
 from weftline.operators import aggregates, compare, evaluate, joins, merge, vectors, windows
 from weftline.plans import fixtures, project
 
@@ -402,6 +403,47 @@ def change_request(spark, sf_dir):
     return compare.request_text(project.project_patches(fixtures.sources(spark)))
 
 
+# --- programs made of documents ------------------------------------------------------------------------------------------
+
+
+def programs(spark, sf_dir) -> DataFrame:
+    """One small source file for each document: a doc block, some empty lines, a route whose parts follow from the document, and a ``@swagger`` block."""
+    number, lang = F.col("doc_id").cast("string"), F.coalesce("lang", F.lit("none"))
+    verb = F.element_at(F.array(*map(F.lit, ("get", "post", "put", "delete"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    extra = F.when(F.col("doc_id") % 3 == 0, "auth").otherwise("[auth, check(1)]")
+    parts = [
+        F.lit("const router = express.Router();\n/**\n * @summary Text "), number, F.lit("\n * @tags "), lang, F.lit("\n */\n"), F.repeat(F.lit("\n"), (F.col("doc_id") % 15).cast("int")),
+        F.lit("router."), verb, F.lit("('/api/"), lang, F.lit("/:id/"), number, F.lit("', "), extra, F.lit(", (req, res) => {\n  DocService.find("), number, F.lit(");\n});\n\n/**\n * @swagger\n * /docs/"), number,
+        F.lit(":\n *   "), verb, F.lit(":\n *     summary: Block "), number, F.lit("\n */\n"),
+    ]
+    return table(spark, sf_dir, "documents").select(F.concat(F.lit("doc_"), number, F.lit(".js")).alias("file"), F.concat(*parts).alias("src"))
+
+
+@query("""SELECT 'doc_' || doc_id || '.js' AS file, ['GET', 'POST', 'PUT', 'DELETE'][doc_id % 4 + 1] AS method, '/api/' || coalesce(lang, 'none') || '/:id/' || doc_id AS path, (6 + doc_id % 15)::INT AS line,
+  'express' AS framework, CASE WHEN doc_id % 3 = 0 THEN 'auth' ELSE 'auth,check' END AS middleware, CASE WHEN doc_id % 15 <= 6 THEN 2 END AS doc_line, CASE WHEN doc_id % 15 <= 6 THEN 'Text ' || doc_id END AS doc_summary FROM documents""")
+def program_routes(spark, sf_dir):
+    s = programs(spark, sf_dir)
+    found = project.documented_routes(project.routes(s), comments.extract_comments(s))
+    return found.select("file", "method", "path", "line", "framework", F.array_join("middleware", ",").alias("middleware"), "doc_line", "doc_summary")
+
+
+@query("""SELECT 'doc_' || doc_id || '.js' AS file, ['GET', 'POST', 'PUT', 'DELETE'][doc_id % 4 + 1] || ' /docs/' || doc_id AS key, (10 + doc_id % 15)::INT AS start_line, (15 + doc_id % 15)::INT AS end_line, 'Block ' || doc_id AS summary,
+  md5('/**' || chr(10) || ' * @swagger' || chr(10) || ' * /docs/' || doc_id || ':' || chr(10) || ' *   ' || ['get', 'post', 'put', 'delete'][doc_id % 4 + 1] || ':' || chr(10) || ' *     summary: Block ' || doc_id || chr(10) || ' */') AS block FROM documents""")
+def program_blocks(spark, sf_dir):
+    return comments.swagger_spans(programs(spark, sf_dir)).select("file", "key", "start_line", "end_line", "summary", F.md5("block").alias("block"))
+
+
+@query("""SELECT 'doc_' || doc_id || '.js' AS file, ['GET', 'POST', 'PUT', 'DELETE'][doc_id % 4 + 1] || ' ' || unnest(['/api/' || coalesce(lang, 'none') || '/:id/' || doc_id, 'api/' || coalesce(lang, 'none') || '/:id/' || doc_id]) AS key, (6 + doc_id % 15)::INT AS line FROM documents""")
+def program_positions(spark, sf_dir):
+    return route_positions(programs(spark, sf_dir)).select("file", "key", "line")
+
+
+@query("""SELECT ['GET', 'POST', 'PUT', 'DELETE'][doc_id % 4 + 1] || ' /api/' || coalesce(lang, 'none') || '/:id/' || doc_id AS endpoint, 'service' AS kind, 'DocService' AS target FROM documents""")
+def program_edges(spark, sf_dir):
+    s = programs(spark, sf_dir)
+    return project.edges(project.relationships(project.routes(s), s)).where("kind = 'service'")
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
