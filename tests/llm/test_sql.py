@@ -14,7 +14,8 @@ def plain(rows, columns):
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_query_matches_its_sql(spark, sf_dir, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    for name_of in ("documents", "pages"):
+        con.execute(f"CREATE VIEW {name_of} AS SELECT * FROM '{sf_dir}/{name_of}.parquet'")
     found = con.execute(registry.oracle_sql()[name])
     columns = [c[0] for c in found.description]
     df = registry.queries()[name](spark, sf_dir)

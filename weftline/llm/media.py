@@ -240,3 +240,13 @@ def media_columns(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
 
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(table(spark, sf_dir, "documents"))
+
+
+def media_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of ``op4_media``: sizes and digests of the payloads and stored forms that were read back."""
+    return op4_media(spark, sf_dir).drop("tail_crc32", "feature")
+
+
+MEDIA_PAYLOADS_SQL = """WITH p AS (SELECT doc_id, strlen(coalesce(text, '')) AS n, encode(coalesce(text, '')) || repeat('\\xFF'::BLOB, CASE WHEN strlen(coalesce(text, '')) = 0 THEN 576 ELSE (576 - strlen(text) % 576) % 576 END) AS payload FROM documents),
+m AS (SELECT doc_id, n, payload, encode('P5' || chr(10) || '24 ' || octet_length(payload) // 24 || chr(10) || '255' || chr(10)) || payload AS media FROM p)
+SELECT doc_id, n::BIGINT AS n_bytes, octet_length(payload)::BIGINT AS payload_bytes, sha256(payload) AS payload_sha256, octet_length(media)::BIGINT AS media_bytes, sha256(media) AS media_sha256 FROM m"""

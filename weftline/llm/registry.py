@@ -17,8 +17,10 @@ def queries() -> dict:
         "op8_lm_scoring": ppm.op8_lm_scoring,
         "op9_url_filter": url_filter.op9_url_filter,
         "op10_language_id": language.op10_language_id,
+        "url_rules": url_filter.url_rules,
+        "media_payloads": media.media_payloads,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": quality_rules.OP2_SQL, "op3_mixing": mixing.OP3_SQL}
+    return {"op2_quality_rules": quality_rules.OP2_SQL, "op3_mixing": mixing.OP3_SQL, "url_rules": url_filter.URL_RULES_SQL, "media_payloads": media.MEDIA_PAYLOADS_SQL}

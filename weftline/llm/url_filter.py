@@ -106,11 +106,16 @@ def calibrated(scores: list[float], labels: list[int], steps: int = 500) -> tupl
     return a / scale, b
 
 
+def ruled_urls(pages: DataFrame, page_id: str = "page_id", url: str = "url", rules: tuple = RULES) -> DataFrame:
+    """page_id, url, host, path, rule and verdict (null where no rule fits): one row for each row of ``pages``."""
+    base = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url")).withColumns({"host": host_of("url"), "path": path_of("url")})
+    return base.withColumn("fit", rule_of(F.col("host"), F.col("path"), rules)).select("page_id", "url", "host", "path", "fit.rule", "fit.verdict")
+
+
 def judge_urls(pages: DataFrame, page_id: str = "page_id", url: str = "url", rules: tuple = RULES, sample: int = SAMPLE, seed: int = SEED) -> DataFrame:
     """page_id, host, path, rule, verdict, score (probability of allow by the method), method_verdict: one row for each row of ``pages``."""
     spark = pages.sparkSession
-    base = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url")).withColumns({"host": host_of("url"), "path": path_of("url")})
-    base = base.withColumn("fit", rule_of(F.col("host"), F.col("path"), rules)).select("page_id", "url", "host", "path", "fit.rule", "fit.verdict")
+    base = ruled_urls(pages, page_id, url, rules)
     text = F.translate(F.coalesce(F.regexp_extract("url", "^(?s:.*?)://(.*)$", 1), F.lit("")), UPPER, LOWER)
     labelled = base.where("verdict is not null").select("url", text.alias("text"), "verdict")
     drawn: dict[str, list] = defaultdict(list)
@@ -142,3 +147,18 @@ def judge_urls(pages: DataFrame, page_id: str = "page_id", url: str = "url", rul
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"))
+
+
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the rules alone say of every url, without the model."""
+    return ruled_urls(table(spark, sf_dir, "pages")).drop("url")
+
+
+def _rules_sql(value: int) -> str:
+    """The rules as a CASE, the longest first; value: 0 for the rule, 1 for its verdict."""
+    ordered = sorted(RULES, key=lambda r: -len(r[0] + r[1]))
+    return "CASE " + " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{(h + p, v)[value]}'" for h, p, v in ordered) + " END"
+
+
+URL_RULES_SQL = f"""SELECT page_id, host, path, {_rules_sql(0)} AS rule, {_rules_sql(1)} AS verdict FROM (
+  SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), '{UPPER}', '{LOWER}') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages)"""
