@@ -179,6 +179,13 @@ def test_vector_search(spark):
     same = spark.createDataFrame([(k, [1.0, 1.0]) for k in range(20, 0, -1)], "id int, embedding array<float>")
     assert [r.id for r in nearest_to_each(same, q, 3).orderBy("place").collect()] == [1, 2, 3]
     assert nearest_to_each(v.limit(0), q, 2).count() == 0
+    some = spark.createDataFrame([(k, None if k % 3 == 0 else [float(k % 5), 1.0]) for k in range(40)], "id int, embedding array<float>").coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # a task keeps its nearest over all its batches
+    try:
+        got = nearest_to_each(some, q.unionByName(spark.createDataFrame([(99, None)], q.schema)), 4).orderBy("place").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert [(r.query_id, r.id) for r in got] == [(3, 8), (3, 13), (3, 23), (3, 28)]
 
 
 def test_validated_patches_and_request_text(spark):

@@ -27,10 +27,11 @@ def nearest_to_each(vectors: DataFrame, queries: DataFrame, n: int = 5, vec: str
     """The n nearest rows to each of a stated set of queries.
 
     Queries go in blocks of about ``block``, whatever their number; each block is sent to the tasks and meets all rows there. A task keeps n for each query
-    before anything is shuffled, and the places are then settled by query.
+    before anything is shuffled, and the places are then settled by query. Rows and queries without a vector have no neighbours; a vector of zeros is at
+    distance 1 of all; of equal distances the smaller id comes first; vectors of different lengths are an error.
     """
-    q = queries.select(F.col(query_key).alias("query_id"), F.col(query_vec).alias("query_vec"))
-    rows = vectors.select(F.col(key).alias("id"), F.col(vec).alias("v"))
+    q = queries.select(F.col(query_key).alias("query_id"), F.col(query_vec).alias("query_vec")).where("query_vec is not null")
+    rows = vectors.select(F.col(key).alias("id"), F.col(vec).alias("v")).where("v is not null")
     schema = f"query_id {q.schema['query_id'].dataType.simpleString()}, id {rows.schema['id'].dataType.simpleString()}, distance double"
     blocks = max(1, -(-q.count() // block))
     parts = [rows.mapInArrow(_nearest_in_task(vectors, q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k), n), schema) for k in range(blocks)]
@@ -41,8 +42,21 @@ def nearest_to_each(vectors: DataFrame, queries: DataFrame, n: int = 5, vec: str
     return found.withColumn("place", place).where(F.col("place") <= n)
 
 
+def _smallest(d, n: int, name):
+    """Places of the n smallest numbers of each row; of those at the last one the least names stay. name(row, place) is asked for ties only."""
+    import numpy as np
+
+    m = min(n, d.shape[1])
+    top = np.argpartition(d, m - 1, axis=1)[:, :m]
+    last = np.take_along_axis(d, top, 1).max(1)
+    for r in np.flatnonzero((d <= last[:, None]).sum(1) > m).tolist():
+        if np.isfinite(last[r]):
+            top[r] = sorted(np.flatnonzero(d[r] <= last[r]).tolist(), key=lambda i: (d[r, i], name(r, i)))[:m]
+    return top
+
+
 def _nearest_in_task(vectors: DataFrame, queries: DataFrame, n: int):
-    """A function of Arrow batches of (id, v) to the n nearest rows of each batch to each query."""
+    """A function of Arrow batches of (id, v) to the n nearest rows of the task to each query."""
     held = queries.toArrow()  # one block
     id_type = held.schema.field("query_id").type
     shared = vectors.sparkSession.sparkContext.broadcast((held.column("query_id").to_pylist(), held.column("query_vec").to_pylist()))
@@ -56,21 +70,23 @@ def _nearest_in_task(vectors: DataFrame, queries: DataFrame, n: int):
             return
         a = np.array(asked, np.float64)
         a /= np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-300)
+        best, who, kind = np.full((len(a), n), np.inf), np.full((len(a), n), None, object), None
         for b in batches:
             x = np.array(b.column("v").to_pylist(), np.float64).reshape(b.num_rows, -1)
             if not len(x):
                 continue
             x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-            names = None
+            kind, names = b.column("id").type, np.array(b.column("id").to_pylist(), object)
             for k in range(0, len(a), 256):
-                d = 1.0 - a[k : k + 256] @ x.T
-                m = min(n, d.shape[1])
-                top = np.argpartition(d, m - 1, axis=1)[:, :m]
-                last = np.take_along_axis(d, top, 1).max(1)
-                for r in np.flatnonzero((d <= last[:, None]).sum(1) > m).tolist():  # of rows at the last distance the smallest ids stay
-                    names = b.column("id").to_pylist() if names is None else names
-                    top[r] = sorted(np.flatnonzero(d[r] <= last[r]).tolist(), key=lambda i: (d[r, i], names[i]))[:m]
-                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in range(k, k + len(d)) for _ in range(m)], id_type), b.column("id").take(pa.array(top.ravel())), pa.array(np.take_along_axis(d, top, 1).ravel())], ["query_id", "id", "distance"])
+                z = slice(k, k + 256)
+                d = 1.0 - a[z] @ x.T
+                top = _smallest(d, n, lambda r, i: names[i])
+                both, found = np.hstack([best[z], np.take_along_axis(d, top, 1)]), np.hstack([who[z], names[top]])
+                keep = _smallest(both, n, lambda r, i: found[r, i])
+                best[z], who[z] = np.take_along_axis(both, keep, 1), np.take_along_axis(found, keep, 1)
+        for k in range(0, len(a) if kind is not None else 0, 4096):
+            r, c = np.nonzero(np.isfinite(best[k : k + 4096]))
+            yield pa.RecordBatch.from_arrays([pa.array([ids[k + i] for i in r.tolist()], id_type), pa.array(who[k + r, c].tolist(), kind), pa.array(best[k + r, c])], ["query_id", "id", "distance"])
 
     return run
 
