@@ -32,6 +32,7 @@ def test_comparison_counts_and_report(spark):
     assert compare.comparison_counts(got).first().asDict() == {"total": 6, "with_original": 1, "improved": 1, "unchanged": 0, "params_improved": 1, "schema_improved": 0, "responses_improved": 1}
     text = compare.markdown_report(got).first().report
     assert "## Improved (1)" in text and "## New (5)" in text
+    assert "| with original | 1 |" in text and "| new | 5 |" in text and "(was: List; parameters: Authorization, limit" in text and "## Unchanged" not in text
 
 
 def test_patches(spark):

@@ -50,18 +50,32 @@ def compare_docs(generated: DataFrame, original: DataFrame) -> DataFrame:
     )
 
 
+#: The counters of a comparison: name, and the rows that count.
+COUNTERS = {"total": None, "with_original": "state <> 'new'", "improved": "state = 'improved'", "unchanged": "state = 'unchanged'", "new": "state = 'new'", "params_improved": "params_improved", "schema_improved": "schema_improved", "responses_improved": "responses_improved"}
+
+
+def _counters() -> list[Column]:
+    return [(F.count("*") if rows is None else F.count_if(F.expr(rows))).alias(name) for name, rows in COUNTERS.items()]
+
+
 def comparison_counts(compared: DataFrame) -> DataFrame:
-    """The seven counters in one pass."""
-    old = F.col("state") != "new"
-    return compared.agg(F.count("*").alias("total"), F.count_if(old).alias("with_original"), F.count_if(F.col("state") == "improved").alias("improved"), F.count_if(F.col("state") == "unchanged").alias("unchanged"), F.count_if("params_improved").alias("params_improved"), F.count_if("schema_improved").alias("schema_improved"), F.count_if("responses_improved").alias("responses_improved"))
+    """The seven counters in one pass; new routes are what total and with_original leave."""
+    return compared.agg(*_counters()).drop("new")
 
 
 def markdown_report(compared: DataFrame) -> DataFrame:
-    """One row, report: the counts and the routes by state. The text is as long as the report, so it is meant for one project's routes."""
-    line = F.format_string("- `%s %s` %s", "method", "path", F.coalesce("summary", F.lit("")))
-    lines = compared.groupBy("state").agg(F.concat_ws("\n", F.array_sort(F.collect_list(line))).alias("lines"), F.count("*").alias("n"))
-    section = F.format_string("## %s (%d)\n\n%s", F.initcap("state"), "n", "lines")
-    return lines.agg(F.concat_ws("\n\n", F.lit("# Documentation comparison"), F.concat(F.lit("Routes: "), F.coalesce(F.sum("n"), F.lit(0)).cast("string")), F.array_join(F.array_sort(F.collect_list(section)), "\n\n")).alias("report"))
+    """One row, report: a table of the counters, and the routes by state, improved ones with what was added and what stood before. The text is as long as the
+    report, so it is meant for one project's routes."""
+    def listed(name, column):
+        return F.when(F.size(column) > 0, F.concat(F.lit(f"{name}: "), F.array_join(column, ", ")))
+
+    reasons = F.concat_ws("; ", F.when(F.coalesce("original_summary", F.lit("")) != "", F.concat(F.lit("was: "), "original_summary")), listed("parameters", F.col("params_added")), listed("body", F.col("body_added")), listed("responses", F.col("responses_added")))
+    line = F.concat(F.format_string("- `%s %s` %s", "method", "path", F.coalesce("summary", F.lit(""))), F.when((F.col("state") == "improved") & (reasons != ""), F.concat(F.lit(" ("), reasons, F.lit(")"))).otherwise(""))
+    states = ("improved", "new", "unchanged")
+    one = compared.agg(*_counters(), *[F.array_sort(F.collect_list(F.when(F.col("state") == state, line))).alias(f"{state}_lines") for state in states])
+    table = ["| Figure | Value |", "|-|-|", *[F.format_string(f"| {name.replace('_', ' ')} | %d |", name) for name in COUNTERS]]
+    sections = [F.when(F.size(f"{state}_lines") > 0, F.concat(F.format_string(f"\n## {state.capitalize()} (%d)\n\n", state), F.array_join(f"{state}_lines", "\n"))) for state in states]
+    return one.select(F.concat_ws("\n", F.lit("# Documentation comparison\n"), *[F.lit(x) if isinstance(x, str) else x for x in table], *sections).alias("report"))
 
 
 def doc_block(method, path, summary, description, tag) -> Column:
