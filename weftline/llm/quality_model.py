@@ -142,8 +142,9 @@ def drawn_from(features: DataFrame):
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in ((0, pa.int32()), (1, pa.float64()), (2, pa.int64()))], ["list", "sure", "h"])
 
         once = features.mapInArrow(candidates, "list int, sure double, h long").groupBy("list", "h").agg(F.max("sure").alias("sure"))
+        # the plain bound lets each partition keep its surest before they meet
         place = F.row_number().over(Window.partitionBy("list").orderBy(F.desc("sure"), "h"))
-        chosen = once.withColumn("place", place).where(F.col("place") <= F.when(F.col("list") % 2 == 1, wanted[0]).otherwise(wanted[1])).select("list", "h").collect()  # 2 x STEP rows at most
+        chosen = once.withColumn("place", place).where(F.col("place") <= max(wanted)).where(F.col("place") <= F.when(F.col("list") % 2 == 1, wanted[0]).otherwise(wanted[1])).select("list", "h").collect()  # 2 x STEP rows at most
         keys = sorted({r["h"] for r in chosen})
         if not keys:
             return [], []
