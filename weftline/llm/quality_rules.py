@@ -72,7 +72,9 @@ def _judged(docs: DataFrame, doc_id: str, source: str, text: str, keep: bool, mi
     base = base.withColumn("base_failed", F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words"))
     out = base.join(removed, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("source").eqNullSafe(F.col("s")) & (F.col("key") == F.col("k")), "left")
     out = out.withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("n_removed_words", "n_removed_lines")})
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("n_words") - F.col("n_removed_words") >= F.lit(min_left) * F.col("n_words")))
+    # one comparison: of a conjunction a later filter would push the base rules below the join and there work them out anew, inside of their own loops
+    bar = F.when(F.col("base_failed"), F.col("n_words") + 1.0).otherwise(F.lit(min_left) * F.col("n_words"))
+    return out.withColumn("kept", F.col("n_words") - F.col("n_removed_words") >= bar)
 
 
 def quality_rules(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", min_left: float = MIN_LEFT, **limits) -> DataFrame:
